@@ -2,9 +2,9 @@
 
 A page is a sequence of words and tags. A word scores positive, by how often words under its
 innermost tag lie in the main text of labelled pages; a tag scores negative, by how often tags
-of its kind lie outside it. One linear scan finds the contiguous region of greatest sum. Within
-it, elements that are never main text (menus, forms, scripts, adverts, comments ...) are left
-out, blocks are cut at block-level tags, character references are decoded.
+of its kind lie outside it. Elements that are never main text (menus, forms, scripts, adverts,
+comments ...) are left out; over the rest one linear scan finds the contiguous region of greatest
+sum. Within it, blocks are cut at block-level tags, character references are decoded.
 
 Labelled pages are pages whose markup marks one main element (article or main); weights are
 fitted on at most MAX_PAGES of them (least hashes of page_id, at most MAX_CHARS characters, a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lucera.llm.common import small_batches, table
 
 MAX_PAGES, MAX_CHARS = 400, 200_000
-TAG_COST, TAG_LEAST, WORD_LEAST = 25.0, 0.02, 0.01
+TAG_COST, TAG_LEAST, OTHER_TAG, WORD_LEAST = 25.0, 0.02, -0.5, 0.01
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -92,7 +92,7 @@ class Weights:
         self.inside, self.outside = Counter(), Counter()
 
     def learn(self, page: str) -> None:
-        found = tokens(page)
+        found = without_never(tokens(page))
         marks = [i for i, t in enumerate(found) if t[2] in ("article", "main") and t[0] in "se"]
         if len(marks) != 2 or found[marks[0]][0] != "s" or found[marks[1]][0] != "e":
             return
@@ -125,37 +125,43 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return a, b
 
 
+def without_never(found: list) -> list:
+    """Tokens with each element that is never main text cut to one 'x' token. One that does not
+    close counts as empty."""
+    out, i = [], 0
+    while i < len(found):
+        kind, key, value, never = found[i]
+        if kind == "s" and never and value not in _VOID:
+            depth, j = 1, i + 1
+            while j < len(found) and depth:
+                if found[j][2] == value and found[j][0] in "se":
+                    depth += 1 if found[j][0] == "s" else -1
+                j += 1
+            out.append(("x", key, value, True))
+            i = j if not depth else i + 1
+        else:
+            out.append(found[i])
+            i += 1
+    return out
+
+
 def main_text(page: str, words: dict, tags: dict) -> str:
-    found = tokens(page)
-    other = -max(TAG_LEAST, TAG_COST * 0.02)
+    found = without_never(tokens(page))
     scores = []
-    for kind, key, value, never in found:
+    for kind, key, value, _ in found:
         if kind == "w":
             n = len(value.split())
             scores.append(n * words.get(key, 0.5) if n else 0.0)
         else:
-            unknown = -TAG_COST if never or kind == "x" else -TAG_LEAST if value in _INLINE else other
-            scores.append(tags.get(key, unknown))
+            scores.append(-TAG_LEAST if kind == "x" or value in _INLINE else tags.get(key, OTHER_TAG))
     a, b = best_region(scores)
-    blocks, now, skip, depth = [], [], None, 0
-    for kind, _, value, never in found[a:b]:
-        if skip:
-            if kind == "s" and value == skip:
-                depth += 1
-            elif kind == "e" and value == skip:
-                depth -= 1
-                if not depth:
-                    skip = None
-            continue
+    blocks, now = [], []
+    for kind, _, value, _ in found[a:b]:
         if kind == "w":
             now.append(value)
-        elif kind == "s" and never and value not in _VOID:
-            skip, depth = value, 1
-        elif kind == "x" or value in _INLINE:
-            if value == "br":
-                now.append(" ")
-            continue
-        if kind != "w":
+        elif value == "br":
+            now.append(" ")
+        elif value not in _INLINE and value not in ("script", "style"):
             blocks.append(now)
             now = []
     blocks.append(now)

@@ -17,12 +17,11 @@ null doc_id sorts first as a class id; empty tables give empty results; repeated
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucera.llm.common import _RNG, Work, Words, mix64, signed, small_batches, table, text_buffers
+from lucera.llm.common import Work, Words, mix64, signed, small_batches, table, text_buffers
 from lucera.llm.components import connected
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
@@ -148,7 +147,8 @@ def _links(batches):
                 edges.append((reps[a], reps[b], 0))
         counts = [(m[0], None, int(c)) for m, c in zip(left, nx, strict=True) if c] + [(m[0], None, int(c)) for m, c in zip(z, nz, strict=True) if c]
         rows = edges + counts
-        return pd.DataFrame(rows, columns=["rep", "other", "links"]) if rows else None
+        names = ["rep", "other", "links"]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names) if rows else None
 
     key, left, right = None, [], []
     for batch in batches:
@@ -159,19 +159,12 @@ def _links(batches):
             now = (int(bucket[k]), int(bi[k]), int(bj[k]))
             if now != key:
                 if key is not None and (out := flush(key, left, right)) is not None:
-                    yield _edge_batch(out)
+                    yield out
                 key, left, right = now, [], []
             member = (rep[k], copies[k], canon[k].values.to_numpy(), grams[k].values.to_numpy())
             (left if side[k] == 0 else right).append(member)
     if key is not None and (out := flush(key, left, right)) is not None:
-        yield _edge_batch(out)
-
-
-def _edge_batch(out: pd.DataFrame) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(out["rep"], pa.int64()), pa.array([None if pd.isna(v) else int(v) for v in out["other"]], pa.int64()), pa.array(out["links"], pa.int64())],
-        ["rep", "other", "links"],
-    )
+        yield out
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
