@@ -185,7 +185,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
     hits = hits.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("by"), F.collect_set(F.struct("bucket", "members")).alias("buckets"))
     canon = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.coalesce(F.element_at("by", b), F.lit(0)))
     hits = work.save(hits.select("rep", "buckets", canon.alias("canon")).join(reps.select("rep", "first", "copies", "h1", "h2"), "rep"), "hits")
-    wanted = hits.select("rep", "first", "h1", "h2")
+    wanted = hits.select("rep", "first", "h1", "h2").hint("merge")  # one way at every size
     found = hashed.join(wanted, (hashed["doc_id"].eqNullSafe(wanted["first"])) & (hashed["h1"] == wanted["h1"]) & (hashed["h2"] == wanted["h2"]), "inner")
     sets = work.save(found.select("rep", "text").mapInArrow(_sets, "rep long, grams array<long>"), "sets")
     sets = sets.dropDuplicates(["rep"])
