@@ -1,9 +1,9 @@
 """Operator 3: one-permutation MinHash fingerprints, in DataFrame functions alone.
 
 A text's 5-word shingles are hashed once; the high bits of a hash name its bin and a bin keeps
-its least hash. An empty bin takes the value of the full bin that a hash of (bin, full bin)
-ranks first, so every bin draws uniformly and independently from the full ones, as optimal
-densification asks, and always ends. Each bin keeps its low BITS bits; a fingerprint is their
+its least hash. Optimal densification: an empty bin looks in a random sequence of its own for a
+full one; after 8 looks it takes the full bin that a hash of (bin, full bin) ranks first, so
+every bin draws uniformly and independently from the full ones, and always ends. Each bin keeps its low BITS bits; a fingerprint is their
 hex string. Likeness corrects the share of equal bins for chance agreement.
 
 Defined results: null text is empty; a text of 1 to 4 words has one shingle of all its words;
@@ -14,10 +14,12 @@ followed by the first, so a table of one row follows itself. Empty tables give e
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucera.llm.common import Work, table, words_of
+from lucera.llm.common import table, words_of
 
 SHINGLE = 5
 BIN_BITS, BITS = 8, 4
@@ -25,7 +27,10 @@ BINS = 1 << BIN_BITS
 LONGS = BINS * BITS // 64
 #: Rows of one group of neighbours, and most groups (a group spills when larger).
 GROUP_ROWS, MAX_GROUPS = 1000, 4096
-EDGE = 1_000_000_000_000_000_000
+
+#: Bins an empty bin looks in, one after another; beyond them it ranks all full bins.
+_r = random.Random(3)
+_PROBES = [[_r.randrange(BINS) for _ in range(BINS)] for _ in range(8)]
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -41,23 +46,28 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     g = F.col("_g")
     least = F.filter(g, lambda x, i: (i == 0) | (F.shiftright(x, 64 - BIN_BITS) != F.shiftright(F.get(g, i - 1), 64 - BIN_BITS)))
     df = df.withColumn("_m", least).drop("_g")
-    # digit of each full bin, by bin number
+    # least hashes by bin number, null where empty
     m = F.col("_m")
-    full = F.map_from_arrays(
-        F.transform(m, lambda x: (F.shiftright(x, 64 - BIN_BITS) + BINS // 2).cast("int")),
-        F.transform(m, lambda x: F.shiftright(x, 20).bitwiseAND((1 << BITS) - 1).cast("int")),
-    )
-    df = df.withColumn("_f", full).drop("_m")
-    f = F.col("_f")
+    gaps = F.transform(m, lambda x, i: F.concat(F.array(x), F.array_repeat(F.lit(None).cast("long"), F.coalesce(_bin(F.get(m, i + 1)), F.lit(BINS)) - _bin(x) - 1)))
+    bins = F.concat(F.array_repeat(F.lit(None).cast("long"), _bin(F.get(m, F.lit(0)))), F.flatten(gaps))
+    df = df.withColumn("_b", F.when(F.size(m) > 0, bins))
+    b = F.col("_b")
+
+    def filled(v: Column, j: Column) -> Column:
+        ranked = F.transform(m, lambda x: F.struct(F.xxhash64(j, _bin(x)).alias("r"), x.alias("v")))
+        return F.coalesce(v, *[F.get(b, F.get(_literal(p), j)) for p in _PROBES], F.array_min(ranked)["v"])
+
+    full = F.when(F.size(m) == BINS, m).otherwise(F.transform(b, filled))
+    hexed = F.array_join(F.transform(full, lambda v: F.get(_literal("0123456789abcdef"), F.shiftright(v, 20).bitwiseAND((1 << BITS) - 1).cast("int"))), "")
+    return df.withColumn(out, F.coalesce(hexed, F.lit(""))).drop("_b", "_m")
+
+
+def _bin(x: Column) -> Column:
+    return (F.shiftright(x, 64 - BIN_BITS) + BINS // 2).cast("int")
 
-    def filled(j: Column) -> Column:
-        ranked = F.transform(F.map_entries(f), lambda e: F.struct(F.xxhash64(j, e["key"]).alias("r"), e["value"].alias("v")))
-        return F.coalesce(F.get(F.transform(F.array(j), lambda x: f[x]), F.lit(0)), F.array_min(ranked)["v"])
 
-    all_full = F.transform(F.map_values(f), lambda v: v)
-    digits = F.when(F.size(f) == BINS, all_full).otherwise(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), filled))
-    hexed = F.array_join(F.transform(digits, lambda v: F.substr(F.lit("0123456789abcdef"), v + 1, F.lit(1))), "")
-    return df.withColumn(out, F.when(F.size(f) == 0, F.lit("")).otherwise(hexed)).drop("_f")
+def _literal(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 def likeness(a: Column, b: Column) -> Column:
