@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from lucera.llm.common import _IS_SPACE, Words, small_batches, table, text_buffers
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
-MAX_TRAIN, MAX_TRAIN_CHARS = 6000, 50_000
+MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 50_000
 HIDDEN, EPOCHS, CUT = 32, 60, 0.3
+#: Words whose vectors are gathered at once, and texts measured at once while fitting.
+SLICE, FIT_ROWS = 100_000, 500
 
 _CLASS = np.full(256, 0, np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 1
@@ -52,12 +54,11 @@ class Texts:
         w = Words(raw, offs)
         self.first, n = w.first, w.counts()
         self.word = (w.hashes >> np.uint64(50)).astype(np.int64)
-        kinds = np.zeros((8, len(raw) + 1), np.int32)
-        classes = _CLASS[raw]
+        classes, total, per = _CLASS[raw], np.zeros(len(raw) + 1, np.int64), []
         for k in range(1, 7):
-            np.cumsum(classes == k, out=kinds[k, 1:])
+            np.cumsum(classes == k, out=total[1:])
+            per.append(total[w.end] - total[w.start])
         size = w.end - w.start
-        per = [kinds[k][w.end] - kinds[k][w.start] for k in range(1, 7)]
         upper, lower, digit, sign, shout, stop = per
         ends = _CLASS[raw[w.end - 1]] if len(w.end) else np.zeros(0, np.uint8)
         begins = _CLASS[raw[w.start]] if len(w.end) else np.zeros(0, np.uint8)
@@ -111,21 +112,21 @@ class Texts:
         return h, np.searchsorted(a, offs)
 
     def pooled(self, vectors: np.ndarray) -> np.ndarray:
+        """(texts, features); words' vectors are summed in slices of bounded size."""
         out = np.zeros((len(self.n), 2 * DIM), np.float32)
-        full = np.flatnonzero(self.n)
-        if len(full):
-            starts = self.first[:-1][full]
+        doc = np.repeat(np.arange(len(self.n)), self.n)
+        for lo in range(0, len(doc), SLICE):
+            part = doc[lo : lo + SLICE]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for k, ids in enumerate((self.word, self.shape)):
-                part = vectors[ids[self.first[0] : self.first[-1]]]
-                out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(part, starts - self.first[0], axis=0) / self.n[full, None]
-        return np.concatenate([out, self.ratios], axis=1)
+                out[part[starts], k * DIM : (k + 1) * DIM] += np.add.reduceat(vectors[ids[lo : lo + SLICE]], starts, axis=0)
+        return np.concatenate([out / self.total[:, None], self.ratios], axis=1)
 
 
-def word_vectors(texts: Texts) -> np.ndarray:
-    """Sums of neighbours' index vectors per bucket, scaled to unit length."""
+def add_contexts(flat: np.ndarray, texts: Texts) -> None:
+    """Adds neighbours' index vectors to each bucket's vector."""
     place, sign = _random_index()
     doc = np.repeat(np.arange(len(texts.n)), texts.n)
-    flat = np.zeros(BUCKETS * DIM)
     shapes = texts.shape
     for own in (texts.word, shapes):
         for other in (texts.word, shapes):
@@ -135,6 +136,9 @@ def word_vectors(texts: Texts) -> np.ndarray:
                 for x, y in ((a[near], b[near]), (b[near], a[near]))[: 2 if own is other else 1]:
                     for k in range(NONZERO):
                         flat += np.bincount(x * DIM + place[y, k], sign[y, k], minlength=len(flat))
+
+
+def unit_vectors(flat: np.ndarray) -> np.ndarray:
     v = flat.reshape(BUCKETS, DIM)
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -199,9 +203,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "q
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
         return None, float(y.mean()) if len(y) else 0.5
-    texts = Texts(pa.array(got["text"].tolist(), pa.large_string()))
-    vectors = word_vectors(texts)
-    return vectors, Network(texts.pooled(vectors), y)
+    parts = [got["text"].iloc[lo : lo + FIT_ROWS].tolist() for lo in range(0, len(got), FIT_ROWS)]
+    texts = lambda part: Texts(pa.array(part, pa.large_string()))
+    flat = np.zeros(BUCKETS * DIM)
+    for part in parts:
+        add_contexts(flat, texts(part))
+    vectors = unit_vectors(flat)
+    return vectors, Network(np.concatenate([texts(part).pooled(vectors) for part in parts]), y)
 
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
