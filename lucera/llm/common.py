@@ -97,6 +97,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes, never 0, of the spans [s, e) of bytes; s and e ascend."""
+    out = np.zeros(len(s), np.uint64)
+    lo = 0
+    while lo < len(s):  # pieces of bounded length keep the power tables small
+        hi = max(lo + 1, int(np.searchsorted(e, s[lo] + _PIECE, "right")))
+        a, b = int(s[lo]), int(e[hi - 1])
+        up, down = _power_tables(b - a)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[raw[a:b]] * up[: b - a], out=total[1:])
+        p, q = s[lo:hi] - a, e[lo:hi] - a
+        out[lo:hi] = mix64((total[q] - total[p]) * down[p] + (q - p).astype(np.uint64)) | np.uint64(1)
+        lo = hi
+    return out
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a text column; null: empty."""
     if isinstance(column, pa.ChunkedArray):
