@@ -208,6 +208,8 @@ def near_classes(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
     named = named.join(least, "root", "left").select(
         "h1", "h2", "first", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
+    named = work.save(named, "classes")
+    work.drop("reps", "hits", "links", *[k for k in work.paths if k.startswith("cc")])
     return signed_.select("doc_id", "h1", "h2").join(named, ["h1", "h2"])
 
 

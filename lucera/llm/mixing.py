@@ -75,7 +75,7 @@ def position(frac: Column, weight: Column) -> Column:
 def laid_out(docs: DataFrame, work: Work, keep: list[str]) -> DataFrame:
     """keep columns, size, source_size, weight, target, _start (words before it in its source) and taken."""
     sized = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long"))
-    order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
+    order = order_hash()
     cols = list(dict.fromkeys([*keep, "doc_id", "source", "size"]))
     ranged = sized.withColumn("_order", order).select(*cols, "_order")
     ranged = ranged.repartitionByRange(F.col("source").asc_nulls_last(), "_order", "doc_id")
@@ -110,19 +110,35 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mixed corpus: a row per copy, in training order, the cut copy shortened to its taken
-    words (joined by one space). Adds position and copy."""
-    laid = laid_out(docs, Work(spark, "mix"), docs.columns).filter("taken > 0")
+    words (joined by one space). Adds position and copy.
+
+    Positions are worked out without the texts; texts move twice, to their row's plan (by the
+    order hash; equal rows pair off by number) and to their place."""
+    laid = laid_out(docs.select("doc_id", "source", "text"), Work(spark, "mix"), ["doc_id", "source"])
+    plan = numbered(laid, "size").filter("taken > 0").select("_order", "_no", "_start", "taken", "size", "source_size", "target", "weight").withColumnRenamed("_order", "_o").withColumnRenamed("_no", "_m")
+    rows = numbered(docs.withColumn("_order", order_hash()), "lang" if "lang" in docs.columns else "doc_id")
+    rows = rows.join(plan, (F.col("_order") == F.col("_o")) & (F.col("_no") - F.col("_m") == 0))
     whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = whole + (part > 0).cast("int")
-    rows = laid.withColumn("_whole", whole).withColumn("_cut", part).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    rows = rows.withColumn("_whole", whole).withColumn("_cut", part).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     short = F.array_join(F.slice(words_of(F.col("text")), 1, F.col("_cut")), " ")
     rows = rows.withColumn("text", F.when(F.col("copy") < F.col("_whole"), F.col("text")).otherwise(short))
     frac = F.try_divide((F.col("copy") * F.col("source_size") + F.col("_start")).cast("double"), F.col("target"))
     rows = rows.withColumn("position", position(F.least(frac, F.lit(1.0)), F.col("weight")))
+    rows = rows.select(*docs.columns, "position", "copy")
     return rows.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def order_hash() -> Column:
+    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
+
+
+def numbered(df: DataFrame, tie: str) -> DataFrame:
+    """Numbers rows of equal doc_id and text, by source first."""
+    return df.withColumn("_no", F.row_number().over(Window.partitionBy("_order").orderBy("source", tie)))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix(spark, docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else mixed.select(*docs.columns)

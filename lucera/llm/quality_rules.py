@@ -93,9 +93,10 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("_host", "host_docs", "host_failures", F.round(rate, 6).alias("host_rate"))
 
 
-def with_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
-    """Joins the hosts' shrunk rates to the measured documents and sets kept."""
-    rates = host_rates(measured, host)
+def with_verdicts(measured: DataFrame, work: Work, host: str = "source") -> DataFrame:
+    """Joins the hosts' shrunk rates to the measured documents and sets kept. The rates are written
+    first: Spark knows their size when it chooses between broadcast and shuffle."""
+    rates = work.save(host_rates(measured, host), "rates")
     joined = measured.join(rates, measured[host].eqNullSafe(rates["_host"]), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rate") > MAX_HOST_RATE))
 
@@ -104,14 +105,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     work = Work(spark, "op2")
     measured = work.save(with_measures(docs.select("doc_id", "source", "text")).drop("text"), "measured")
-    return with_verdicts(measured).select("doc_id", *MEASURES, "base_failed", "kept", "source", "host_docs", "host_failures", "host_rate")
+    return with_verdicts(measured, work).select("doc_id", *MEASURES, "base_failed", "kept", "source", "host_docs", "host_failures", "host_rate")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents the rules reject go."""
     work = Work(spark, "rules")
     measured = work.save(with_measures(docs), "measured")
-    return with_verdicts(measured).filter("kept").select(*docs.columns)
+    return with_verdicts(measured, work).filter("kept").select(*docs.columns)
 
 
 ORACLE_MEASURES = r"""

@@ -306,6 +306,8 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Work) -> tuple[DataFrame
     by_run = first.join(runs, ["h", "c"]).select("k", (F.col("a") + F.col("f")).alias("f"), (F.col("a") + F.col("t") + WINDOW - 1).alias("t"))
     gone = by_copy.unionByName(by_run).groupBy("k").agg(F.collect_list(F.struct("f", "t")).alias("runs"))
     cutted = source.select("k", "text").join(gone, "k").mapInArrow(_apply, "k long, n_removed long, kept_sha256 string, kept_text string")
+    cutted = work.save(cutted, "cut")
+    work.drop("source", "pieces", "contents", "hot", "runs")
     return scanned.select("doc_id", "k", "n_words", "full_sha256"), cutted
 
 
