@@ -78,11 +78,11 @@ def fd_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Frequency-domain frames from lineitem: an order's line numbers are distances."""
     li = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("p"), F.min("l_discount").alias("d"), F.min("l_quantity").alias("q"))
     rho = 2.0 + 0.5 * F.col("l_linenumber")
-    return li.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("channel"), rho.alias("rho"), (F.col("p") / 1000 * F.exp(-rho)).alias("ac"), (rho * 0.3 + F.col("d") * 0.7131).alias("phase"), (F.col("q") * 37).alias("deg"))
+    return li.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("channel"), rho.alias("rho"), (F.col("p") / 1000 * F.exp(-rho)).alias("ac"), (rho * 0.3 + F.col("d") * 0.713131717).alias("phase"), (F.col("q") * 37).alias("deg"))
 
 
 FDS = """fds AS (SELECT l_orderkey AS frame, l_linenumber AS channel, 2.0::DOUBLE + 0.5::DOUBLE * l_linenumber AS rho, min(l_extendedprice) / 1000 * exp(-(2.0::DOUBLE + 0.5::DOUBLE * l_linenumber)) AS ac,
- (2.0::DOUBLE + 0.5::DOUBLE * l_linenumber) * 0.3::DOUBLE + min(l_discount) * 0.7131::DOUBLE AS phase, min(l_quantity) * 37 AS deg FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+ (2.0::DOUBLE + 0.5::DOUBLE * l_linenumber) * 0.3::DOUBLE + min(l_discount) * 0.713131717::DOUBLE AS phase, min(l_quantity) * 37 AS deg FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
 def gates(spark: SparkSession, sf: str) -> DataFrame:
