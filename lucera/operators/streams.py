@@ -104,11 +104,11 @@ def align_asof(target: DataFrame, source: DataFrame, keys=("recording",), mode:
     """Source values (t, x) at the target's times: linear between neighbours, nearest outside."""
     k = list(keys)
     both = target.select(*k, "t", F.lit(None).cast("double").alias("x"), F.lit(1).alias("_ask")).unionByName(source.select(*k, "t", "x", F.lit(0).alias("_ask")))
-    w = Window.partitionBy(*k).orderBy("t", "_ask")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # two running values, one from either end: each grows row by row
+    back = Window.partitionBy(*k).orderBy("t", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*k).orderBy(F.col("t").desc(), "_ask").rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("_ask") == 0, F.struct(F.col("t").alias("t"), F.col("x").alias("x")))
-    df = both.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.first(known, ignorenulls=True).over(ahead)).filter("_ask = 1")
+    df = both.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.last(known, ignorenulls=True).over(ahead)).filter("_ask = 1")
     p, n = F.col("_p"), F.col("_n")
     share = F.try_divide(F.col("t") - p["t"], n["t"] - p["t"])
     inside = p["x"] + (n["x"] - p["x"]) * F.coalesce(share, F.lit(0.0)) if mode == "linear" else F.when(F.col("t") - p["t"] <= n["t"] - F.col("t"), p["x"]).otherwise(n["x"])
