@@ -32,6 +32,8 @@ from lucera.llm.common import Work, Words, mix64, signed, small_batches, table,
 WINDOW, GRAM = 50, 8
 #: Contents of one anchor beyond which they are cut to single windows; words of one FM-index.
 HOT_CONTENTS, SHARD_WORDS = 2000, 400_000
+#: A key with over 1/HOT_SHARE of a join's rows is joined by broadcast; fewer than HOT_SHARE keys can be.
+HOT_SHARE = 256
 
 
 def anchors(words: Words) -> tuple[np.ndarray, ...]:
@@ -272,6 +274,16 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["k", "n_removed", "kept_sha256", "kept_text"])
 
 
+def even_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with a table of one row a key, whose n counts the key's rows, where a key may
+    hold any share of the rows: hot keys are broadcast, so their rows stay where they are."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    few, rest = keys.filter(hot).drop("n"), keys.filter(~hot).drop("n")
+    others = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(few), on).unionByName(others)
+
+
 def repeats(spark: SparkSession, docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     """docs has doc_id, text. Scanned rows (doc_id, k, n_words, full_sha256) and, for each key k
     (a hash of doc_id and text) with something to remove, n_removed, kept_sha256, kept_text."""
@@ -280,34 +292,35 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Work) -> tuple[DataFrame
     scanned = work.save(keyed.mapInArrow(_scan, "doc_id long, k long, n_words long, full_sha256 string, segments array<struct<h:long,a:int,n:int>>"), "scan")
     low = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     segs = scanned.select(low.alias("d"), "k", F.explode("segments").alias("s")).select("d", "k", "s.h", "s.a", "s.n")
-    shared = segs.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("h")
-    picked = segs.join(shared, "h").groupBy("k").agg(F.collect_set(F.struct("h", "a", "n")).alias("segments"))
+    shared = segs.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "n")
+    shared = work.save(shared, "shared")
+    picked = even_join(segs.withColumnRenamed("n", "size"), shared, ["h"]).withColumnRenamed("size", "n").groupBy("k").agg(F.collect_set(F.struct("h", "a", "n")).alias("segments"))
     source = keyed.select(low.alias("doc_id"), "text", "k").join(picked, "k").dropDuplicates(["k"])
     source = work.save(source, "source")
     pieces = work.save(source.mapInArrow(_contents, "doc_id long, k long, h long, a int, n int, c long, words array<long>"), "pieces")
-    contents = pieces.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"))
+    contents = pieces.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
     contents = work.save(contents, "contents")
+    owners = contents.select("h", "c", "owner", "n")
     many = contents.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
     contents = contents.join(many, "h", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     plain = contents.filter(f"m <= {HOT_CONTENTS}").select("h", "c", "owner", "words", F.lit(0).alias("cut"))
     hot = contents.filter(f"m > {HOT_CONTENTS}").select("h", "c", "owner", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.slice("words", i, WINDOW))).alias("cut", "words"))
     hot = work.save(hot.withColumn("w", F.xxhash64("words")), "hot")
-    least = hot.groupBy("w").agg(F.min("owner").alias("lo"))
+    least = work.save(hot.groupBy("w").agg(F.min("owner").alias("lo"), F.count(F.lit(1)).alias("n")), "least")
     # equal windows fall together by hash; the searched contents are one per owner bound
-    cut = hot.join(least, "w").filter("lo < owner").select("h", "c", F.col("cut").cast("int").alias("f"), (F.col("cut") + 1).cast("int").alias("t"))
+    cut = even_join(hot, least, ["w"]).filter("lo < owner").select("h", "c", F.col("cut").cast("int").alias("f"), (F.col("cut") + 1).cast("int").alias("t"))
     searched = plain.select("h", "c", "owner", "words").repartition("h").sortWithinPartitions("h").mapInArrow(_search, "h long, c long, f int, t int")
     runs = work.save(searched.unionByName(cut), "runs")
     # a content's least owner has runs only by others; its other documents lose every window
-    own = pieces.select("doc_id", "k", "h", "a", "n", "c")
-    owner = contents.select(F.col("h").alias("oh"), F.col("c").alias("oc"), "owner")
-    placed = own.join(owner, (F.col("h") == F.col("oh")) & (F.col("c") == F.col("oc"))).drop("oh", "oc")
-    by_copy = placed.filter("owner < doc_id").select("k", F.col("a").alias("f"), (F.col("a") + F.col("n") + WINDOW - 1).alias("t"))
+    own = pieces.select("doc_id", "k", "h", "a", F.col("n").alias("size"), "c")
+    placed = even_join(own, owners, ["h", "c"])
+    by_copy = placed.filter("owner < doc_id").select("k", F.col("a").alias("f"), (F.col("a") + F.col("size") + WINDOW - 1).alias("t"))
     first = placed.filter("owner = doc_id").select("k", "a", "h", "c")
     by_run = first.join(runs, ["h", "c"]).select("k", (F.col("a") + F.col("f")).alias("f"), (F.col("a") + F.col("t") + WINDOW - 1).alias("t"))
     gone = by_copy.unionByName(by_run).groupBy("k").agg(F.collect_list(F.struct("f", "t")).alias("runs"))
     cutted = source.select("k", "text").join(gone, "k").mapInArrow(_apply, "k long, n_removed long, kept_sha256 string, kept_text string")
     cutted = work.save(cutted, "cut")
-    work.drop("source", "pieces", "contents", "hot", "runs")
+    work.drop("shared", "source", "pieces", "contents", "hot", "least", "runs")
     return scanned.select("doc_id", "k", "n_words", "full_sha256"), cutted
 
 
