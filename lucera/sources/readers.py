@@ -77,7 +77,10 @@ def sanitise_label(value: Column) -> Column:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Reader by suffix."""
-    for suffix, reader in {"_events.tsv": bids_events, "_events.csv": bids_events, ".hdr": nirx_header, ".csv": openmotion_csv, ".txt": atlas_optodes}.items():
+    from lucera.sources import recordings
+
+    by_suffix = {"_events.tsv": bids_events, "_events.csv": bids_events, ".hdr": nirx_header, ".csv": openmotion_csv, ".txt": atlas_optodes, ".nirs": recordings.nirs_mat, ".db": recordings.scan_sqlite}
+    for suffix, reader in by_suffix.items():
         if path.endswith(suffix):
             return reader(spark, path)
-    raise ValueError(f"no reader for {path}; HDF5 and MATLAB files need h5py, which is not among the libraries here")
+    raise ValueError(f"no reader for {path}; HDF5 files need h5py, which is not among the libraries here")
