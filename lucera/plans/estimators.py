@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lucera.functions import signal, spectra
-from lucera.operators import imaging, inference, series
+from lucera.operators import imaging, inference, series, smoothness
 from lucera.plans import adapters as ad
 
 QUERIES: dict = {}
@@ -108,3 +108,11 @@ def reconstruct(spark, sf):
 @query
 def simulate_fd(spark, sf):
     return imaging.simulate_fd(spark, [2.0, 2.5, 3.0], 100, 0.1, 10.0, level=0.01)
+
+
+@query
+def field_smoothness(spark, sf):
+    """Embeddings as images over a lattice of 4 x 4 x 4 voxels."""
+    cells = ad.read(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("p", "v")).filter("p < 64")
+    at = {a: F.floor(F.col("p") / w).cast("int") % 4 for a, w in zip("ijk", (16, 4, 1), strict=True)}
+    return smoothness.field_smoothness(cells.select("image", *[c.alias(a) for a, c in at.items()], F.col("v").cast("double").alias("v")), 9.0)
