@@ -11,7 +11,9 @@ that meets in several buckets counts only in that of its first shared band.
 
 Defined results: words are taken unchanged; a text of 1 to 4 words has one shingle of all its
 words; texts without words equal only the same text; null text is empty; equal texts are linked;
-null doc_id sorts first as a class id; empty tables give empty results; repeated rows stay.
+a class's id is its least doc_id, null if all are null; empty tables give empty results; repeated
+rows stay. Where doc_ids are null or repeated, unrelated classes can have one id: near_classes also
+gives each class's root, which is its own, and the pipeline's stage keeps a document of each root.
 """
 
 from __future__ import annotations
@@ -168,7 +170,7 @@ def _links(batches):
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id, n_links, h1, h2 (hashes of the text)."""
+    """Per row of docs (doc_id, text): doc_id, class_id, n_links, h1, h2 (hashes of the text), root (one per class)."""
     small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.reverse("text"), F.length("text")).alias("h2"))
@@ -206,7 +208,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
     named = named.withColumn("root", F.coalesce("root", "rep")).join(counts, "rep", "left")
     least = named.filter("node IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(least, "root", "left").select(
-        "h1", "h2", "first", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "h1", "h2", "first", "root", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     named = work.save(named, "classes")
     work.drop("reps", "hits", "links", *[k for k in work.paths if k.startswith("cc")])
@@ -221,9 +223,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the document with the least doc_id of each class stays (one row of it)."""
     classes = near_classes(spark, docs.select("doc_id", "text"), Work(spark, "near"))
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h")).distinct()
-    # one text per class: of equal least ids the least hash
-    keep = keep.groupBy("_id").agg(F.min("_h").alias("_h"))
+    # by root, not class_id: classes without ids, or with repeated ones, share that
+    least = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "h1")).alias("k"))
+    keep = least.select(F.col("k.doc_id").alias("_id"), F.col("k.h1").alias("_h"))
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = docs.withColumn("_t", F.xxhash64(text)).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi")
-    return kept.drop("_t").dropDuplicates(["doc_id", "text"])
+    return kept.dropDuplicates(["doc_id", "_t"]).drop("_t")
