@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,13 +78,23 @@ def normal_equations(design: DataFrame, samples: DataFrame, keys=("recording", "
     return xx, xy
 
 
-def sign_flip_t(effects: DataFrame, by: list[str], n_subjects: int) -> DataFrame:
-    """t of every sign pattern of the subjects' beta (column subject: 0 .. n - 1), all 2^n of them;
-    pattern 0 is the observed one."""
-    flips = effects.sparkSession.range(2**n_subjects).withColumnRenamed("id", "flip")
-    rows = effects.join(F.broadcast(flips), how="cross") if n_subjects <= 12 else effects.crossJoin(flips)
-    sign = 1 - 2 * F.getbit("flip", F.col("subject").cast("int"))
-    s = rows.groupBy(*by, "flip").agg(F.avg(sign * F.col("beta")).alias("_m"), F.stddev_samp(sign * F.col("beta")).alias("_s"), F.count("beta").alias("_n"))
+def sign_flip_t(effects: DataFrame, by: list[str], n_perm: int = 1000, seed: int = 0) -> DataFrame:
+    """t of sign patterns of the subjects' beta (a row a subject); pattern 0 is the observed one.
+    All 2^n of them for a group of n subjects if that is n_perm at most, in the order of subject;
+    else pattern 0 and n_perm - 1 random ones, each sign a bit of a hash of seed, pattern and subject."""
+    sizes = effects.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True))
+    rows = effects.join(F.broadcast(sizes), same).select(*by, "subject", "beta", "_size")
+    most = n_perm.bit_length() - 1  # 2^most <= n_perm
+    few, many = rows.filter(F.col("_size") <= most), rows.filter(F.col("_size") > most)
+    few = few.withColumn("_k", (F.row_number().over(Window.partitionBy(*by).orderBy("subject")) - 1).cast("int"))
+    few = few.withColumn("flip", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, CAST(_size AS INT)) - 1"))))
+    few = few.withColumn("_minus", F.getbit("flip", F.col("_k")))
+    many = many.withColumn("flip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))))
+    many = many.withColumn("_minus", F.when(F.col("flip") == 0, 0).otherwise(F.getbit(F.xxhash64(F.lit(seed), "flip", "subject"), F.lit(0))))
+    x = (1 - 2 * F.col("_minus")) * F.col("beta")
+    rows = few.select(*by, "flip", x.alias("_x")).unionByName(many.select(*by, "flip", x.alias("_x")))
+    s = rows.groupBy(*by, "flip").agg(F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_s"), F.count("_x").alias("_n"))
     return s.select(*by, "flip", F.try_divide("_m", F.col("_s") / F.sqrt("_n")).alias("t_stat"))
 
 
