@@ -3,8 +3,9 @@
 A page is a sequence of words and tags. A word scores positive, by how often words under its
 innermost tag lie in the main text of labelled pages; a tag scores negative, by how often tags
 of its kind lie outside it. Elements that are never main text (menus, forms, scripts, adverts,
-comments ...) are left out; over the rest one linear scan finds the contiguous region of greatest
-sum. Within it, blocks are cut at block-level tags, character references are decoded.
+comments ...) are left out, unless they enclose it: html and body, and what holds the body, the
+article or main element, or most of the page's words, stay and are left to the weights. Over the
+rest one linear scan finds the contiguous region of greatest sum. Within it, blocks are cut at block-level tags, character references are decoded.
 
 Labelled pages are pages whose markup marks one main element (article or main); weights are
 fitted on at most MAX_PAGES of them (least hashes of page_id, at most MAX_CHARS characters, a
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +43,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements, and class, id or role names, that are never main text.
+#: Elements, and whole class, id or role names, that are never main text.
 _NEVER = frozenset("nav header footer aside form script style noscript template iframe svg button select option input textarea dialog menu head title".split())
+#: Of those, the ones that cannot enclose a page.
+_LEAVES = frozenset("script style noscript template iframe svg button select option input textarea head title".split())
 _NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsored promo sidebar comment comments discussion respond notice notices cookie cookies consent banner "
     "menu nav navigation navbar breadcrumb breadcrumbs footer header masthead related share sharing social newsletter subscribe popup modal alert".split()
@@ -50,7 +55,7 @@ _NEVER_NAMES = frozenset(
 
 def _kind(name: str, attrs: str) -> tuple[str, bool]:
     """(key of a start tag, whether it opens what is never main text)."""
-    names = [n for m in _NAMES.finditer(attrs) for g in m.groups() if g for n in re.split(r"[\s_-]+", g.lower())] if "=" in attrs else []
+    names = [n for m in _NAMES.finditer(attrs) for g in m.groups() if g for n in g.lower().split()] if "=" in attrs else []
     marks = [n for n in names if n in _NEVER_NAMES]
     return f"{name}.{marks[0]}" if marks else name, name in _NEVER or bool(marks)
 
@@ -125,20 +130,47 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return a, b
 
 
+def _enclosing(found: list, ends: dict[int, int]) -> set[int]:
+    """Start tags, of elements that are never main text, which enclose the page's main text: html, body,
+    what holds the body or every outermost article or main, or most of the words (beside no article)."""
+    marks, body, until = [], None, -1
+    for i, (kind, _, value, _) in enumerate(found):
+        if kind == "s" and value == "body" and body is None:
+            body = i
+        elif kind == "s" and value in ("article", "main") and i >= until:
+            marks.append(i)
+            until = ends.get(i, i + 1)
+    words = [0, *accumulate(len(t[2].split()) if t[0] == "w" else 0 for t in found)]
+    out = set()
+    for i, j in ends.items():
+        _, _, value, never = found[i]
+        if not never or value in _LEAVES:
+            continue
+        lo, hi = bisect_left(marks, i), bisect_left(marks, j)
+        holds = hi > lo or not marks
+        if value in ("html", "body") or (body is not None and i <= body < j) or (marks and hi - lo == len(marks)) or (holds and 2 * (words[j] - words[i]) > words[-1]):
+            out.add(i)
+    return out
+
+
 def without_never(found: list) -> list:
-    """Tokens with each element that is never main text cut to one 'x' token. One that does not
-    close counts as empty."""
+    """Tokens with each element that is never main text cut to one 'x' token, unless it encloses the
+    main text. One that does not close counts as empty."""
+    if not any(t[3] for t in found):
+        return found
+    opened, ends = defaultdict(list), {}
+    for i, (kind, _, value, _) in enumerate(found):
+        if kind == "s":
+            opened[value].append(i)
+        elif kind == "e" and opened[value]:
+            ends[opened[value].pop()] = i + 1
+    stay = _enclosing(found, ends)
     out, i = [], 0
     while i < len(found):
-        kind, key, value, never = found[i]
-        if kind == "s" and never and value not in _VOID:
-            depth, j = 1, i + 1
-            while j < len(found) and depth:
-                if found[j][2] == value and found[j][0] in "se":
-                    depth += 1 if found[j][0] == "s" else -1
-                j += 1
+        _, key, value, never = found[i]
+        if never and value not in _VOID and i not in stay and (i in ends or value not in ("html", "body")):
             out.append(("x", key, value, True))
-            i = j if not depth else i + 1
+            i = ends.get(i, i + 1)
         else:
             out.append(found[i])
             i += 1
