@@ -12,12 +12,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def embedding_samples(spark: SparkSession, sf: str, channels: int = 8) -> DataFrame:
-    """Regular stream: frame = vec_id, channel = position, 10 frames a second."""
-    e = read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, channels)).alias("channel", "v"))
+def embedding_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Regular stream: frame = vec_id, channel = position (all 64), 10 frames a second."""
+    e = read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("channel", "v"))
     return e.select(F.lit("r").alias("recording"), "channel", F.col("vec_id").alias("frame"), (F.col("vec_id") / 10.0).alias("t"), F.col("v").cast("double").alias("v"), "label")
 
 
+#: The SQL has the first eight positions only, and ROI theirs; the queries have all of them.
 EMB = """emb AS (SELECT 'r' AS recording, CAST(c - 1 AS INTEGER) AS channel, vec_id AS frame, vec_id / 10.0::DOUBLE AS t, CAST(embedding[c] AS DOUBLE) AS v, label
  FROM embeddings, (SELECT unnest(range(1, 9)) AS c))"""
 
@@ -68,7 +69,7 @@ CHN = """chn AS (SELECT CAST(i AS INTEGER) AS channel, i % 8 * 10.0::DOUBLE AS x
 
 
 def regions(spark: SparkSession) -> DataFrame:
-    return spark.range(8).select(F.explode(F.array(F.struct(F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("roi"), F.col("id").cast("int").alias("channel")), F.struct(F.lit("all").alias("roi"), F.col("id").cast("int").alias("channel")))).alias("r")).select("r.roi", "r.channel")
+    return spark.range(64).select(F.explode(F.array(F.struct(F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("roi"), F.col("id").cast("int").alias("channel")), F.struct(F.lit("all").alias("roi"), F.col("id").cast("int").alias("channel")))).alias("r")).select("r.roi", "r.channel")
 
 
 ROI = """roi AS (SELECT 'g' || (i % 3) AS roi, CAST(i AS INTEGER) AS channel FROM (SELECT unnest(range(8)) AS i) UNION ALL SELECT 'all', CAST(i AS INTEGER) FROM (SELECT unnest(range(8)) AS i))"""

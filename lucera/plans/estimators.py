@@ -59,13 +59,13 @@ def fc_distance(spark, sf):
 @query
 def network_metrics(spark, sf):
     fc = inference.pairwise(_samples(spark, sf), "pearson", FS)
-    return inference.network_metrics(fc.filter("abs(value) > 0.02").select("recording", "ch_i", "ch_j"), list(range(8)), small_world_nulls=5)[0]
+    return inference.network_metrics(fc.filter("abs(value) > 0.02").select("recording", "ch_i", "ch_j"), list(range(64)), small_world_nulls=5)[0]
 
 
 @query
 def nodal_metrics(spark, sf):
     fc = inference.pairwise(_samples(spark, sf), "pearson", FS)
-    return inference.network_metrics(fc.filter("abs(value) > 0.02").select("recording", "ch_i", "ch_j"), list(range(8)))[1]
+    return inference.network_metrics(fc.filter("abs(value) > 0.02").select("recording", "ch_i", "ch_j"), list(range(64)))[1]
 
 
 @query
@@ -92,7 +92,9 @@ def cluster_table(spark, sf):
 
 
 def _montage() -> pd.DataFrame:
-    return pd.DataFrame([(i, float(i % 4), float(i // 4), float((i + 1) % 4), float((i // 4 + 1) % 4)) for i in range(8)], columns=["channel", "sx", "sy", "dx", "dy"])
+    """An 8-wide lattice of 64 channels over the grid of voxels; a detector lies one step on in x and y."""
+    at = [k * 3 / 7 for k in range(8)]
+    return pd.DataFrame([(i, at[i % 8], at[i // 8], at[(i + 1) % 8], at[(i // 8 + 1) % 8]) for i in range(64)], columns=["channel", "sx", "sy", "dx", "dy"])
 
 
 @query

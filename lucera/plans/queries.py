@@ -413,7 +413,7 @@ def _(spark, sf):
 
 @query("fc_to_matrix", f"WITH {_PEARSON}, u AS (SELECT ch_i, ch_j, value FROM fc UNION ALL SELECT ch_j, ch_i, value FROM fc) SELECT ch_i, " + ", ".join(_r(f"max(CASE WHEN ch_j = {j} THEN value END)", f'"{j}"') for j in range(8)) + " FROM u GROUP BY ch_i")
 def _(spark, sf):
-    return fc.to_matrix(_fc(spark, sf), list(range(8)))
+    return fc.to_matrix(_fc(spark, sf), list(range(64)))
 
 
 _GRAPH = f"{_PEARSON}, e AS (SELECT ch_i, ch_j FROM fc WHERE value >= (SELECT quantile_cont(value, 0.5) FROM fc)), d AS (SELECT node, count(*) AS degree FROM (SELECT ch_i AS node FROM e UNION ALL SELECT ch_j FROM e) GROUP BY node)"
@@ -421,7 +421,7 @@ _GRAPH = f"{_PEARSON}, e AS (SELECT ch_i, ch_j FROM fc WHERE value >= (SELECT qu
 
 @query("graph_density", f"WITH {_GRAPH} SELECT count(*) AS n_edges, {_r('2.0 * count(*) / 56', 'density')} FROM e")
 def _(spark, sf):
-    return fc.density(fc.threshold(_fc(spark, sf), "sparsity", 0.5), 8)
+    return fc.density(fc.threshold(_fc(spark, sf), "sparsity", 0.5), 64)
 
 
 @query("graph_clustering", f"""WITH {_GRAPH}, t AS (SELECT a.ch_i AS a, a.ch_j AS b, b.ch_j AS c FROM e a JOIN e b ON a.ch_j = b.ch_i JOIN e x ON x.ch_i = a.ch_i AND x.ch_j = b.ch_j),
@@ -578,7 +578,7 @@ def _(spark, sf):
 
 @query("sensitivity_backproject", f"WITH {_SENS}, n AS (SELECT channel, voxel, abs(value) / max(abs(value)) OVER (PARTITION BY wavelength, channel) AS n FROM sens), w AS (SELECT channel, voxel, avg(n) AS w FROM n GROUP BY 1, 2) SELECT voxel, {_r('sum(w * (channel + 1)) / sum(w)', 'value')} FROM w GROUP BY voxel")
 def _(spark, sf):
-    values = spark.range(4).select(F.col("id").cast("int").alias("channel"), (F.col("id") + 1.0).cast("double").alias("value"))
+    values = spark.range(32).select(F.col("id").cast("int").alias("channel"), (F.col("id") + 1.0).cast("double").alias("value"))
     return probe.backproject(_sens(spark, sf), values)
 
 

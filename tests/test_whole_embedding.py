@@ -1,0 +1,35 @@
+"""Queries on embeddings have all 64 positions: held against their SQL with its eight widened to 64."""
+
+import duckdb
+import pytest
+from lucera.plans import adapters, estimators, queries
+from test_queries import SF, shown
+
+SQL = {n: s for n, s in queries.SQL.items() if adapters.EMB in s or adapters.ROI in s}
+ROWS = {"frequency_filter": 32000, "estimate_hr": 64, "fc_coherence": 2016, "fc_n_eff": 2016, "fc_cross": 240, "nodal_metrics": 256, "jacobian": 15680}
+
+
+def widened(name):
+    sql = SQL[name].replace(adapters.EMB, adapters.EMB.replace("range(1, 9)", "range(1, 65)")).replace(adapters.ROI, adapters.ROI.replace("range(8)", "range(64)"))
+    if name == "graph_density":
+        sql = sql.replace("/ 56", f"/ {64 * 63}")
+    if name == "fc_to_matrix":
+        more = ", ".join(queries._r(f"max(CASE WHEN ch_j = {j} THEN value END)", f'"{j}"') for j in range(8, 64))
+        sql = sql.replace(" FROM u GROUP BY ch_i", f", {more} FROM u GROUP BY ch_i")
+    return sql
+
+
+@pytest.mark.parametrize("name", list(SQL))
+def test_against_widened_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    theirs = con.sql(widened(name))
+    assert sorted(theirs.columns) == cols
+    assert shown(df.select(*[f"`{c}`" for c in cols]).collect()) == shown(theirs.select(", ".join(f'"{c}"' for c in cols)).fetchall())
+
+
+@pytest.mark.parametrize("name", list(ROWS))
+def test_rows(spark, name):
+    assert estimators.QUERIES[name](spark, SF).count() == ROWS[name]
