@@ -86,7 +86,8 @@ def regress_nuisance(spark, sf):
 
 @query
 def cluster_table(spark, sf):
-    t = ad.read(spark, sf, "embeddings").select(F.lit("c").alias("contrast"), F.col("vec_id").alias("node"), (F.element_at("embedding", 1).cast("double") * 10).alias("t"))
+    """Every position is a contrast, its vectors a chain of nodes."""
+    t = _samples(spark, sf).select(F.col("channel").alias("contrast"), F.col("frame").alias("node"), (F.col("v") * 10).alias("t"))
     n = ad.read(spark, sf, "embeddings").count()
     return inference.clusters(t, pd.DataFrame({"a": range(n - 1), "b": range(1, n)}), ["contrast"], 1.0)
 

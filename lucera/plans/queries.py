@@ -143,7 +143,10 @@ def _(spark, sf):
 
 @query("edge_average", f"WITH {EMB} SELECT recording, channel, CAST(CASE WHEN t < 10 THEN 0 WHEN t < 25 THEN 1 ELSE 2 END AS INTEGER) AS block, {_r('avg(v)', 'v')}, {_r('avg(t)', 't')} FROM emb WHERE t >= 2 AND t < 40 GROUP BY 1, 2, 3")
 def _(spark, sf):
-    return streams.average_edges(ad.embedding_samples(spark, sf), [2.0, 10.0, 25.0, 40.0])
+    # a quarter, a quarter and a half of the stream; the SQL has fixed edges from 2 to 40 s
+    last = ad.read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    whole = ((-1 if last is None else last) + 1) / 10.0
+    return streams.average_edges(ad.embedding_samples(spark, sf), [0.0, whole / 4, whole / 2, whole])
 
 
 @query("detrend", f"""WITH {EMB}, f AS (SELECT channel, regr_slope(v, frame) AS b, avg(v) AS m, avg(frame) AS c FROM emb GROUP BY channel)
@@ -157,7 +160,8 @@ def _(spark, sf):
  SELECT u.run, channel, {_r('t - lo + sh', 't')}, {_r('v', 'v')} FROM u JOIN o ON u.run = o.run""")
 def _(spark, sf):
     s = ad.embedding_samples(spark, sf)
-    return streams.concatenate([s.filter("frame < 100"), s.filter("frame >= 150")], 0.1).select("run", "channel", "t", "v")
+    # every frame; the SQL leaves out 100 to 149
+    return streams.concatenate([s.filter("frame < 100"), s.filter("frame >= 100")], 0.1).select("run", "channel", "t", "v")
 
 
 @query("segment_by_events", f"""WITH {EVT}, w AS (SELECT recording, onset - 60 AS a, onset + duration + 60 AS b FROM evt WHERE label = 'purchase' AND duration + 120 >= 300)
