@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import jaccard, sha, shingles, words
-from lucera.llm import bpe, html_extraction, jaccard_join, queries, token_files, warc_zip
+from lucera.llm import bpe, jaccard_join, queries, token_files, warc_zip
 from lucera.llm.common import Words, text_buffers
 
 TABLES = ["odd", "small"]
@@ -150,17 +150,6 @@ def test_html_odd(spark, odd):
     got = {r["page_id"]: r["text"] for r in run(spark, "op5_html_extraction", odd)}
     assert got[1] == "\n\n".join(["some words of the main text here"] * 3)
     assert got[2] == got[3] == "" and got[4] == "no markup at all & done" and got[5] == "unclosed text" and "deep" in got[11]
-    page = '<article><p>a long run of words that are text</p><div class="comments"><p>reader says</p></div><form>f</form><p>more &lt;text&gt; here&nbsp;too</p></article>'
-    assert html_extraction.main_text(page, {"p": 1.0}, {"p": -0.1, "/p": -0.1}) == "a long run of words that are text\n\nmore <text> here too"
-
-
-def test_best_region_by_brute_force():
-    r = np.random.default_rng(0)
-    for _ in range(200):
-        s = r.normal(size=r.integers(0, 12)).round(1).tolist()
-        a, b = html_extraction.best_region(s)
-        best = max([0.0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
-        assert abs(sum(s[a:b]) - best) < 1e-9
 
 
 def test_token_files(spark, data):
