@@ -7,14 +7,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the complement of a word character `[^\x20\x09-\x0D]`.
 SPACE_CLASS = "[ \\t-\\r]"
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows of an Arrow batch given to Python; texts are a few KB, so a batch is a few MB.
-BATCH_ROWS = 256
+#: Rows of an Arrow batch given to Python, and bytes of text that a worker takes at once (one text at least).
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BATCH_BYTES))
+
+
+def slices(batches, column: str = "text"):
+    """The batches' rows, in order, in parts of at most BATCH_BYTES of text; a longer text is a part of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, lo = np.cumsum(sizes), 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH_BYTES, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 class Work:

@@ -1,44 +1,47 @@
 """Operator 1: quality classifier on random-indexing word vectors and a small numpy network.
 
-Random indexing: each word (and each word's shape) falls in one of BUCKETS by hash; a bucket has
-a fixed sparse ternary index vector, and its word vector is the sum of the index vectors around
-its occurrences in the training texts. A document is the mean of its words' vectors, the mean of
-its shapes' vectors, and a few ratios of its text. A two-layer network scores it; a temperature
-fitted on rows kept from training calibrates the probability.
-
-The model is fitted on at most MAX_TRAIN labelled rows (a documented bound: the least hashes of
-doc_id, texts of at most MAX_TRAIN_CHARS characters), none of them with crc32(doc_id) mod 5 = 0.
-It is about BUCKETS x DIM x 4 bytes, whatever the corpus; every text is scored whole, by whole
-Arrow batches, in one narrow pass.
+Words are runs of letters, of digits or of other signs. Random indexing: each word falls in one
+of BUCKETS by hash; a bucket has a fixed sparse ternary index vector, and its word vector is the
+sum of the index vectors around its occurrences in the training texts, rare neighbours counting
+more, scaled to length 1. A document is pooled to the mean of its words' vectors and the mean of
+the products, element by element, of the vectors of neighbouring words (binding: order and
+repetition show there). These are all its features. A two-layer network scores them; a
+temperature calibrates the probability, on rows that neither train it nor pick its epoch.
+
+The model is fitted on at most MAX_TRAIN labelled rows (least hashes of doc_id and text) of at
+most MAX_TRAIN_CHARS characters in all, a documented bound, none of them with crc32(doc_id) mod
+5 = 0. It is about BUCKETS x DIM x 4 bytes, whatever the corpus; every text is scored whole, by
+Arrow batches of bounded bytes, in one narrow pass.
 
 Defined results: null and empty text get the score of a text without words; a null doc_id is
 scored and not held out; labels of repeated doc_ids count once, by their least value; without
-labels of both kinds every score is the share of label 1 (0.5 without labels).
+labels of both kinds every score is the share of label 1 (0.5 without labels); extra columns are
+left out; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucera.llm.common import _IS_SPACE, Words, small_batches, table, text_buffers
+from lucera.llm.common import _IS_SPACE, slices, small_batches, span_hashes, table, text_buffers
 
-BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
-MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 50_000
+BUCKET_BITS, DIM, NONZERO, REACH = 15, 64, 4, 2
+BUCKETS = 1 << BUCKET_BITS
+#: A neighbour of share p in the training texts counts RARE / (RARE + p).
+RARE = 1e-3
+MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 40_000_000
 HIDDEN, EPOCHS, CUT = 32, 60, 0.3
 #: Words whose vectors are gathered at once, and texts measured at once while fitting.
 SLICE, FIT_ROWS = 100_000, 500
 
-_CLASS = np.full(256, 0, np.uint8)
-_CLASS[ord("A") : ord("Z") + 1] = 1
-_CLASS[ord("a") : ord("z") + 1] = 2
-_CLASS[ord("0") : ord("9") + 1] = 3
-_CLASS[[ord(c) for c in "#*$%&|<>~^_=+@\\/{}[]"]] = 4
-_CLASS[[ord(c) for c in "!?"]] = 5
-_CLASS[[ord(c) for c in ".,;:'\"()-"]] = 6
-_CLASS[128:] = 7
+#: Kinds of bytes that words are runs of: 0 white space, 1 letters, 2 digits, 3 signs.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[ord("0") : ord("9") + 1] = 2
+_KIND[ord("A") : ord("Z") + 1] = _KIND[ord("a") : ord("z") + 1] = _KIND[128:] = 1
+_KIND[_IS_SPACE] = 0
 
 
 def _random_index() -> tuple[np.ndarray, np.ndarray]:
@@ -47,110 +50,67 @@ def _random_index() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Texts:
-    """Buckets of words and shapes, and ratios, of a batch of texts."""
+    """Buckets of the words of a batch of texts, text by text."""
 
     def __init__(self, column):
         raw, offs = text_buffers(column)
-        w = Words(raw, offs)
-        self.first, n = w.first, w.counts()
-        self.word = (w.hashes >> np.uint64(50)).astype(np.int64)
-        classes, total, per = _CLASS[raw], np.zeros(len(raw) + 1, np.int64), []
-        for k in range(1, 7):
-            np.cumsum(classes == k, out=total[1:])
-            per.append(total[w.end] - total[w.start])
-        size = w.end - w.start
-        upper, lower, digit, sign, shout, stop = per
-        ends = _CLASS[raw[w.end - 1]] if len(w.end) else np.zeros(0, np.uint8)
-        begins = _CLASS[raw[w.start]] if len(w.end) else np.zeros(0, np.uint8)
-        shape = begins.astype(np.int64) * 8 + ends
-        shape = shape * 3 + np.where(upper == 0, 0, np.where(upper > lower, 2, 1))
-        shape = shape * 3 + np.minimum(sign, 2)
-        shape = (shape * 3 + np.minimum(shout, 2)) * 2 + (digit > 0)
-        shape = shape * 4 + np.minimum(size // 5, 3)
-        self.shape = (shape * 2654435761 % (1 << 32) >> 18).astype(np.int64)
-        self.total = np.maximum(n, 1)
-        doc = np.repeat(np.arange(len(n)), n)
-        mean = lambda v: np.bincount(doc, v, minlength=len(n)) / self.total
-        g, at = w.grams(8)
-        again = self._repeats(g, at)
-        pairs, pat = w.grams(1)
-        lines, lat = self._lines(raw, offs)
-        self.ratios = np.stack(
-            [np.log1p(n) / 8, mean(size) / 10, mean(sign > 0), mean(shout > 0), mean((upper > lower) & (size > 1)), mean(digit > 0),
-             mean(stop), again, self._repeats(pairs, pat), self._repeats(lines, lat), (n == 0).astype(float), np.minimum(n, 20) / 20],
-            axis=1,
-        )
-        self.n = n
+        kind, first = _KIND[raw], np.zeros(len(raw) + 1, bool)
+        first[offs] = True
+        begin = first[:-1]
+        begin[1:] |= kind[1:] != kind[:-1]
+        s = np.flatnonzero(begin)
+        e = np.append(s[1:], len(raw)) if len(s) else s
+        full = kind[s] > 0
+        s, e = s[full], e[full]
+        self.word = (span_hashes(raw, s, e) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        self.n = np.diff(np.searchsorted(s, offs))
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
 
-    @staticmethod
-    def _repeats(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Share of each text's hashes that occur earlier in it."""
-        count = np.diff(at)
-        doc = np.repeat(np.arange(len(count)), count)
-        if not len(h):
-            return np.zeros(len(count))
-        order = np.lexsort((h, doc))
-        same = np.zeros(len(h))
-        same[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-        return np.bincount(doc[order], same, minlength=len(count)) / np.maximum(count, 1)
+    def pooled(self, vectors: np.ndarray) -> np.ndarray:
+        """(texts, 2 DIM): mean word vector, mean product of neighbours; gathered in slices of bounded size."""
+        out = np.zeros((len(self.n), 2 * DIM))
+        for lo in range(0, len(self.doc), SLICE):
+            doc, v = self.doc[lo : lo + SLICE + 1], vectors[self.word[lo : lo + SLICE + 1]]
+            self._add(out[:, :DIM], doc[:SLICE], v[:SLICE])
+            near = doc[1:] == doc[:-1]
+            self._add(out[:, DIM:], doc[1:][near], (v[1:] * v[:-1])[near])
+        out[:, :DIM] /= np.maximum(self.n, 1)[:, None]
+        out[:, DIM:] /= np.maximum(self.n - 1, 1)[:, None]
+        return out
 
     @staticmethod
-    def _lines(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the lines with a word."""
-        if not len(raw):
-            return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-        step = np.cumsum((~_IS_SPACE[raw]).astype(np.uint64) * (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        total = np.concatenate([np.zeros(1, np.uint64), step])
-        place = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64) * np.arange(len(raw), dtype=np.uint64))])
-        cuts = np.unique(np.concatenate([np.flatnonzero(raw == 10) + 1, offs]))
-        a, b = cuts[:-1], cuts[1:]
-        moment = place[b] - place[a] - a.astype(np.uint64) * np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64))])[b]
-        moment += a.astype(np.uint64) * np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64))])[a]
-        h = (total[b] - total[a]) * np.uint64(0xBF58476D1CE4E5B9) + moment * np.uint64(0x94D049BB133111EB)
-        full = total[b] != total[a]
-        a, h = a[full], h[full]
-        return h, np.searchsorted(a, offs)
+    def _add(out: np.ndarray, doc: np.ndarray, v: np.ndarray) -> None:
+        if len(doc):
+            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            out[doc[starts]] += np.add.reduceat(v, starts, axis=0)
 
-    def pooled(self, vectors: np.ndarray) -> np.ndarray:
-        """(texts, features); words' vectors are summed in slices of bounded size."""
-        out = np.zeros((len(self.n), 2 * DIM), np.float32)
-        doc = np.repeat(np.arange(len(self.n)), self.n)
-        for lo in range(0, len(doc), SLICE):
-            part = doc[lo : lo + SLICE]
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            for k, ids in enumerate((self.word, self.shape)):
-                out[part[starts], k * DIM : (k + 1) * DIM] += np.add.reduceat(vectors[ids[lo : lo + SLICE]], starts, axis=0)
-        return np.concatenate([out / self.total[:, None], self.ratios], axis=1)
-
-
-def add_contexts(flat: np.ndarray, texts: Texts) -> None:
-    """Adds neighbours' index vectors to each bucket's vector."""
+
+def word_vectors(parts) -> np.ndarray:
+    """Random-indexing vectors of length 1 by bucket; parts() gives the training texts, twice."""
+    count = sum((np.bincount(t.word, minlength=BUCKETS) for t in parts()), np.zeros(BUCKETS))
+    weight = RARE / (RARE + count / max(1.0, count.sum()))
     place, sign = _random_index()
-    doc = np.repeat(np.arange(len(texts.n)), texts.n)
-    shapes = texts.shape
-    for own in (texts.word, shapes):
-        for other in (texts.word, shapes):
-            for d in range(0 if other is not own else 1, REACH + 1):
-                a, b = (own[: len(own) - d], other[d:])
-                near = doc[: len(doc) - d] == doc[d:]
-                for x, y in ((a[near], b[near]), (b[near], a[near]))[: 2 if own is other else 1]:
-                    for k in range(NONZERO):
-                        flat += np.bincount(x * DIM + place[y, k], sign[y, k], minlength=len(flat))
-
-
-def unit_vectors(flat: np.ndarray) -> np.ndarray:
+    flat = np.zeros(BUCKETS * DIM)
+    for t in parts():
+        for d in range(1, REACH + 1):
+            near = t.doc[:-d] == t.doc[d:]
+            a, b = t.word[:-d][near], t.word[d:][near]
+            for x, y in ((a, b), (b, a)):
+                for k in range(NONZERO):
+                    flat += np.bincount(x * DIM + place[y, k], sign[y, k] * weight[y], minlength=len(flat))
     v = flat.reshape(BUCKETS, DIM)
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 class Network:
-    """tanh layer and logistic output, Adam, weight decay, temperature from rows kept aside."""
+    """tanh layer and logistic output, Adam, weight decay. A sixth of the rows picks the epoch, another the temperature."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         r = np.random.default_rng(2)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         z, order = self._scaled(x), r.permutation(len(x))
-        fit, kept = order[len(x) // 6 :], order[: len(x) // 6]
+        part = len(x) // 6
+        kept, calm, fit = order[:part], order[part : 2 * part], order[2 * part :]
         self.w = [r.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), r.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         best, state = np.inf, None
@@ -171,8 +131,8 @@ class Network:
             if loss < best:
                 best, state = loss, [w.copy() for w in self.w]
         self.w = state or self.w
-        logit = self._logit(z[kept])
-        self.temperature = min(np.geomspace(0.25, 8, 60), key=lambda c: _loss(logit / c, y[kept])) if len(kept) else 1.0
+        logit = self._logit(z[calm])
+        self.temperature = min(np.geomspace(0.25, 8, 60), key=lambda c: _loss(logit / c, y[calm])) if len(calm) else 1.0
 
     def _scaled(self, x):
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -193,23 +153,28 @@ def _loss(logit, y):
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else 0.0
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality"):
-    """(vectors, network), or (None, share of label 1)."""
+def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(text, y) of the rows that the model is fitted on: at most MAX_TRAIN, of MAX_TRAIN_CHARS characters in all."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     rows = labels.filter(F.col(label).isNotNull() & ~held).groupBy("doc_id").agg(F.min(label).alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
-    got = got.join(F.broadcast(rows), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    order = [F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")]
+    got = got.filter(F.length("text") <= MAX_TRAIN_CHARS).orderBy(*order).limit(MAX_TRAIN)
+    # one window over at most MAX_TRAIN rows
+    return got.withColumn("_all", F.sum(F.length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_all") <= MAX_TRAIN_CHARS).select("text", "y")
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality"):
+    """(vectors, network), or (None, share of label 1)."""
+    got = sample(docs, labels, label).toPandas().sort_values(["text", "y"], kind="stable")
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
         return None, float(y.mean()) if len(y) else 0.5
-    parts = [got["text"].iloc[lo : lo + FIT_ROWS].tolist() for lo in range(0, len(got), FIT_ROWS)]
-    texts = lambda part: Texts(pa.array(part, pa.large_string()))
-    flat = np.zeros(BUCKETS * DIM)
-    for part in parts:
-        add_contexts(flat, texts(part))
-    vectors = unit_vectors(flat)
-    return vectors, Network(np.concatenate([texts(part).pooled(vectors) for part in parts]), y)
+    cut = [got["text"].iloc[lo : lo + FIT_ROWS].tolist() for lo in range(0, len(got), FIT_ROWS)]
+    parts = lambda: (Texts(pa.array(part, pa.large_string())) for part in cut)
+    vectors = word_vectors(parts)
+    return vectors, Network(np.concatenate([t.pooled(vectors) for t in parts()]), y)
 
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,8 +184,8 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
     def run(batches):
         vectors, net = model.value
-        for batch in batches:
-            p = np.full(len(batch), net) if vectors is None else net.score(Texts(batch.column("text")).pooled(vectors)) if len(batch) else np.zeros(0)
+        for batch in slices(batches):
+            p = np.full(len(batch), net) if vectors is None else net.score(Texts(batch.column("text")).pooled(vectors))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.asarray(p, float))], ["doc_id", "held_out", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")

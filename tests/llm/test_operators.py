@@ -89,7 +89,54 @@ def test_classifier(spark):
     good, bad = [s for s, y in held if y], [s for s, y in held if not y]
     auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
     print("AUC", auc, "accuracy", np.mean([(s >= 0.3) == y for s, y in held]), len(held))
-    assert auc > 0.95
+    assert auc > 0.999 and np.mean([(s >= 0.3) == y for s, y in held]) > 0.99
+
+
+def test_word_vectors_and_pools_by_brute_force(monkeypatch):
+    import re
+
+    import pyarrow as pa
+    from lucera.llm import quality_classifier as q
+
+    monkeypatch.setattr(q, "SLICE", 7)
+    texts = ["the cat!! sat on THE mat 12", "", "a|b c&&&", None, "the cat the cat the cat on on on", "x"]
+    t = q.Texts(pa.array(texts, pa.string()))
+    cut = [re.findall(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\s]+", x or "") for x in texts]
+    assert t.n.tolist() == [len(x) for x in cut]
+    flat = [w for x in cut for w in x]
+    name = dict(zip(flat, t.word.tolist(), strict=True))
+    assert [name[w] for w in flat] == t.word.tolist() and len(set(name.values())) == len(name)
+    place, sign = q._random_index()
+    index = np.zeros((q.BUCKETS, q.DIM))
+    for b in name.values():
+        for k in range(q.NONZERO):
+            index[b, place[b, k]] += sign[b, k]
+    expect, share = np.zeros((q.BUCKETS, q.DIM)), Counter(flat)
+    for x in cut:
+        for i, w in enumerate(x):
+            for j in range(max(0, i - q.REACH), min(len(x), i + q.REACH + 1)):
+                if i != j:
+                    expect[name[w]] += index[name[x[j]]] * q.RARE / (q.RARE + share[x[j]] / len(flat))
+    expect /= np.maximum(np.linalg.norm(expect, axis=1, keepdims=True), 1e-9)
+    vectors = q.word_vectors(lambda: [t])
+    assert np.allclose(vectors, expect, atol=1e-5)
+    got = t.pooled(vectors)
+    for i, x in enumerate(cut):
+        v = np.array([vectors[name[w]] for w in x]).reshape(-1, q.DIM)
+        mean = v.mean(0) if len(v) else np.zeros(q.DIM)
+        pair = (v[1:] * v[:-1]).mean(0) if len(v) > 1 else np.zeros(q.DIM)
+        assert np.allclose(got[i], np.concatenate([mean, pair]), atol=1e-5)
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+    from lucera.llm import common
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 10)
+    texts = ["abc", None, "x" * 50, "", "abcdefgh", "ab", "abc", "y" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts, pa.string())], ["k", "text"])
+    parts = [p.column("text").to_pylist() for p in common.slices([batch, batch.slice(2, 0)])]
+    assert sum(parts, []) == texts and all(sum(len(t or "") for t in p) <= 10 or len([t for t in p if t]) == 1 for p in parts)
 
 
 def test_classifier_on_odd(spark, odd):
