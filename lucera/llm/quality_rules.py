@@ -2,12 +2,17 @@
 
 Each document gets base measures in one narrow pass. Failures are counted by host (one row
 per host and task before the shuffle), hosts' rates are shrunk by a beta prior fitted to all
-hosts by moments, and the verdicts join back to the documents. A host that holds a third of
+hosts by moments, and the verdicts join back to the documents. A host is rejected, with all its
+documents, when its posterior rate lies above a bar with probability CERTAINTY (normal
+approximation of the beta posterior): BAR_TIMES the overall rate, but no less than LEAST_BAR and
+no more than MOST_BAR. So a host must fail far more often than the corpus, on enough documents,
+and a corpus that fails often does not excuse one that fails mostly. A host that holds a third of
 all rows costs no more than another: its rows are summed before the shuffle, and the join
 back is broadcast if Spark finds the host table small, else split by AQE where skewed.
 
 Defined results: null text has no words and fails; null host is a host of its own; an empty
-table gives an empty table; repeated rows count each time; other columns stay as they are.
+table gives an empty table; repeated rows count each time; the stage keeps all columns of its
+documents as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,14 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucera.llm.common import SPACES, Work, table, words_of
+from lucera.llm.common import SPACES, Work, table, whole_rows, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected when its failure rate is above the bar with this certainty (5 % of a normal lies beyond DEVIATIONS).
+CERTAINTY, DEVIATIONS = 0.95, 1.644854
+BAR_TIMES, LEAST_BAR, MOST_BAR = 3.0, 0.2, 0.5
 #: Bounds of the prior's weight in documents.
 MIN_PRIOR, MAX_PRIOR = 2.0, 1000.0
 
@@ -70,7 +76,8 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: _host, host_docs, host_failures, host_rate (shrunk).
+    """One row per host: _host, host_docs, host_failures, host_rate (posterior mean), host_low (what the
+    rate exceeds with CERTAINTY), host_bar.
 
     With p the overall rate, the prior is Beta(p k, (1 - p) k). k follows from the excess of
     the hosts' rates' weighted variance over the binomial one, within fixed bounds.
@@ -90,29 +97,35 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     weight = F.when(between > 0, F.greatest(F.lit(MIN_PRIOR), F.least(F.lit(MAX_PRIOR), p * (1 - p) / between - 1)))
     prior = total.select(p.alias("_p"), F.coalesce(weight, F.lit(MAX_PRIOR)).alias("_w"))
     rate = (f + F.col("_p") * F.col("_w")) / (n + F.col("_w"))
-    return hosts.crossJoin(F.broadcast(prior)).select("_host", "host_docs", "host_failures", F.round(rate, 6).alias("host_rate"))
+    low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (n + F.col("_w") + 1))
+    bar = F.greatest(F.lit(LEAST_BAR), F.least(F.lit(MOST_BAR), BAR_TIMES * F.col("_p")))
+    # the prior is one row
+    return hosts.crossJoin(F.broadcast(prior)).select(
+        "_host", "host_docs", "host_failures", F.round(rate, 6).alias("host_rate"), F.round(low, 6).alias("host_low"), F.round(bar, 6).alias("host_bar")
+    )
 
 
 def with_verdicts(measured: DataFrame, work: Work, host: str = "source") -> DataFrame:
     """Joins the hosts' shrunk rates to the measured documents and sets kept. The rates are written
     first: Spark knows their size when it chooses between broadcast and shuffle."""
     rates = work.save(host_rates(measured, host), "rates")
-    joined = measured.join(rates, measured[host].eqNullSafe(rates["_host"]), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rate") > MAX_HOST_RATE))
+    joined = measured.join(rates, F.col(host).eqNullSafe(rates["_host"]), "left").drop("_host")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_low") > F.col("host_bar")))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     work = Work(spark, "op2")
     measured = work.save(with_measures(docs.select("doc_id", "source", "text")).drop("text"), "measured")
-    return with_verdicts(measured, work).select("doc_id", *MEASURES, "base_failed", "kept", "source", "host_docs", "host_failures", "host_rate")
+    return with_verdicts(measured, work).select("doc_id", *MEASURES, "base_failed", "kept", "source", "host_docs", "host_failures", "host_rate", "host_low", "host_bar")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents the rules reject go."""
+    """Pipeline: documents that the rules reject go, for their own measures or their host's verdict. The
+    columns of docs stay as they are, also those named like a measure; null texts go, as in op2."""
     work = Work(spark, "rules")
-    measured = work.save(with_measures(docs), "measured")
-    return with_verdicts(measured, work).filter("kept").select(*docs.columns)
+    measured = work.save(with_measures(whole_rows(docs), "_row.text"), "measured")
+    return with_verdicts(measured, work, "_row.source").filter("kept").select("_row.*")
 
 
 ORACLE_MEASURES = r"""
@@ -134,10 +147,11 @@ tot AS (SELECT sum(n)::DOUBLE AS tn, sum(f)::DOUBLE AS tf, count(*)::DOUBLE AS k
 pr AS (SELECT tf / tn AS p, tn, k, ss, nn FROM tot),
 pv AS (SELECT p, CASE WHEN tn - nn / tn <> 0 THEN (ss - tn * p * p - (k - 1) * p * (1 - p)) / (tn - nn / tn) END AS v FROM pr),
 pw AS (SELECT p, coalesce(CASE WHEN v > 0 THEN greatest(2.0, least(1000.0, p * (1 - p) / v - 1)) END, 1000.0)::DOUBLE AS w FROM pv),
-hr AS (SELECT hs, n, f, round((f + p * w) / (n + w), 6) AS rate FROM h, pw),
-q AS (SELECT b.*, hr.n AS host_docs, hr.f AS host_failures, rate AS host_rate, (NOT base_failed AND NOT rate > 0.5) AS kept
+hp AS (SELECT hs, n, f, (f + p * w) / (n + w) AS rate, n + w + 1 AS m, greatest(0.2, least(0.5, 3.0 * p))::DOUBLE AS bar FROM h, pw),
+hr AS (SELECT hs, n, f, round(rate, 6) AS rate, round(rate - 1.644854::DOUBLE * sqrt(rate * (1 - rate) / m), 6) AS low, round(bar, 6) AS bar FROM hp),
+q AS (SELECT b.*, hr.n AS host_docs, hr.f AS host_failures, rate AS host_rate, low AS host_low, bar AS host_bar, (NOT base_failed AND NOT low > bar) AS kept
       FROM b JOIN hr ON b.source IS NOT DISTINCT FROM hr.hs)
 """
 
 ORACLE = f"""WITH {ORACLE_MEASURES}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, source, host_docs, host_failures, host_rate FROM q"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, source, host_docs, host_failures, host_rate, host_low, host_bar FROM q"""
