@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lucera.llm.common import small_batches, table
+from lucera.llm.common import slices, small_batches, table
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 
@@ -114,7 +114,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, text_sha = [], [], []
             for t in batch.column("text").to_pylist():
                 ids = bpe.encode(t or "")
@@ -132,6 +132,6 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the documents' ids, last of all."""
+    """Pipeline: the documents' ids, last of all: a row a document, as op7; other columns are left out, null text is empty."""
     small_batches(spark)
     return encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own where unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); one of our own where unset, as in local tests alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="lucera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="lucera-"))
+        base = _own[0]
     return base.rstrip("/")
 
 
@@ -51,11 +58,27 @@ def slices(batches, column: str = "text"):
             lo = hi
 
 
+_collecting: list[list[Work]] = []
+
+
+@contextmanager
+def scratch():
+    """Collects the Works made inside, to drop what they leave once their result is written."""
+    made: list[Work] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.remove(made)
+
+
 class Work:
     """Written intermediates of one query: lineage ends at them, so a lost executor costs a re-read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
+        if _collecting:
+            _collecting[-1].append(self)
 
     def save(self, df: DataFrame, key: str) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{key}")
@@ -64,7 +87,7 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keys: str) -> None:
-        for key in keys:
+        for key in list(keys):
             remove(self.spark, self.paths.pop(key))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucera.llm.common import Work, Words, mix64, signed, small_batches, table, text_buffers
+from lucera.llm.common import Work, Words, mix64, signed, slices, small_batches, table, text_buffers, whole_rows
 from lucera.llm.components import connected
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
@@ -67,7 +67,7 @@ def band_values(grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches):
-    for batch in batches:
+    for batch in slices(batches):
         raw, offs = text_buffers(batch.column("text"))
         bands = band_values(*Words(raw, offs).grams(SHINGLE))
         flat = pa.array(signed(bands.reshape(-1)))
@@ -77,7 +77,7 @@ def _signatures(batches):
 
 def _sets(batches):
     """Sorted distinct shingle hashes of each text."""
-    for batch in batches:
+    for batch in slices(batches):
         raw, offs = text_buffers(batch.column("text"))
         g, at = Words(raw, offs).grams(SHINGLE)
         sets = [np.unique(g[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -221,11 +221,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the document with the least doc_id of each class stays (one row of it)."""
+    """Pipeline: the document with the least doc_id of each class stays (one row of it). All columns of docs
+    stay as they are; a null text counts as empty, and null doc_ids as least only of classes without ids."""
     classes = near_classes(spark, docs.select("doc_id", "text"), Work(spark, "near"))
     # by root, not class_id: classes without ids, or with repeated ones, share that
     least = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "h1")).alias("k"))
     keep = least.select(F.col("k.doc_id").alias("_id"), F.col("k.h1").alias("_h"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kept = docs.withColumn("_t", F.xxhash64(text)).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_t"]).drop("_t")
+    rows = whole_rows(docs).select("_row", F.col("_row.doc_id").alias("_d"), F.xxhash64(F.coalesce("_row.text", F.lit(""))).alias("_t"))
+    kept = rows.join(keep, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["_d", "_t"]).select("_row.*")

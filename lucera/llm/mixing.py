@@ -12,8 +12,9 @@ per-partition sums, so a source with a third of all rows spreads over many tasks
 of sources is not collected: shares come from aggregates of a few rows.
 
 Defined results: null text has size 0; null source is a source, ranked last; sources of size 0
-have target 0; repeated rows are separate documents; empty tables give empty results. Runs
-agree: order depends on doc_id and text only.
+have target 0; repeated rows are separate documents, of which those of equal doc_id and text are
+told apart by source; empty tables give empty results; columns of any name stay as they
+are. Runs agree: order depends on doc_id and text only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucera.llm.common import Work, table, words_of
+from lucera.llm.common import Work, table, whole_rows, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -77,7 +78,8 @@ def laid_out(docs: DataFrame, work: Work, keep: list[str]) -> DataFrame:
     sized = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long"))
     order = order_hash()
     cols = list(dict.fromkeys([*keep, "doc_id", "source", "size"]))
-    ranged = sized.withColumn("_order", order).select(*cols, "_order")
+    # written first: the range shuffle samples its input, and must not split every text again for it
+    ranged = work.save(sized.withColumn("_order", order).select(*cols, "_order"), "sized")
     ranged = ranged.repartitionByRange(F.col("source").asc_nulls_last(), "_order", "doc_id")
     ranged = work.save(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
     by_part = ranged.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
@@ -97,51 +99,63 @@ def laid_out(docs: DataFrame, work: Work, keep: list[str]) -> DataFrame:
     return placed.withColumn("_turns", turns).withColumn("taken", (turns * F.col("size") + cut).cast("long"))
 
 
-def first_position(df: DataFrame) -> DataFrame:
-    frac = F.try_divide(F.col("_start").cast("double"), F.col("target"))
-    return df.withColumn("position", F.when(F.col("taken") > 0, position(frac, F.col("weight"))))
+def positions(df: DataFrame) -> DataFrame:
+    """Adds copies (the cut one included), and the training positions of the first and the last copy."""
+    whole = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
+    df = df.withColumn("copies", F.ceil(whole).cast("long"))
+    place = lambda k: position(F.least(F.try_divide((k * F.col("source_size") + F.col("_start")).cast("double"), F.col("target")), F.lit(1.0)), F.col("weight"))
+    taken = F.col("taken") > 0
+    return df.withColumns({"position": F.when(taken, place(F.lit(0))), "last_position": F.when(taken, place(F.col("copies") - 1))})
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = first_position(laid_out(docs, Work(spark, "op4"), ["doc_id", "source"]))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "weight", F.round("position", 9).alias("position"))
+    out = positions(laid_out(docs, Work(spark, "op4"), ["doc_id", "source"]))
+    out = out.select("doc_id", "size", "source_size", "target", "taken", "source", "weight", "copies", F.round("position", 9).alias("position"), F.round("last_position", 9).alias("last_position"))
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The mixed corpus: a row per copy, in training order, the cut copy shortened to its taken
-    words (joined by one space). Adds position and copy.
+    """The mixed corpus, a row per copy in training order: _row (the document, the cut copy's text
+    shortened to its taken words, joined by one space), position and copy.
 
     Positions are worked out without the texts; texts move twice, to their row's plan (by the
     order hash; equal rows pair off by number) and to their place."""
     laid = laid_out(docs.select("doc_id", "source", "text"), Work(spark, "mix"), ["doc_id", "source"])
-    plan = numbered(laid, "size").filter("taken > 0").select("_order", "_no", "_start", "taken", "size", "source_size", "target", "weight").withColumnRenamed("_order", "_o").withColumnRenamed("_no", "_m")
-    rows = numbered(docs.withColumn("_order", order_hash()), "lang" if "lang" in docs.columns else "doc_id")
+    plan = numbered(laid).filter("taken > 0").select("_order", "_no", "_start", "taken", "size", "source_size", "target", "weight").withColumnRenamed("_order", "_o").withColumnRenamed("_no", "_m")
+    rows = whole_rows(docs).withColumns({"_order": order_hash("_row."), "source": F.col("_row.source")})
+    rows = numbered(rows)
     rows = rows.join(plan, (F.col("_order") == F.col("_o")) & (F.col("_no") - F.col("_m") == 0))
     whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = whole + (part > 0).cast("int")
     rows = rows.withColumn("_whole", whole).withColumn("_cut", part).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    short = F.array_join(F.slice(words_of(F.col("text")), 1, F.col("_cut")), " ")
-    rows = rows.withColumn("text", F.when(F.col("copy") < F.col("_whole"), F.col("text")).otherwise(short))
+    short = F.array_join(F.slice(words_of(F.col("_row.text")), 1, F.col("_cut")), " ")
+    text = F.when(F.col("copy") < F.col("_whole"), F.col("_row.text")).otherwise(short)
+    rows = rows.withColumn("_row", F.col("_row").withField("text", text))
     frac = F.try_divide((F.col("copy") * F.col("source_size") + F.col("_start")).cast("double"), F.col("target"))
     rows = rows.withColumn("position", position(F.least(frac, F.lit(1.0)), F.col("weight")))
-    rows = rows.select(*docs.columns, "position", "copy")
-    return rows.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+    rows = rows.select("_row", "position", "copy")
+    order = ["position", F.col("_row.doc_id"), "copy"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def order_hash() -> Column:
-    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
+def order_hash(row: str = "") -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(f"{row}doc_id").cast("string"), F.lit("-")), F.col(f"{row}text")))
 
 
-def numbered(df: DataFrame, tie: str) -> DataFrame:
-    """Numbers rows of equal doc_id and text, by source first."""
-    return df.withColumn("_no", F.row_number().over(Window.partitionBy("_order").orderBy("source", tie)))
+def numbered(df: DataFrame) -> DataFrame:
+    """Numbers rows of equal doc_id and text, by source (those of one source are alike)."""
+    return df.withColumn("_no", F.row_number().over(Window.partitionBy("_order").orderBy("source")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(spark, docs)
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else mixed.select(*docs.columns)
+    """Pipeline: the mixed corpus in training order; heavy sources' documents repeat, light ones' may go.
+    Columns stay as they are but for text and n_chars, which tell the copy's; null texts go (they have no words)."""
+    row = F.col("_row")
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_row.text").cast("long"))
+    return mix(spark, docs).select(row.alias("_row")).select("_row.*")
 
 
 def _place_sql(frac: str, knots) -> str:
@@ -157,7 +171,7 @@ def _place_sql(frac: str, knots) -> str:
 
 ORACLE = f"""WITH
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-             md5(concat_ws(':', doc_id, text)) AS o FROM documents),
+             md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), '-'), text)) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS weight
       FROM d GROUP BY source),
 r AS (SELECT *, 3 * source_size AS lim, 3 * source_size / weight::DOUBLE AS ratio FROM s),
@@ -168,7 +182,10 @@ t AS (SELECT r.*, least(lim::DOUBLE, level * weight) AS target FROM r, lev),
 p AS (SELECT d.*, source_size, weight, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS st,
              floor(target)::BIGINT AS goal FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS turns FROM p),
-f AS (SELECT *, (turns * size + greatest(0, least(size, goal - turns * source_size - st)))::BIGINT AS taken, st::DOUBLE / nullif(target, 0) AS frac FROM k)
-SELECT doc_id, size, source_size, target, taken, source, weight,
-       round(CASE WHEN taken > 0 THEN CASE {" ".join(f"WHEN weight = {w} THEN {_place_sql('frac', k)}" for w, k in SCHEDULES.items())} END END, 9) AS position
+x AS (SELECT *, (turns * size + greatest(0, least(size, goal - turns * source_size - st)))::BIGINT AS taken FROM k),
+y AS (SELECT *, CAST(ceil(taken / greatest(size, 1)::DOUBLE) AS BIGINT) AS copies FROM x),
+f AS (SELECT *, least(1.0, st::DOUBLE / nullif(target, 0)) AS frac, least(1.0, ((copies - 1) * source_size + st)::DOUBLE / nullif(target, 0)) AS lfrac FROM y)
+SELECT doc_id, size, source_size, target, taken, source, weight, copies,
+       round(CASE WHEN taken > 0 THEN CASE {" ".join(f"WHEN weight = {w} THEN {_place_sql('frac', k)}" for w, k in SCHEDULES.items())} END END, 9) AS position,
+       round(CASE WHEN taken > 0 THEN CASE {" ".join(f"WHEN weight = {w} THEN {_place_sql('lfrac', k)}" for w, k in SCHEDULES.items())} END END, 9) AS last_position
 FROM f"""

@@ -17,20 +17,19 @@ QUERIES = {
     "op10_warc_zip": warc_zip.op10_warc_zip,
 }
 
-#: Operator 9 by brute force: every window against every document of smaller id.
+#: Operator 9 by brute force: every window against every document of smaller id (null is least).
 SUBSTRING_SQL = r"""WITH
-d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
-f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k HAVING count(*) > 1),
-r AS (SELECT w.doc_id, i FROM w JOIN f ON w.k = f.k AND w.doc_id > f.first),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM r),
-x AS (SELECT doc_id, count(*) AS n, list(p) AS gone FROM g GROUP BY doc_id),
-o AS (SELECT d.doc_id, ws, coalesce(n, 0) AS n_removed, gone FROM d LEFT JOIN x ON d.doc_id = x.doc_id),
-e AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d WHERE doc_id IN (SELECT doc_id FROM x)),
-t AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
-SELECT o.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
-       sha256(CASE WHEN n_removed = 0 THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
-FROM o LEFT JOIN t ON o.doc_id = t.doc_id"""
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS d0, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, d0, i, md5(array_to_string(ws[i:i+49], ' ')) AS k FROM (SELECT rid, d0, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT k, min(d0) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT rid, i FROM w JOIN f ON w.k = f.k AND w.d0 > f.first),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM r),
+x AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+e AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d WHERE rid IN (SELECT rid FROM x)),
+t AS (SELECT e.rid, string_agg(word, ' ' ORDER BY e.p) AS kept FROM e ANTI JOIN g ON e.rid = g.rid AND e.p = g.p GROUP BY e.rid)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN x ON d.rid = x.rid LEFT JOIN t ON d.rid = t.rid"""
 
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE,

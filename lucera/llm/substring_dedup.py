@@ -24,10 +24,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucera.llm.common import Work, Words, mix64, signed, small_batches, table, text_buffers
+from lucera.llm.common import Work, Words, mix64, signed, slices, small_batches, table, text_buffers, whole_rows
 
 WINDOW, GRAM = 50, 8
 #: Contents of one anchor beyond which they are cut to single windows; words of one FM-index.
@@ -71,7 +71,7 @@ def _spans(raw: np.ndarray, offs: np.ndarray, i: int) -> bytes:
 
 def _scan(batches):
     """Per document: word count, digest of all words, and its segments."""
-    for batch in batches:
+    for batch in slices(batches):
         raw, offs = text_buffers(batch.column("text"))
         words = Words(raw, offs)
         doc, h, start, size = anchors(words)
@@ -86,7 +86,7 @@ def _scan(batches):
 
 def _contents(batches):
     """Per shared segment: anchor, its words' hashes, a hash of them, and where it lies."""
-    for batch in batches:
+    for batch in slices(batches):
         raw, offs = text_buffers(batch.column("text"))
         words = Words(raw, offs)
         segs = batch.column("segments")
@@ -258,7 +258,7 @@ def _search(batches):
 
 def _apply(batches):
     """Cuts the words of a document's runs [from, to) and digests what is kept."""
-    for batch in batches:
+    for batch in slices(batches):
         raw, offs = text_buffers(batch.column("text"))
         runs = batch.column("runs").to_pylist()
         gone, sha, kept = [], [], []
@@ -284,11 +284,16 @@ def even_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(few), on).unionByName(others)
 
 
+def text_key(row: str = "") -> Column:
+    """64 bits of a document's id and text."""
+    return F.xxhash64(F.struct(F.col(f"{row}doc_id").alias("d")), F.col(f"{row}text"), F.length(f"{row}text"))
+
+
 def repeats(spark: SparkSession, docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     """docs has doc_id, text. Scanned rows (doc_id, k, n_words, full_sha256) and, for each key k
     (a hash of doc_id and text) with something to remove, n_removed, kept_sha256, kept_text."""
     small_batches(spark)
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.struct("doc_id"), "text", F.length("text")).alias("k"))
+    keyed = docs.select("doc_id", "text", text_key().alias("k"))
     scanned = work.save(keyed.mapInArrow(_scan, "doc_id long, k long, n_words long, full_sha256 string, segments array<struct<h:long,a:int,n:int>>"), "scan")
     low = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     segs = scanned.select(low.alias("d"), "k", F.explode("segments").alias("s")).select("d", "k", "s.h", "s.a", "s.n")
@@ -331,11 +336,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: repeated passages go from the texts; a document with no word left goes."""
+    """Pipeline: repeated passages go from the texts; a document with no word left of some goes. Columns
+    stay as they are but for text and n_chars, which tell what is kept; texts that nothing is removed from,
+    null ones too, stay untouched."""
     _, removed = repeats(spark, docs.select("doc_id", "text"), Work(spark, "substring"))
-    key = F.xxhash64(F.struct("doc_id"), "text", F.length("text"))
-    out = docs.withColumn("_k", key).join(removed.select(F.col("k").alias("_k"), "kept_text"), "_k", "left")
-    out = out.filter("kept_text IS NULL OR kept_text <> ''").withColumn("text", F.coalesce("kept_text", "text"))
+    out = whole_rows(docs).withColumn("_k", text_key("_row.")).join(removed.select(F.col("k").alias("_k"), "kept_text"), "_k", "left")
+    row = F.col("_row").withField("text", F.coalesce("kept_text", "_row.text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length(F.coalesce("kept_text", "_row.text")).cast("long"))
+    return out.filter("kept_text IS NULL OR kept_text <> ''").select(row.alias("_row")).select("_row.*")

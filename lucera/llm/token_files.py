@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucera.llm.common import _IS_SPACE, new_path, small_batches, span_hashes, table, text_buffers
+from lucera.llm.common import _IS_SPACE, new_path, slices, small_batches, span_hashes, table, text_buffers
 
 END_ID = 0
 CACHE_PIECES = 1_500_000
@@ -234,7 +234,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, start = encoder_of(tokenizer), 0
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             flat, at = encoder.encode_batch(batch.column("text"))
             flat = np.insert(flat, at[1:], END_ID).astype(np.int32)
             sizes = np.diff(at) + 1
