@@ -2,20 +2,26 @@
 
 1. Winnowing finds where texts could share a window, exactly: each 50-word window picks the
    8-word shingle of least hash within it (an anchor); equal windows pick equal anchors. The
-   windows that pick one anchor form a segment. Only anchors seen under two different doc_ids
-   matter, which a count on (anchor, doc_id) decides.
-2. Segments go to a shard by anchor. Equal segments are one content before the shuffle, with
-   its least doc_id; contents of anchors with very many different contents are cut to single
-   windows, whose equal copies then fall together the same way.
+   windows that pick one anchor form a segment, of 43 windows at most. Only anchors seen under two
+   different doc_ids matter, which a count on (anchor, doc_id) decides.
+2. Segments go to a shard by anchor; equal segments are one content before the shuffle, with its
+   least doc_id as owner. An anchor of over HOT_CONTENTS contents would not fit a shard, so its
+   contents go to shards by finer keys: each window that two of them share by all its words, and
+   each content that several documents have by all of its.
 3. Each shard's contents are indexed in an FM-index: Burrows-Wheeler transform in a wavelet
-   matrix of packed bits with block counts. Windows are searched backward in lock step, and a
-   step goes on while the suffix interval holds a content of smaller doc_id. A search that
-   stops at a word rules out all windows over that stretch; one that runs through proves all
-   windows within: matching statistics, reported as runs of starts above the threshold.
+   matrix of packed bits with block counts, and the least owner under a suffix interval. The
+   documents' segments are streamed against it (equal ones once): backward search in lock step
+   goes on while the suffix interval holds an owner below the document. A search that stops at a
+   word rules out all windows over that stretch; one that runs through proves all windows within:
+   matching statistics, reported as runs of starts above the threshold. Nothing is removed but
+   what a search has found: a content is searched for owners below its own, and for documents
+   beyond its owner.
 4. Runs join back to the documents' segments and cut the words.
 
 Defined results: null text has no words; equal doc_ids never remove from each other; null
-doc_id counts as least; repeated rows each get the result; empty tables give empty results.
+doc_id counts as least; repeated rows each get the result; texts of under 50 words, and texts
+that share nothing, keep every word; empty tables give empty results; extra columns are left out
+by the query and kept by the stage.
 """
 
 from __future__ import annotations
@@ -30,8 +36,10 @@ from pyspark.sql import functions as F
 from lucera.llm.common import Work, Words, mix64, signed, slices, small_batches, table, text_buffers, whole_rows
 
 WINDOW, GRAM = 50, 8
-#: Contents of one anchor beyond which they are cut to single windows; words of one FM-index.
+#: Contents of one anchor that a shard holds at most; words of one FM-index (more if one anchor has them).
 HOT_CONTENTS, SHARD_WORDS = 2000, 400_000
+#: Queries that go through an index in lock step.
+QUERIES = 20_000
 #: A key with over 1/HOT_SHARE of a join's rows is joined by broadcast; fewer than HOT_SHARE keys can be.
 HOT_SHARE = 256
 
@@ -110,7 +118,10 @@ def _contents(batches):
 
 
 class FMIndex:
-    """FM-index of integer sequences with the least owner under each suffix interval."""
+    """FM-index of integer sequences with the least owner (an int32 rank) under each suffix interval.
+
+    It keeps no suffix array: about 14 bytes a word, three int32 of owners, and a bit and half a
+    block count for each level of the wavelet matrix."""
 
     def __init__(self, seqs: list[np.ndarray], owners: np.ndarray):
         text = np.concatenate(seqs)
@@ -124,8 +135,8 @@ class FMIndex:
         t[body] = ids + 1
         self.n, self.sigma = len(t), len(self.alphabet) + 1
         sa = self._suffixes(t)
-        owner = np.full(len(t), np.iinfo(np.int64).max)
-        owner[np.flatnonzero(body)] = np.repeat(owners, sizes)
+        owner = np.full(len(t), np.iinfo(np.int32).max, np.int32)
+        owner[np.flatnonzero(body)] = np.repeat(owners.astype(np.int32), sizes)
         self._least(owner[sa])
         bwt = t[sa - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=self.sigma))])
@@ -157,21 +168,37 @@ class FMIndex:
                 return order
 
     def _least(self, v: np.ndarray) -> None:
-        self.tables = [v]
-        while 2 ** len(self.tables) <= len(v):
-            half = 2 ** (len(self.tables) - 1)
-            last = self.tables[-1]
-            self.tables.append(np.minimum(last[:-half], last[half:]))
+        """Owners, their minima from each cell's block start and to its end, and a sparse table over blocks of 64."""
+        n = -(-len(v) // 64) * 64
+        cells = np.full(n, np.iinfo(np.int32).max, np.int32)
+        cells[: len(v)] = v
+        grid = cells.reshape(-1, 64)
+        self.owner = cells
+        self.from_start = np.minimum.accumulate(grid, axis=1).reshape(-1)
+        self.to_end = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+        self.blocks = [grid.min(axis=1)]
+        while 2 ** len(self.blocks) <= len(self.blocks[0]):
+            half, last = 2 ** (len(self.blocks) - 1), self.blocks[-1]
+            self.blocks.append(np.minimum(last[:-half], last[half:]))
 
     def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Least owner in [lo, hi), where not empty."""
-        span = hi - lo
-        level = np.frexp(span.astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int64)
-        for k in np.unique(level):
-            m = level == k
-            t = self.tables[k]
-            out[m] = np.minimum(t[lo[m]], t[hi[m] - (1 << int(k))])
+        a, b = lo >> 6, (hi - 1) >> 6
+        out = np.minimum(self.to_end[lo], self.from_start[hi - 1])
+        near = np.flatnonzero(a == b)
+        if len(near):  # within one block: cell by cell
+            size = hi[near] - lo[near]
+            ends = np.cumsum(size)
+            at = np.repeat(lo[near] - (ends - size), size) + np.arange(ends[-1])
+            out[near] = np.minimum.reduceat(self.owner[at], ends - size)
+        far = np.flatnonzero(b > a + 1)
+        if len(far):
+            p, q = a[far] + 1, b[far]
+            level = np.frexp((q - p).astype(np.float64))[1] - 1
+            for k in np.unique(level):
+                m = level == k
+                t = self.blocks[k]
+                out[far[m]] = np.minimum(out[far[m]], np.minimum(t[p[m]], t[q[m] - (1 << int(k))]))
         return out
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,73 +212,85 @@ class FMIndex:
         return base + p - s, base + q - s
 
 
-def matched_starts(seqs: list[np.ndarray], owners: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """Per sequence a mask of window starts whose window also lies in a sequence of smaller owner."""
-    fm = FMIndex(seqs, owners)
-    ids = [np.searchsorted(fm.alphabet, s) + 1 for s in seqs]
-    offs = np.cumsum([0, *map(len, ids)])
-    text = np.concatenate(ids)
-    found = [np.zeros(max(0, len(s) - window + 1), bool) for s in seqs]
-    # a piece of work: sequence, unknown starts a..b, and the start whose window's end is searched from
-    work = [(i, 0, len(m) - 1, len(m) - 1) for i, m in enumerate(found) if len(m)]
-    while work:
-        seq, a, b, mid = (np.array(x, np.int64) for x in zip(*work, strict=True))
-        stop = np.full(len(work), -1, np.int64)  # last word not matched, relative; a - 1 if all are
-        lo, hi = np.zeros(len(work), np.int64), np.full(len(work), fm.n, np.int64)
-        live, pos = np.arange(len(work)), mid + window - 1
-        while len(live):
-            c = text[offs[seq[live]] + pos[live]]
-            l2, h2 = fm.step(c, lo[live], hi[live])
-            good = h2 > l2
-            good[good] = fm.least(l2[good], h2[good]) < owners[seq[live[good]]]
-            stop[live[~good]] = pos[live[~good]]
-            live, l2, h2 = live[good], l2[good], h2[good]
-            lo[live], hi[live] = l2, h2
-            pos[live] -= 1
-            over = pos[live] < a[live]
-            stop[live[over]] = a[live[over]] - 1
-            live = live[~over]
-        nxt = []
-        for i, s, e, m, p in zip(seq.tolist(), a.tolist(), b.tolist(), mid.tolist(), stop.tolist(), strict=True):
-            if p < m:  # windows p + 1 .. m are matched
-                found[i][p + 1 : m + 1] = True
-                rest = ((s, p), (m + 1, e))
-            else:  # windows m .. min(p, e) hold an unmatched stretch
-                rest = ((s, m - 1), (p + 1, e))
-            for x, y in rest:
-                if x <= y:
-                    nxt.append((i, x, y, x if m == e and p >= m else (x + y) // 2))
-        work = nxt
-    return found
+class Shard:
+    """One FM-index over contents; queries are streamed against it."""
+
+    def __init__(self, seqs: list[np.ndarray], owners: np.ndarray):
+        self.ranked, self.rank = np.unique(owners, return_inverse=True)
+        self.fm = FMIndex(seqs, self.rank)
+
+    def matched(self, seqs: list[np.ndarray], limits: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+        """Per query a mask of window starts whose window lies in a content with an owner below its limit."""
+        fm = self.fm
+        flat = np.concatenate(seqs)
+        text = np.searchsorted(fm.alphabet, flat)
+        known = fm.alphabet[np.minimum(text, len(fm.alphabet) - 1)] == flat
+        text, limit = np.where(known, text + 1, -1), np.searchsorted(self.ranked, limits)
+        offs = np.cumsum([0, *map(len, seqs)])
+        found = [np.zeros(max(0, len(s) - window + 1), bool) for s in seqs]
+        # a piece of work: query, unknown starts a..b, and the start whose window's end is searched from
+        work = [(i, 0, len(m) - 1, len(m) - 1) for i, m in enumerate(found) if len(m)]
+        while work:
+            seq, a, b, mid = (np.array(x, np.int64) for x in zip(*work, strict=True))
+            stop = np.full(len(work), -1, np.int64)  # last word not matched, relative; a - 1 if all are
+            lo, hi = np.zeros(len(work), np.int64), np.full(len(work), fm.n, np.int64)
+            live, pos = np.arange(len(work)), mid + window - 1
+            while len(live):
+                c = text[offs[seq[live]] + pos[live]]
+                l2, h2 = fm.step(np.maximum(c, 0), lo[live], hi[live])
+                good = (h2 > l2) & (c > 0)
+                good[good] = fm.least(l2[good], h2[good]) < limit[seq[live[good]]]
+                stop[live[~good]] = pos[live[~good]]
+                live, l2, h2 = live[good], l2[good], h2[good]
+                lo[live], hi[live] = l2, h2
+                pos[live] -= 1
+                over = pos[live] < a[live]
+                stop[live[over]] = a[live[over]] - 1
+                live = live[~over]
+            nxt = []
+            for i, s, e, m, p in zip(seq.tolist(), a.tolist(), b.tolist(), mid.tolist(), stop.tolist(), strict=True):
+                if p < m:  # windows p + 1 .. m are matched
+                    found[i][p + 1 : m + 1] = True
+                    rest = ((s, p), (m + 1, e))
+                else:  # windows m .. min(p, e) hold an unmatched stretch
+                    rest = ((s, m - 1), (p + 1, e))
+                for x, y in rest:
+                    if x <= y:
+                        nxt.append((i, x, y, x if m == e and p >= m else (x + y) // 2))
+            work = nxt
+        return found
 
 
 def _search(batches):
-    """Contents sorted by anchor in; (h, c, runs of matched starts) out. Anchors stay together."""
+    """Contents sorted by shard key g (kind, h, c, owner, words, strict, copies) in; runs of matched starts
+    out: own says that they hold for the owner too. Rows of one g stay together."""
 
     def flush(rows):
-        seqs, owners = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
-        masks = matched_starts(seqs, owners)
-        h, c, fa, ta = [], [], [], []
-        for r, m in zip(rows, masks, strict=True):
-            if m.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]])))
-                h += [r[0]] * (len(edge) // 2)
-                c += [r[1]] * (len(edge) // 2)
-                fa += edge[::2].tolist()
-                ta += edge[1::2].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(fa, pa.int32()), pa.array(ta, pa.int32())], ["h", "c", "f", "t"])
-
-    rows, total = [], 0
+        shard = Shard([r[4] for r in rows], np.array([r[3] for r in rows], np.int64))
+        # each content against owners below its own, and against its own, for the documents beyond
+        queries = [(r, own) for r in rows for own in (True, False) if (r[5] if own else r[6])]
+        out = []
+        for lo in range(0, len(queries), QUERIES):
+            part = queries[lo : lo + QUERIES]
+            masks = shard.matched([r[4] for r, _ in part], np.array([r[3] + (not own) for r, own in part], np.int64))
+            for (r, own), m in zip(part, masks, strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]]))).tolist()
+                out += [(r[0], r[1], r[2], f, t, own) for f, t in zip(edge[::2], edge[1::2], strict=True)]
+        types = {"kind": pa.int32(), "h": pa.int64(), "c": pa.int64(), "f": pa.int32(), "t": pa.int32(), "own": pa.bool_()}
+        cols = zip(*out, strict=True) if out else [[] for _ in types]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, types.values(), strict=True)], list(types))
+
+    rows, total, last = [], 0, None
     for batch in batches:
-        h, c, owner = (batch.column(x).to_numpy() for x in ("h", "c", "owner"))
+        g, kind, h, c, owner, strict, copies = (batch.column(x).to_pylist() for x in ("g", "kind", "h", "c", "owner", "strict", "copies"))
         words = batch.column("words")
         at, flat = words.offsets.to_numpy(), words.values.to_numpy()
         for i in range(len(batch)):
-            if total >= SHARD_WORDS and rows[-1][0] != h[i]:
+            if total >= SHARD_WORDS and last != g[i]:
                 yield flush(rows)
                 rows, total = [], 0
-            rows.append((int(h[i]), int(c[i]), flat[at[i] : at[i + 1]].copy(), int(owner[i])))
-            total += len(rows[-1][2])
+            rows.append((kind[i], h[i], c[i], owner[i], flat[at[i] : at[i + 1]].copy(), strict[i], copies[i]))
+            total, last = total + len(rows[-1][4]), g[i]
     if rows:
         yield flush(rows)
 
@@ -303,29 +342,36 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Work) -> tuple[DataFrame
     source = keyed.select(low.alias("doc_id"), "text", "k").join(picked, "k").dropDuplicates(["k"])
     source = work.save(source, "source")
     pieces = work.save(source.mapInArrow(_contents, "doc_id long, k long, h long, a int, n int, c long, words array<long>"), "pieces")
-    contents = pieces.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    contents = pieces.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
     contents = work.save(contents, "contents")
-    owners = contents.select("h", "c", "owner", "n")
-    many = contents.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    contents = contents.join(many, "h", "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    plain = contents.filter(f"m <= {HOT_CONTENTS}").select("h", "c", "owner", "words", F.lit(0).alias("cut"))
-    hot = contents.filter(f"m > {HOT_CONTENTS}").select("h", "c", "owner", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.slice("words", i, WINDOW))).alias("cut", "words"))
-    hot = work.save(hot.withColumn("w", F.xxhash64("words")), "hot")
-    least = work.save(hot.groupBy("w").agg(F.min("owner").alias("lo"), F.count(F.lit(1)).alias("n")), "least")
-    # equal windows fall together by hash; the searched contents are one per owner bound
-    cut = even_join(hot, least, ["w"]).filter("lo < owner").select("h", "c", F.col("cut").cast("int").alias("f"), (F.col("cut") + 1).cast("int").alias("t"))
-    searched = plain.select("h", "c", "owner", "words").repartition("h").sortWithinPartitions("h").mapInArrow(_search, "h long, c long, f int, t int")
-    runs = work.save(searched.unionByName(cut), "runs")
-    # a content's least owner has runs only by others; its other documents lose every window
-    own = pieces.select("doc_id", "k", "h", "a", F.col("n").alias("size"), "c")
-    placed = even_join(own, owners, ["h", "c"])
-    by_copy = placed.filter("owner < doc_id").select("k", F.col("a").alias("f"), (F.col("a") + F.col("size") + WINDOW - 1).alias("t"))
-    first = placed.filter("owner = doc_id").select("k", "a", "h", "c")
-    by_run = first.join(runs, ["h", "c"]).select("k", (F.col("a") + F.col("f")).alias("f"), (F.col("a") + F.col("t") + WINDOW - 1).alias("t"))
-    gone = by_copy.unionByName(by_run).groupBy("k").agg(F.collect_list(F.struct("f", "t")).alias("runs"))
+    sizes = work.save(contents.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_CONTENTS), "sizes")
+    placed = contents.withColumn("copies", F.col("last") > F.col("owner"))
+    hot = work.save(even_join(placed.withColumnRenamed("n", "docs"), sizes, ["h"]), "hot")
+    plain = placed.join(F.broadcast(sizes.select("h")) if sizes.count() < HOT_SHARE * HOT_SHARE else sizes.select("h"), "h", "left_anti")
+    cut = hot.select("h", "c", "owner", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).alias("f", "w"))
+    cut = work.save(cut, "cut")
+    least = F.min(F.struct("owner", "h", "c", "f"))
+    twice = cut.groupBy("w").agg(least.alias("x"), F.max("owner").alias("hi"), F.count(F.lit(1)).alias("n")).filter("x.owner < hi")
+    twice = work.save(twice.select("w", "n", F.col("x.owner").alias("lo"), "x.h", "x.c", "x.f"), "twice")
+    windows = twice.join(hot.select("h", "c", "words"), ["h", "c"])
+    yes, no = F.lit(True), F.lit(False)
+    todo = plain.select(F.col("h").alias("g"), F.lit(0).alias("kind"), "h", "c", "owner", "words", yes.alias("strict"), "copies")
+    todo = todo.unionByName(hot.filter("copies").select(F.col("c").alias("g"), F.lit(0).alias("kind"), "h", "c", "owner", "words", no.alias("strict"), "copies"))
+    todo = todo.unionByName(windows.select(F.col("w").alias("g"), F.lit(1).alias("kind"), F.col("w").alias("h"), F.lit(0).cast("long").alias("c"), F.col("lo").alias("owner"), F.slice("words", F.col("f") + 1, WINDOW).alias("words"), no.alias("strict"), yes.alias("copies")))
+    runs = todo.repartition("g").sortWithinPartitions("g").mapInArrow(_search, "kind int, h long, c long, f int, t int, own boolean")
+    runs = work.save(runs, "runs")
+    # a window found under its least owner goes from all contents of later owners
+    seen = twice.select("w", "lo", "n").join(runs.filter("kind = 1").select(F.col("h").alias("w")).distinct(), "w")
+    by_window = even_join(cut, seen, ["w"]).filter("lo < owner").select("h", "c", "f", (F.col("f") + 1).alias("t"), yes.alias("own"))
+    found = runs.filter("kind = 0").select("h", "c", "f", "t", "own").unionByName(by_window).groupBy("h", "c").agg(F.collect_list(F.struct("f", "t", "own")).alias("found"))
+    found = work.save(contents.select("h", "c", "owner", "n").join(found, ["h", "c"]), "found")
+    placed = even_join(pieces.select("doc_id", "k", "h", "a", "c"), found, ["h", "c"])
+    gone = placed.select("k", "a", "owner", "doc_id", F.explode("found").alias("r")).filter("r.own OR owner < doc_id")
+    gone = gone.select("k", (F.col("a") + F.col("r.f")).alias("f"), (F.col("a") + F.col("r.t") + WINDOW - 1).alias("t"))
+    gone = gone.groupBy("k").agg(F.collect_set(F.struct("f", "t")).alias("runs"))
     cutted = source.select("k", "text").join(gone, "k").mapInArrow(_apply, "k long, n_removed long, kept_sha256 string, kept_text string")
-    cutted = work.save(cutted, "cut")
-    work.drop("shared", "source", "pieces", "contents", "hot", "least", "runs")
+    cutted = work.save(cutted, "removed")
+    work.drop("shared", "source", "pieces", "contents", "sizes", "hot", "cut", "twice", "runs", "found")
     return scanned.select("doc_id", "k", "n_words", "full_sha256"), cutted
 
 

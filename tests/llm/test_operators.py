@@ -329,14 +329,48 @@ def test_substring_dedup_brute_force(spark, data, monkeypatch):
     assert sorted(tuple(r) for r in run(spark, "op9_substring_dedup", data)) == sorted(expect)
 
 
+def test_least_owner_by_brute_force():
+    from lucera.llm.substring_dedup import FMIndex
+
+    r = np.random.default_rng(4)
+    fm = FMIndex([np.zeros(1, np.int64)], np.zeros(1))
+    for n in (1, 5, 64, 65, 700, 5000):
+        v = r.integers(0, 10**6, n).astype(np.int32)
+        fm._least(v)
+        lo = r.integers(0, n, 300)
+        hi = np.minimum(n, lo + 1 + r.integers(0, r.integers(1, n + 1, 300)))
+        assert fm.least(lo, hi).tolist() == [v[a:b].min() for a, b in zip(lo, hi, strict=True)]
+
+
+def test_nothing_is_removed_without_the_search(spark, small, monkeypatch):
+    from lucera.llm import substring_dedup
+
+    real = sum(r["n_removed"] for r in run(spark, "op9_substring_dedup", small))
+
+    def none(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pylist([], pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("f", pa.int32()), ("t", pa.int32()), ("own", pa.bool_())]))
+
+    monkeypatch.setattr(substring_dedup, "_search", none)
+    assert real > 0 and sum(r["n_removed"] for r in run(spark, "op9_substring_dedup", small)) == 0
+
+
 def test_fm_index_by_brute_force():
-    from lucera.llm.substring_dedup import matched_starts
+    from lucera.llm.substring_dedup import Shard
 
     r = np.random.default_rng(3)
     for _ in range(60):
-        seqs = [r.integers(0, 3, r.integers(1, 30)) for _ in range(r.integers(1, 8))]
-        owners = r.integers(0, 5, len(seqs))
-        got = matched_starts(seqs, owners, 4)
+        seqs = [r.integers(0, 3, r.integers(1, 90)) for _ in range(r.integers(1, 8))]
+        owners = r.integers(-5, 5, len(seqs))
+        shard = Shard(seqs, owners)
+        other = r.integers(0, 4, 40)
+        masks = shard.matched([*seqs, other], np.array([*owners, 3]), 4)
+        for a, hit in enumerate(masks.pop().tolist()):
+            assert hit == any(owners[j] < 3 and other[a : a + 4].tolist() in [t[k : k + 4].tolist() for k in range(len(t) - 3)] for j, t in enumerate(seqs))
+        assert all(m.all() for m in shard.matched(seqs, owners + 1, 4))
+        got = masks
         for i, s in enumerate(seqs):
             for a in range(len(s) - 3):
                 want = any(owners[j] < owners[i] and s[a : a + 4].tolist() in [t[k : k + 4].tolist() for k in range(len(t) - 3)] for j, t in enumerate(seqs))
