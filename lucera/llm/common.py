@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with over 1/HOT_SHARE of a join's rows is joined by broadcast; fewer than HOT_SHARE keys can be.
+HOT_SHARE = 256
 #: ASCII white space, the complement of a word character `[^\x20\x09-\x0D]`.
 SPACE_CLASS = "[ \\t-\\r]"
 SPACES = " \t\n\x0b\x0c\r"

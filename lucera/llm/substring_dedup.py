@@ -33,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucera.llm.common import Work, Words, mix64, signed, slices, small_batches, table, text_buffers, whole_rows
+from lucera.llm.common import HOT_SHARE, Work, Words, mix64, signed, slices, small_batches, table, text_buffers, whole_rows
 
 WINDOW, GRAM = 50, 8
 #: Contents of one anchor that a shard holds at most; words of one FM-index (more if one anchor has them).
 HOT_CONTENTS, SHARD_WORDS = 2000, 400_000
 #: Queries that go through an index in lock step.
 QUERIES = 20_000
-#: A key with over 1/HOT_SHARE of a join's rows is joined by broadcast; fewer than HOT_SHARE keys can be.
-HOT_SHARE = 256
 
 
 def anchors(words: Words) -> tuple[np.ndarray, ...]:

@@ -8,10 +8,12 @@ doc_id prune files and stripes from min/max and Bloom filters (`lookup`).
 
 The tokenizer splits a text before every space that starts a word, so ids of equal pieces are
 equal wherever they stand: each worker keeps the ids of pieces seen so far (a bounded cache)
-and gives only new pieces to the library.
+and gives only new pieces to the library. A text that holds one of the tokenizer's added tokens,
+such as <|endoftext|>, goes to the library whole, which gives it that token's id.
 
 Defined results: null text is empty and has the end id alone; null doc_id comes first; rows of
-equal doc_id follow each other by hash of text; empty tables give empty results.
+equal doc_id follow each other by hash of text; empty tables give empty results; extra columns
+are left out. read_tokens works out files' offsets in one task over one row a file.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.capacity, self.slots = capacity, 1 << (2 * capacity - 1).bit_length()
         self._clear()
 
@@ -170,6 +172,12 @@ class Encoder:
         if len(at):
             for i in np.unique(np.searchsorted(offs, at, "right") - 1).tolist():
                 wide[i] = bool(_WIDE_SPACE.search(raw[offs[i] : offs[i + 1]].tobytes().decode()))
+        data = raw.tobytes()
+        for token in self.special:  # texts with the tokenizer's own tokens go to it whole
+            place = data.find(token)
+            while place >= 0:
+                wide[np.searchsorted(offs, place, "right") - 1] = True
+                place = data.find(token, place + 1)
         lo = 0
         while lo < len(wide):
             hi = lo + 1
@@ -182,7 +190,9 @@ class Encoder:
             lo = hi
 
     def _plain(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = [i for e in self.tokenizer.encode_batch_fast(_PIECE.findall(text), add_special_tokens=False) for i in e.ids]
+        data = text.encode()
+        pieces = [text] if any(t in data for t in self.special) else _PIECE.findall(text)
+        ids = [i for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) for i in e.ids]
         return np.array(ids, np.int32), np.array([len(ids)])
 
     def _fast(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,8 +235,8 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """doc_id, text -> ORC files of (doc_id, part, start, n_tokens, ids) in doc_id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, **options: str) -> None:
+    """doc_id, text -> ORC files of (doc_id, part, start, n_tokens, ids) in doc_id order; options of the ORC writer."""
 
     def run(batches):
         import os
@@ -248,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     out = rows.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids array<int>")
-    out.write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "10000").orc(path)
+    out.write.options(**options).option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

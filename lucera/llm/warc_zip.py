@@ -4,15 +4,18 @@ Writing: payloads of at least MIN_BYTES that are equal form a group; the record
 page_id is the response, the others revisit it. Each task packs its records, gzipped one by one,
 into stored members of one archive with an index member per data member, and ends it with the
 central directory, in ZIP64 form where sizes or counts need it. An archive counts only if its
-task's row reaches the written manifest, so retried tasks leave no double records.
+task's rows, one a data member, reach the written manifest, so retried tasks leave no double records.
 
-Reading: the end of an archive gives its central directory (plain or ZIP64); index members give
+Reading: a task takes some members of the manifest, so an archive spreads over tasks. The end of an archive gives its central directory (plain or ZIP64); index members give
 each record's range in its stored data member; ranges are read in place, without extraction,
 neighbours together up to READ_BYTES.
 
+Equal payloads meet by digest; a digest of a large share of all rows is joined by broadcast, so its
+rows do not move to one task for it.
+
 Defined results: null html is an empty payload; records with equal least page_id and payload are
 all responses; null page_id counts as greatest; null url is written as empty; empty tables give
-empty results.
+empty results; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucera.llm.common import Work, new_path, small_batches, table
+from lucera.llm.common import HOT_SHARE, Work, new_path, small_batches, table
 
 MIN_BYTES = 100
 MEMBER_BYTES, READ_BYTES = 4 << 20, 1 << 20
+#: Members that a reading task takes, where there are enough for all cores.
+TASK_MEMBERS = 16
 _U32, _U16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -167,18 +172,19 @@ def _gzip(data: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, force64: bool = False) -> DataFrame:
-    """pages (page_id, url, html, digest, refers_to) -> manifest rows (path, records) of one archive a task."""
+    """pages (page_id, url, html, digest, refers_to) -> manifest rows (name, member, records) of one archive a task."""
 
     def run(batches):
-        zipped, sink, path, members, total = None, None, None, 0, 0
+        zipped, sink, path, members = None, None, None, []
         data, index = io.BytesIO(), []
 
         def flush():
-            nonlocal data, index, members
+            nonlocal data, index
             if index:
-                zipped.add(f"archive/data-{members:06d}.warc.gz", data.getvalue())
-                zipped.add(f"indexes/data-{members:06d}.cdxj", "\n".join(index).encode())
-                members, data, index = members + 1, io.BytesIO(), []
+                zipped.add(f"archive/data-{len(members):06d}.warc.gz", data.getvalue())
+                zipped.add(f"indexes/data-{len(members):06d}.cdxj", "\n".join(index).encode())
+                members.append(len(index))
+                data, index = io.BytesIO(), []
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -191,81 +197,97 @@ def write_archives(pages: DataFrame, folder: str, force64: bool = False) -> Data
                 packed = _gzip(record(row["page_id"], row["url"], (row["html"] or "").encode(), row["digest"], row["refers_to"]))
                 index.append(json.dumps({"offset": data.tell(), "length": len(packed)}))
                 data.write(packed)
-                total += 1
                 if data.tell() >= MEMBER_BYTES:
                     flush()
         if zipped is not None:
             flush()
             zipped.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"name": [path.rsplit("/", 1)[1]], "records": [total]})
+            yield pa.RecordBatch.from_pydict({"name": [path.rsplit("/", 1)[1]] * len(members), "member": [f"data-{k:06d}" for k in range(len(members))], "records": members})
 
-    return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "name string, records long")
+    return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "name string, member string, records long")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the manifest's archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
 
-    def records(path, fs):
-        with fs.open_input_file(path) as f:
-            z = ZipReader(lambda offset, n: f.read_at(n, offset), f.size())
-            for name in sorted(z.members):
-                if not name.startswith("indexes/"):
-                    continue
-                base = z.start("archive/" + name.removeprefix("indexes/").replace(".cdxj", ".warc.gz"))
-                spans = [json.loads(x) for x in z.member(name).decode().split("\n")]
-                i = 0
-                while i < len(spans):
-                    j = i + 1
-                    while j < len(spans) and spans[j]["offset"] + spans[j]["length"] - spans[i]["offset"] <= READ_BYTES:
-                        j += 1
-                    lo = spans[i]["offset"]
-                    block = f.read_at(spans[j - 1]["offset"] + spans[j - 1]["length"] - lo, base + lo)
-                    for s in spans[i:j]:
-                        yield parse_record(zlib.decompress(block[s["offset"] - lo : s["offset"] - lo + s["length"]], 31))
-                    i = j
+    def records(f, z, member):
+        base = z.start(f"archive/{member}.warc.gz")
+        spans = [json.loads(x) for x in z.member(f"indexes/{member}.cdxj").decode().split("\n")]
+        i = 0
+        while i < len(spans):
+            j = i + 1
+            while j < len(spans) and spans[j]["offset"] + spans[j]["length"] - spans[i]["offset"] <= READ_BYTES:
+                j += 1
+            lo = spans[i]["offset"]
+            block = f.read_at(spans[j - 1]["offset"] + spans[j - 1]["length"] - lo, base + lo)
+            for s in spans[i:j]:
+                yield parse_record(zlib.decompress(block[s["offset"] - lo : s["offset"] - lo + s["length"]], 31))
+            i = j
+
+    def archives(batches, fs, base):
+        """Records of all members asked for; an archive's directory is read once for neighbouring members."""
+        last, f, z = None, None, None
+        for batch in batches:
+            for name, member in zip(batch.column("name").to_pylist(), batch.column("member").to_pylist(), strict=True):
+                if name != last:
+                    if f is not None:
+                        f.close()
+                    last, f = name, fs.open_input_file(f"{base}/{name}")
+                    z = ZipReader(lambda offset, n, f=f: f.read_at(n, offset), f.size())
+                yield from records(f, z, member)
+        if f is not None:
+            f.close()
 
     def run(batches):
-        fs, base = _filesystem(folder)
-        for batch in batches:
-            for name in batch.column("name").to_pylist():
+        rows = []
+        for head, payload in archives(batches, *_filesystem(folder)):
+            revisit = head["WARC-Type"] == "revisit"
+            rows.append((
+                int(head["X-Page-ID"]) if head["X-Page-ID"] else None,
+                int(head["X-Payload-Length"]) if revisit else len(payload),
+                head["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
+                head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None,
+            ))
+            if len(rows) >= 5000:
+                yield _rows(rows)
                 rows = []
-                for head, payload in records(f"{base}/{name}", fs):
-                    revisit = head["WARC-Type"] == "revisit"
-                    rows.append((
-                        int(head["X-Page-ID"]) if head["X-Page-ID"] else None,
-                        int(head["X-Payload-Length"]) if revisit else len(payload),
-                        head["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
-                        head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None,
-                    ))
-                    if len(rows) >= 5000:
-                        yield _rows(rows)
-                        rows = []
-                if rows:
-                    yield _rows(rows)
+        if rows:
+            yield _rows(rows)
 
     def _rows(rows):
         names, kinds = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return manifest.select("name").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # as many tasks as members, up to twice the cores; beyond, some members a task
+    members, cores = manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism
+    spread = manifest.select("name", "member").repartition(max(1, min(members, 2 * cores), members // TASK_MEMBERS), "name", "member")
+    return spread.sortWithinPartitions("name", "member").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """Adds digest and refers_to (null for responses)."""
+def with_revisits(pages: DataFrame, work: Work) -> DataFrame:
+    """page_id, url, html, digest and refers_to (null for responses)."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
-    groups = rows.filter(F.col("bytes") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = rows.join(groups.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"), "left")
-    return joined.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first"))).drop("d", "first", "bytes")
+    groups = work.save(rows.filter(F.col("bytes") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    # fewer than HOT_SHARE digests are hot; their rows get keys of their own and stay spread
+    few = groups.filter(hot).select(F.col("digest").alias("d0"), F.col("first").alias("f0"), F.lit(True).alias("is_hot"))
+    rest = groups.filter(~hot).select(F.col("digest").alias("d1"), F.col("first").alias("f1"))
+    joined = rows.join(F.broadcast(few), F.col("digest") == F.col("d0"), "left")
+    key = F.when(F.col("is_hot"), F.concat_ws("-", "digest", F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("digest"))
+    joined = joined.withColumn("key", key).join(rest, F.col("key") == F.col("d1"), "left").withColumn("first", F.coalesce("f0", "f1"))
+    refers = F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first"))
+    return joined.withColumn("refers_to", refers).select("page_id", "url", "html", "digest", "refers_to")
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     folder = new_path(spark, "op10-archives")
     work = Work(spark, "op10")
-    manifest = work.save(write_archives(with_revisits(table(spark, sf_dir, "pages")), folder), "manifest")
-    return read_archives(manifest.repartition(F.expr("name")), folder)
+    manifest = work.save(write_archives(with_revisits(table(spark, sf_dir, "pages"), work), folder), "manifest")
+    return read_archives(manifest, folder)
 
 
 ORACLE = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from helpers import jaccard, sha, shingles, words
+from helpers import filler, jaccard, sha, shingles, words
 from lucera.llm import bpe, jaccard_join, queries, token_files, warc_zip
-from lucera.llm.common import Words, text_buffers
+from lucera.llm.common import Work, Words, text_buffers
 
 TABLES = ["odd", "small"]
 
@@ -201,7 +202,6 @@ def test_token_files(spark, data):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     start, expect = 0, []
     for d, text in in_order(docs_of(spark, data), spark):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
@@ -215,7 +215,11 @@ def test_token_pieces_of_odd_white_space():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), token_files.Encoder(path)
-    t.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>x\u3000y <|endoftext|", "é\u3000<|endoftext|>\n"):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert e.encode(text).tolist() == ids
+        assert e.encode_batch(pa.array(["x y", text, "z"], pa.large_string()))[0].tolist() == [*t.encode("x y").ids, *ids, *t.encode("z").ids]
+    assert 50256 in t.encode("a <|endoftext|> b", add_special_tokens=False).ids
     r = np.random.default_rng(1)
     for _ in range(400):
         text = "".join(r.choice(list("ab1'.  \n\t  \x1c\x85é漢<|"), r.integers(0, 30)))
@@ -234,6 +238,27 @@ def test_token_lookup(spark, small):
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString() or "doc_id IN" in found._jdf.queryExecution().toString()
 
 
+def test_lookups_skip_stripes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.sha2(F.col("id").cast("string"), 512)).alias("text")).coalesce(1)
+    path = str(tmp_path / "t")
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), **{"orc.stripe.size": "200000", "orc.row.index.stride": "1000", "orc.stripe.row.count": "5000"})
+
+    def rows_read(condition):
+        df = spark.read.orc(path).filter(condition)
+        found = df.count() if condition == "true" else len(df.collect())
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    assert rows_read("doc_id = 20000")[0] == 1 and rows_read("doc_id = 20000")[1] <= 5000
+    # within every stripe's range of ids, but in no Bloom filter
+    docs.withColumn("doc_id", F.col("doc_id") * 2).createOrReplaceTempView("even_ids")
+    path = str(tmp_path / "even")
+    token_files.write_tokens(spark.table("even_ids"), path, public_tokenizers.path("byte_bpe_50k.json"), **{"orc.row.index.stride": "1000", "orc.stripe.row.count": "5000"})
+    assert rows_read("doc_id = 40001")[0] == 0 and rows_read("doc_id = 40001")[1] == 0
+
+
 def test_bpe(spark, data):
     import tiktoken
 
@@ -288,7 +313,7 @@ def test_jaccard_join(spark, data):
 
 
 def test_jaccard_join_cuts_large_buckets_in_blocks(spark, tmp_path, monkeypatch):
-    from helpers import filler, write_tables
+    from helpers import write_tables
 
     base, rows = filler(80, 5).split(), []
     for d in range(40):
@@ -406,7 +431,18 @@ def test_zip_is_standard(force64):
 
 
 def test_archives_zip64_round_trip(spark, odd, tmp_path):
-    pages = warc_zip.with_revisits(spark.read.parquet(f"{odd}/pages.parquet"))
+    pages = warc_zip.with_revisits(spark.read.parquet(f"{odd}/pages.parquet"), Work(spark, "zip64"))
     manifest = warc_zip.write_archives(pages, str(tmp_path / "z"), True).collect()
-    df = spark.createDataFrame(manifest, "name string, records long")
-    assert warc_zip.read_archives(df, str(tmp_path / "z")).count() == pages.count()
+    df = spark.createDataFrame(manifest, "name string, member string, records long")
+    assert sum(r["records"] for r in manifest) == warc_zip.read_archives(df, str(tmp_path / "z")).count() == pages.count()
+
+
+def test_members_of_an_archive_spread_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_zip, "MEMBER_BYTES", 1000)
+    pages = spark.createDataFrame([(k, "u", f"<p>{filler(40, k % 90)}</p>") for k in range(100)], "page_id long, url string, html string").coalesce(1)
+    rows = warc_zip.with_revisits(pages, Work(spark, "spread")).coalesce(1)
+    manifest = spark.createDataFrame(warc_zip.write_archives(rows, str(tmp_path / "z")).collect(), "name string, member string, records long")
+    assert manifest.select("name").distinct().count() == 1 < manifest.count()
+    got = warc_zip.read_archives(manifest, str(tmp_path / "z"))
+    assert got.rdd.getNumPartitions() > 1
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got.collect()) == [(k, "revisit" if k >= 90 else "response", k - 90 if k >= 90 else None) for k in range(100)]
