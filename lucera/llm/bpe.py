@@ -7,8 +7,13 @@ overlap has no such boundary, the chunk is pre-tokenised again from the last goo
 of pre-tokens are then encoded, cut where a pre-token ends without white space, so a run alone
 splits as it does in the text. Decoding concatenates the ids' bytes.
 
+A text of over SPREAD characters spreads over tasks: its chunks are rows, pre-tokenised in any
+task; one task stitches their boundaries as they stream by, and keeps only cuts, one a chunk at
+most; the pieces between cuts are rows again, encoded and decoded in any task; digests run over
+the pieces in order. Only boundaries, ids and bytes of such texts are shuffled.
+
 Defined results: null text is empty, with no ids; every text is encoded whole; empty tables give
-empty results; repeated rows pass through.
+empty results; repeated rows pass through; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -21,10 +26,13 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lucera.llm.common import slices, small_batches, table
+from lucera.llm.common import Work, slices, small_batches, table
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: Characters from which a text's chunks are spread over tasks, and chunks of such texts (CHUNK is too small a row).
+SPREAD, WIDE = 1 << 21, 1 << 18
 
 _cache: dict[str, Bpe] = {}
 
@@ -109,8 +117,114 @@ def tokenizer(path: str) -> Bpe:
     return _cache[path]
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
+def chunk_rows(long: DataFrame) -> DataFrame:
+    """k, length, no and chunk (with its overlap) of long texts (k, text)."""
+    n = F.length("text")
+    starts = F.sequence(F.lit(0), F.ceil(n / WIDE).cast("int") - 1)
+    rows = long.select("k", "text", n.alias("length"), F.explode(starts).alias("no"))
+    return rows.select("k", "length", "no", F.substr("text", F.col("no") * WIDE + 1, F.lit(WIDE + OVERLAP)).alias("chunk"))
+
+
+def _chunk_ends(path: str, wide: int, overlap: int):
+    def run(batches):
+        pattern = tokenizer(path).pattern
+        for batch in slices(batches, "chunk"):
+            ends = []
+            for text, no, length in zip(batch.column("chunk").to_pylist(), batch.column("no").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                at = [m.end() for m in pattern.finditer(text)]
+                if no * wide + len(text) < length:  # the last pre-token may go on beyond the chunk
+                    at = at[:-1]
+                # ends without white space before them leave no context behind; only those in an overlap can meet
+                ends.append([no * wide + e for e in at if not text[e - 1].isspace() and (e <= overlap or e > wide)])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("length"), batch.column("no"), pa.array(ends, pa.list_(pa.int64()))], ["k", "length", "no", "ends"])
+
+    return run
+
+
+def _cuts(wide: int, overlap: int):
+    """Chunks' ends by (k, no) in; places where a text can be cut out, one a chunk at most. A chunk's ends
+    count once an end of it is also one of its predecessor's that count: from there on both go on alike.
+    Where none is, the rest of the text stays one piece."""
+
+    def run(batches):
+        key, known, out = None, None, []
+        for batch in batches:
+            for k, no, ends in zip(batch.column("k").to_pylist(), batch.column("no").to_pylist(), batch.column("ends").to_pylist(), strict=True):
+                if k != key:
+                    key, known = k, set(ends)
+                    continue
+                if known is None:
+                    continue
+                start = no * wide
+                meet = next((e for e in ends if start < e <= start + overlap and e in known), None)
+                if meet is None:
+                    known = None
+                else:
+                    out.append((k, meet))
+                    known = {e for e in ends if e >= meet}
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["k", "cut"])
+            out = []
+
+    return run
+
+
+def _pieces(path: str):
+    def run(batches):
+        bpe = tokenizer(path)
+        for batch in slices(batches, "piece"):
+            ids = [bpe.encode(t) for t in batch.column("piece").to_pylist()]
+            raw = [np.array(x, "<u4").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), batch.column("no"), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["k", "no", "n", "ids", "bytes"]
+            )
+
+    return run
+
+
+def _digests(batches):
+    """Pieces by (k, no) in, one row a text out."""
+    key, n, ids, text, out = None, 0, hashlib.sha256(), hashlib.sha256(), []
+    names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for batch in batches:
+        for k, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "ids", "bytes")), strict=True):
+            if k != key:
+                if key is not None:
+                    out.append((key, n, ids.hexdigest(), text.hexdigest()))
+                key, n, ids, text = k, 0, hashlib.sha256(), hashlib.sha256()
+            n += m
+            ids.update(a)
+            text.update(b)
+    if key is not None:
+        out.append((key, n, ids.hexdigest(), text.hexdigest()))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
+
+
+def encoded_long(docs: DataFrame, path: str, work: Work) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of texts of over SPREAD characters; equal texts are encoded once."""
+    keyed = work.save(docs.filter(F.length("text") > SPREAD).select("doc_id", "text", F.xxhash64("text").alias("k")), "long")
+    long = keyed.select("k", "text").dropDuplicates(["k"])
+    ends = chunk_rows(long).repartition("k", "no").mapInArrow(_chunk_ends(path, WIDE, OVERLAP), "k long, length int, no int, ends array<long>")
+    cuts = work.save(ends.repartition("k").sortWithinPartitions("k", "no").mapInArrow(_cuts(WIDE, OVERLAP), "k long, cut long"), "cuts")
+    # cuts of a text: one a chunk at most
+    cuts = cuts.groupBy("k").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    rows = long.join(cuts, "k", "left").withColumn("cuts", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.array().cast("array<long>")), F.array(F.length("text").cast("long"))))
+    spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(i.alias("no"), F.get("cuts", i).cast("int").alias("a"), F.get("cuts", i + 1).cast("int").alias("b")))
+    rows = rows.select("k", "text", F.explode(spans).alias("s")).select("k", "s.no", F.substr("text", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("piece"))
+    done = rows.repartition("k", "no").mapInArrow(_pieces(path), "k long, no int, n long, ids binary, bytes binary")
+    digests = done.repartition("k").sortWithinPartitions("k", "no").mapInArrow(_digests, "k long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digests = work.save(digests, "digests")
+    return keyed.select("doc_id", "k").join(digests, "k").drop("k")
+
+
+def encoded(docs: DataFrame, path: str, work: Work) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text."""
+    short = encoded_short(docs.filter("coalesce(length(text), 0) <= " + str(SPREAD)), path)
+    return short.unionByName(encoded_long(docs, path, work))
+
+
+def encoded_short(docs: DataFrame, path: str) -> DataFrame:
+    """The same of texts that one task takes whole."""
 
     def run(batches):
         bpe = tokenizer(path)
@@ -128,10 +242,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), Work(spark, "op7"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents' ids, last of all: a row a document, as op7; other columns are left out, null text is empty."""
     small_batches(spark)
-    return encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encoded(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), Work(spark, "bpe"))

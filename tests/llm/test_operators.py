@@ -283,6 +283,28 @@ def test_bpe_chunks_resynchronise():
         assert tiny.decode(tiny.encode(text)).decode() == text
 
 
+def test_bpe_of_long_texts_spreads_over_tasks(spark, monkeypatch):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Bpe(path).ranks, special_tokens={})
+    r = np.random.default_rng(7)
+    alphabet = list("ab1'.s  \n\té漢")
+    texts = [*("".join(r.choice(alphabet, n)) for n in (0, 99, 100, 101, 500, 3000, 3000)), filler(400, 3), "a" * 700, " " * 700, "x" * 300 + " y" * 300, filler(60, 1) + " " * 90 + filler(90, 2), None]
+    monkeypatch.setattr(bpe, "SPREAD", 100)
+    monkeypatch.setattr(bpe, "WIDE", 64)
+    monkeypatch.setattr(bpe, "OVERLAP", 24)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[5]])], "doc_id long, text string")
+    expect = []
+    for d, text in docs.collect():
+        ids = enc.encode_ordinary(text or "")
+        expect.append((d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(text or "")))
+    work = Work(spark, "longbpe")
+    assert sorted(map(tuple, bpe.encoded(docs, path, work).collect())) == expect
+    cuts = spark.read.parquet(work.paths["cuts"])
+    assert cuts.groupBy("k").count().agg({"count": "max"}).first()[0] > 10
+
+
 def test_jaccard_join(spark, data):
     rows = run(spark, "op8_ngram_jaccard_join", data)
     docs = docs_of(spark, data)
