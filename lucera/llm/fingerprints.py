@@ -9,11 +9,14 @@ hex string. Likeness corrects the share of equal bins for chance agreement.
 Defined results: null text is empty; a text of 1 to 4 words has one shingle of all its words;
 a text without words has an empty fingerprint, like another such text 1 and any other 0.
 The next document is the next by (doc_id, hash of text); null doc_id comes first; the last is
-followed by the first, so a table of one row follows itself. Empty tables give empty results.
+followed by the first, so a table of one row follows itself; rows of equal doc_id and text follow
+each other; rows of one doc_id (null too) are one group, sorted on disk if need be. Empty tables
+give empty results; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,8 +28,8 @@ SHINGLE = 5
 BIN_BITS, BITS = 8, 4
 BINS = 1 << BIN_BITS
 LONGS = BINS * BITS // 64
-#: Rows of one group of neighbours, and most groups (a group spills when larger).
-GROUP_ROWS, MAX_GROUPS = 1000, 4096
+#: Rows of one group of neighbours, and most groups (a group spills when larger; their bounds are one constant of 8 bytes each).
+GROUP_ROWS, MAX_GROUPS = 1000, 1 << 16
 
 #: Bins an empty bin looks in, one after another; beyond them it ranks all full bins.
 _r = random.Random(3)
@@ -85,6 +88,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.round(value, 9))
 
 
+def _constant(values: list[int | None]) -> Column:
+    """An array constant, as one literal however long (the optimiser folds it)."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def _bounds(df: DataFrame, key: str) -> list[int]:
     """At most MAX_GROUPS - 1 ascending quantiles of the key (a bounded list)."""
     n = df.count()
@@ -100,7 +108,7 @@ def _group_of(key: Column, bounds: list[int]) -> Column:
     size = 1
     while size < len(bounds) + 1:
         size *= 2
-    cells = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    cells = _constant(bounds)
     steps = []
     while size > 1:
         size //= 2
@@ -127,11 +135,13 @@ def with_next(df: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
     groups = [r["_grp"] for r in firsts]
     if not groups:
         return keyed.drop("_grp").select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
-    before = F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(groups[i - 1]))])
-    first = F.create_map(*[x for r in firsts for x in (F.lit(r["_grp"]), F.lit(r["f"]["k"]).cast("long"))])
-    is_first = F.col(key).eqNullSafe(first[F.col("_grp")])
+    # by group number, one cell a group
+    before, first = [0] * (groups[-1] + 1), [None] * (groups[-1] + 1)
+    for i, r in enumerate(firsts):
+        before[r["_grp"]], first[r["_grp"]] = groups[i - 1], r["f"]["k"]
+    is_first = F.col(key).eqNullSafe(F.get(_constant(first), "_grp"))
     here = F.struct(F.col("_grp").alias("g"), F.lit(0).alias("end"))
-    there = F.struct(before[F.col("_grp")].alias("g"), F.lit(1).alias("end"))
+    there = F.struct(F.get(_constant(before), "_grp").cast("int").alias("g"), F.lit(1).alias("end"))
     rows = keyed.withColumn("_to", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here)))).drop("_grp")
     rows = rows.withColumn("_g", F.col("_to")["g"]).withColumn("_end", F.col("_to")["end"]).drop("_to")
     w = Window.partitionBy("_g").orderBy("_end", F.col(key).asc_nulls_first(), tie)
