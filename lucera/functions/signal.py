@@ -24,6 +24,27 @@ def butter_sos(order: int, cutoff: float, fs: float, kind: str) -> np.ndarray:
     return np.array(rows)
 
 
+def bandpass_sos(order: int, low: float, high: float, fs: float) -> np.ndarray:
+    """Sections of one Butterworth band pass of 2 x order poles, from the low-pass prototype's poles by the bilinear transform."""
+    w1, w2 = (math.tan(math.pi * f / fs) for f in (low, high))
+    width, centre = w2 - w1, math.sqrt(w1 * w2)
+    rows = []
+    for k in range(order):
+        half = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order)) * width / 2
+        for s in (half + np.sqrt(half * half - centre**2 + 0j), half - np.sqrt(half * half - centre**2 + 0j)):
+            z = (1 + s) / (1 - s)
+            if z.imag > 1e-14:
+                rows.append([1.0, 0.0, -1.0, 1.0, -2 * z.real, abs(z) ** 2])
+            elif abs(z.imag) <= 1e-14:
+                rows.append([z.real])
+    real = [r[0] for r in rows if len(r) == 1]  # a wide band has real poles, in pairs
+    out = np.array([r for r in rows if len(r) > 1] + [[1.0, 0.0, -1.0, 1.0, -(p + q), p * q] for p, q in zip(real[::2], real[1::2], strict=True)])
+    u = np.exp(-2j * math.atan(centre))
+    gain = np.abs(np.prod((1 - u * u) / (1 + out[:, 4] * u + out[:, 5] * u * u)))
+    out[0, :3] /= gain
+    return out
+
+
 def _section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     b0, b1, b2, _, a1, a2 = s
     out, (z1, z2) = np.empty_like(x), z
@@ -48,7 +69,7 @@ def sosfilt(sos: np.ndarray, x: np.ndarray, rest: bool = False) -> np.ndarray:
 
 
 def filtfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Zero phase: forward and backward over an odd extension of the series."""
+    """Zero phase: forward and backward over an odd extension of the series by three times the filter's length."""
     pad = min(len(x) - 1, 3 * (2 * len(sos) + 1 - int((sos[:, 2] == 0).sum())))
     if pad < 1:
         return x.copy()
@@ -67,6 +88,13 @@ def frequency_filter(x: np.ndarray, fs: float, low: float | None = None, high: f
     return filtfilt(butter_sos(order, high, fs, "low"), x) if high else x
 
 
+def band_pass(x: np.ndarray, fs: float, low: float, high: float, order: int = 3) -> np.ndarray:
+    """Zero-phase band pass by one filter; series with gaps give NaN."""
+    if high >= fs / 2:
+        raise ValueError("the band ends beyond half the sampling rate")
+    return filtfilt(bandpass_sos(order, low, high, fs), x) if np.isfinite(x).all() else np.full_like(x, np.nan)
+
+
 def tddr(x: np.ndarray, fs: float, cutoff: float = 0.5, order: int = 3, tune: float = 4.685, max_iter: int = 50) -> np.ndarray:
     """Temporal derivative repair: robust weights on the first difference of the low-passed series."""
     mean = x.mean()
@@ -88,40 +116,58 @@ def tddr(x: np.ndarray, fs: float, cutoff: float = 0.5, order: int = 3, tune: fl
     return fixed - fixed.mean() + (y - low) + mean
 
 
-_DB2 = np.array([1 + math.sqrt(3), 3 + math.sqrt(3), 3 - math.sqrt(3), 1 - math.sqrt(3)]) / (4 * math.sqrt(2))
-_DB2_HIGH = _DB2[::-1] * np.array([1, -1, 1, -1])
+#: Reconstruction low pass of the Daubechies wavelet of two vanishing moments; the others mirror it.
+_LOW = np.array([1 + math.sqrt(3), 3 + math.sqrt(3), 3 - math.sqrt(3), 1 - math.sqrt(3)]) / (4 * math.sqrt(2))
+_HIGH = _LOW[::-1] * np.array([1, -1, 1, -1])
+
+
+def dwt_depth(n: int) -> int:
+    """Levels until a level would be shorter than the filter."""
+    return max(0, int(math.log2(n / 3))) if n >= 3 else 0
 
 
 def dwt(x: np.ndarray, level: int) -> tuple[np.ndarray, list[np.ndarray], list[int]]:
-    """Periodic db2 transform: approximation, details (coarse last), lengths."""
+    """db2 transform over a series mirrored at its ends: approximation, details (coarse last), lengths."""
     details, sizes = [], []
     for _ in range(level):
         sizes.append(len(x))
-        if len(x) % 2:
-            x = np.append(x, x[-1])
-        at = (2 * np.arange(len(x) // 2)[:, None] + np.arange(4)) % len(x)
-        details.append(x[at] @ _DB2_HIGH)
-        x = x[at] @ _DB2
+        ext = np.pad(x, 3, mode="symmetric") if len(x) >= 3 else np.pad(x, 3, mode="edge")
+        at = 2 * np.arange((len(x) + 3) // 2)[:, None] + 1 + np.arange(4)
+        details.append(ext[at] @ _HIGH)
+        x = ext[at] @ _LOW
     return x, details, sizes
 
 
 def idwt(a: np.ndarray, details: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     for d, n in zip(reversed(details), reversed(sizes), strict=True):
-        out = np.zeros(2 * len(a))
-        at = (2 * np.arange(len(a))[:, None] + np.arange(4)) % len(out)
-        np.add.at(out, at, a[:, None] * _DB2 + d[:, None] * _DB2_HIGH)
-        a = out[:n]
+        out, at = np.zeros(2 * len(d) + 2), 2 * np.arange(len(d))[:, None] + np.arange(4)
+        np.add.at(out, at, a[: len(d), None] * _LOW + d[:, None] * _HIGH)
+        a = out[2 : 2 + n]
     return a
 
 
-def wavelet_correction(x: np.ndarray, iqr: float = 1.5, level: int | None = None) -> np.ndarray:
-    """Zeroes details outside the quartile fence and inverts."""
-    level = level or max(1, int(math.log2(max(2, len(x) / 3))))
-    a, details, sizes = dwt(x - x.mean(), level)
+def wavelet_correction(x: np.ndarray, alpha: float | None = None, iqr: float | None = None, level: int | None = None, recenter: bool = True) -> np.ndarray:
+    """Zeroes outlying details and inverts. By alpha (0.1 unless iqr is given) those go whose two-sided normal
+    probability is below it, with the median as centre and the scaled median deviation as scale; by iqr those
+    outside so many quartile distances from the quartiles. The result has mean 0 unless recenter is off."""
+    if alpha is not None and iqr is not None:
+        raise ValueError("alpha and iqr are two ways to give one threshold")
+    most = dwt_depth(len(x))
+    level = most if level is None else min(level, most)
+    if level < 1:
+        raise ValueError("the series is too short for one level")
+    a, details, sizes = dwt(x, level)
     for d in details:
-        lo, hi = np.percentile(d, [25, 75])
-        d[(d < lo - iqr * (hi - lo)) | (d > hi + iqr * (hi - lo))] = 0
-    return idwt(a, details, sizes) + x.mean()
+        if iqr is not None:
+            lo, hi = np.percentile(d, [25, 75])
+            d[(d < lo - iqr * (hi - lo)) | (d > hi + iqr * (hi - lo))] = 0
+        else:
+            off = np.abs(d - np.median(d))
+            scale = max(1.4826 * np.median(off), np.finfo(float).eps)
+            tail = np.array([math.erfc(v) for v in off / scale / math.sqrt(2)])
+            d[tail < (0.1 if alpha is None else alpha)] = 0
+    y = idwt(a, details, sizes)
+    return y - y.mean() if recenter else y
 
 
 def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
@@ -229,16 +275,22 @@ def t_p_value(t: float, df: float, tail: str = "two") -> float:
     return 2 * t_sf(abs(t), df) if tail == "two" else t_sf(t if tail == "up" else -t, df)
 
 
+def _bisquare(r: np.ndarray, tune: float) -> tuple[np.ndarray, float]:
+    """Weights of residuals, and their scale: the median absolute one, as of a normal."""
+    scale = np.median(np.abs(r)) / 0.6744897501960817
+    if scale == 0:
+        return np.ones(len(r)), 0.0
+    u = np.abs(r) / (tune * scale)
+    return np.where(u < 1, (1 - u * u) ** 2, 0.0), scale
+
+
 def robust_fit(x: np.ndarray, y: np.ndarray, tune: float = 4.685, max_iter: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Tukey bisquare regression by reweighting with a MAD scale: coefficients and weights."""
+    """Tukey bisquare regression by reweighting: coefficients and weights."""
     b, w = np.linalg.lstsq(x, y, rcond=None)[0], np.ones(len(y))
     for _ in range(max_iter):
-        r = y - x @ b
-        s = np.median(np.abs(r - np.median(r))) / 0.6744897501960817
-        if s == 0:
+        w, scale = _bisquare(y - x @ b, tune)
+        if scale == 0:
             break
-        u = np.abs(r) / (tune * s)
-        w = np.where(u < 1, (1 - u * u) ** 2, 0.0)
         q = np.sqrt(w)
         new = np.linalg.lstsq(x * q[:, None], y * q, rcond=None)[0]
         done = np.abs(new - b).max() <= 1e-8 * max(1.0, np.abs(b).max())
@@ -248,33 +300,58 @@ def robust_fit(x: np.ndarray, y: np.ndarray, tune: float = 4.685, max_iter: int
     return b, w
 
 
+def robust_covariance(x: np.ndarray, r: np.ndarray, tune: float = 4.685) -> np.ndarray:
+    """Huber's covariance of a bisquare fit with residuals r: (X'X)^-1 times k^2 s^2 (sum psi^2 / df) / (mean psi')^2,
+    where k corrects for the spread of psi'."""
+    n, p = x.shape
+    _, scale = _bisquare(r, tune)
+    inverse = np.linalg.pinv(x)
+    inverse = inverse @ inverse.T
+    if scale == 0:
+        return inverse * 0.0
+    u = r / scale
+    inside = np.abs(u) < tune
+    v = (u / tune) ** 2
+    psi, slope = np.where(inside, u * (1 - v) ** 2, 0.0), np.where(inside, (1 - v) * (1 - 5 * v), 0.0)
+    mean = slope.mean()
+    k = 1 + p / n * slope.var() / mean**2
+    return inverse * k**2 * scale**2 * (psi @ psi / (n - p)) / mean**2
+
+
 def ar_coefficients(r: np.ndarray, pmax: int) -> np.ndarray:
-    """Autoregression of the order that BIC prefers."""
-    best, coef = np.inf, np.zeros(0)
+    """Autoregression of the order, 0 to pmax, that BIC prefers: lags of the series forward and backward
+    (zero before their starts) and a constant, by least squares; the constant is left out."""
     n = len(r)
-    for p in range(1, min(pmax, n // 4) + 1):
-        lags = np.stack([np.concatenate([np.zeros(k), r[:-k]]) for k in range(1, p + 1)], 1)
-        c = np.linalg.lstsq(lags, r, rcond=None)[0]
-        bic = n * math.log(max(((r - lags @ c) ** 2).mean(), 1e-300)) + p * math.log(n)
+    pmax = max(1, min(pmax, n - 1))
+    ways = (r, r[::-1])
+    lagged = np.concatenate([np.stack([np.concatenate([np.zeros(k), v[: n - k]]) for k in range(1, pmax + 1)], 1) for v in ways])
+    x, y = np.column_stack([np.ones(2 * n), lagged]), np.concatenate(ways)
+    best, coef = np.inf, np.zeros(0)
+    for p in range(pmax + 1):
+        c = np.linalg.lstsq(x[:, : p + 1], y, rcond=None)[0]
+        mse = ((y - x[:, : p + 1] @ c) ** 2).mean()
+        bic = 2 * n * math.log(mse) + (p + 1) * math.log(2 * n) if mse > 0 else np.inf
         if bic < best:
-            best, coef = bic, c
+            best, coef = bic, c[1:]
     return coef
 
 
+def whitened(v: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """A series through the filter f as if it had stood at its first value before."""
+    return np.convolve(v - v[0], f)[: len(v)] + f.sum() * v[0]
+
+
 def ar_irls(y: np.ndarray, x: np.ndarray, pmax: int, max_iter: int = 10) -> tuple[np.ndarray, np.ndarray, int]:
-    """Prewhitened robust regression: coefficients, covariance, AR order."""
+    """Regression on data whitened by an autoregression of its residuals, robust, until the coefficients
+    change by 1 % at most (in length): coefficients, covariance, AR order."""
     b, order, cov = np.linalg.lstsq(x, y, rcond=None)[0], 0, np.zeros((x.shape[1],) * 2)
     for _ in range(max_iter):
         a = ar_coefficients(y - x @ b, pmax)
-        order = len(a)
-        f = np.concatenate([[1.0], -a])
-        white = lambda v: np.convolve(v - v[0], f)[: len(v)] + f.sum() * v[0]
-        xw, yw = np.stack([white(c) for c in x.T], 1), white(y)
-        new, w = robust_fit(xw, yw)
-        q = np.sqrt(w)
-        r = (yw - xw @ new) * q
-        cov = np.linalg.pinv((xw * q[:, None]).T @ (xw * q[:, None])) * (r @ r) / max(1.0, w.sum() - x.shape[1])
-        done = np.abs(new - b).max() <= 1e-2 * max(np.abs(b).max(), 1e-12)
+        order, f = len(a), np.concatenate([[1.0], -a])
+        xw, yw = np.stack([whitened(c, f) for c in x.T], 1), whitened(y, f)
+        new = robust_fit(xw, yw)[0]
+        cov = robust_covariance(xw, yw - xw @ new)
+        done = np.linalg.norm(new - b) <= 1e-2 * np.linalg.norm(b)
         b = new
         if done:
             break

@@ -90,20 +90,20 @@ def bias_corrected(x: np.ndarray, y: np.ndarray, measure, surrogates: int = 200,
 
 
 def _windows(n: int, fs: float, length: float, step: float | None):
-    size = int(round(length * fs))
-    hop = max(1, int(round((length / 2 if step is None else step) * fs)))
+    size = int(length * fs)
+    hop = max(1, int((length / 2 if step is None else step) * fs))
     return [(i, i + size) for i in range(0, n - size + 1, hop)]
 
 
 def scalp_coupling(x: np.ndarray, y: np.ndarray, fs: float, band=(0.5, 2.5), length: float = 5.0, step: float | None = None) -> np.ndarray:
-    """Correlation of two wavelengths in the cardiac band, a value a window."""
-    x, y = (signal.frequency_filter(v, fs, *band) for v in (x, y))
+    """Correlation of two wavelengths in the cardiac band (one band pass of order 3), a value a window."""
+    x, y = (signal.band_pass(v, fs, *band) for v in (x, y))
     return np.array([np.corrcoef(x[a:b], y[a:b])[0, 1] if x[a:b].std() > 0 < y[a:b].std() else np.nan for a, b in _windows(len(x), fs, length, step)])
 
 
 def peak_power(x: np.ndarray, y: np.ndarray, fs: float, band=(0.5, 2.5), length: float = 10.0, step: float | None = None) -> np.ndarray:
     """Peak of the spectrum of two wavelengths' circular cross-correlation in the band, a value a window."""
-    fx, fy = (signal.frequency_filter(v, fs, *band) for v in (x, y))
+    fx, fy = (signal.band_pass(v, fs, *band) for v in (x, y))
     out = []
     for a, b in _windows(len(x), fs, length, step):
         u, v = fx[a:b], fy[a:b]
@@ -113,7 +113,7 @@ def peak_power(x: np.ndarray, y: np.ndarray, fs: float, band=(0.5, 2.5), length:
         n = b - a
         cross = np.fft.irfft(np.fft.rfft(u / u.std()) * np.fft.rfft(v / v.std()).conj(), n) / n
         f = np.fft.rfftfreq(n, 1 / fs)
-        power = np.abs(np.fft.rfft(cross)) ** 2 / n
+        power = np.abs(np.fft.rfft(cross - cross.mean())) ** 2 / n**2
         power[1 : (n + 1) // 2] *= 2
         keep = (f >= band[0] - 0.1) & (f <= band[1] + 0.1)
         out.append(power[keep].max() if keep.any() else np.nan)
@@ -158,18 +158,37 @@ def motion_mask(x: np.ndarray, k: int, gamma: float = 0.9) -> np.ndarray:
     return v > v.mean() + gamma * v.std()
 
 
-def spline_correction(x: np.ndarray, fs: float, k: int | None = None, gamma: float = 0.9, lam: float | None = None, recenter: bool = True) -> np.ndarray:
-    """Takes a smooth curve off each motion run and shifts every later run to meet the one before.
-    The default stiffness is the usual 0.99 of a cubic smoothing spline over seconds."""
-    bad = motion_mask(x, max(1, int(round(fs / 2))) if k is None else k, gamma)
-    edge = np.concatenate([[0], np.flatnonzero(np.diff(bad.astype(int))) + 1, [len(x)]])
-    lam, w, out = (0.01 / 0.99 * fs**3 if lam is None else lam), max(1, int(round(fs / 3))), x.astype(float).copy()
-    for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-        if bad[a]:
-            out[a:b] -= smooth(out[a:b], lam)
-        if i:
-            out[a:b] += out[max(edge[i - 1], a - w) : a].mean() - out[a : min(b, a + w)].mean()
-    return out - out.mean() + x.mean() if recenter else out
+def trend(y: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Smooth curve whose squared residuals sum to `most` (n times the variance if not given): the least-squares
+    cubic where that suffices, as it does by default, else a smoothing spline just stiff enough."""
+    t = np.linspace(-1, 1, len(y))
+    most = len(y) * y.var() if most is None else most
+    cubic = np.polynomial.polynomial.polyval(t, np.polynomial.polynomial.polyfit(t, y, 3))
+    if ((y - cubic) ** 2).sum() <= most * (1 + 1e-9) + 1e-300:
+        return cubic
+    lo, hi = -12.0, 12.0  # log10 of the stiffness
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if ((y - smooth(y, 10**mid)) ** 2).sum() <= most else (lo, mid)
+    return smooth(y, 10**lo)
+
+
+def spline_correction(x: np.ndarray, fs: float, k: int | None = None, gamma: float = 0.9, smoothing: float | None = None, recenter: bool = True) -> np.ndarray:
+    """Takes a smooth curve off each motion run of over 3 samples and puts the run at the level of the k samples
+    before it; what follows a run moves as a whole, so that its first k samples are at that level too. k is
+    2.5 s if not given. The result has mean 0 unless recenter is off."""
+    k = max(1, round(2.5 * fs)) if k is None else k
+    bad, out = motion_mask(x, k, gamma), x.astype(float).copy()
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], bad.astype(int), [0]])))
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        if b - a <= 3:
+            continue
+        rest = out[a:b] - trend(out[a:b], smoothing)
+        level = out[a - min(k, a) : a].mean() if a else rest[0]
+        out[a:b] = rest + level
+        if b < len(out):
+            out[b:] += level - out[b : b + k].mean()
+    return out - out.mean() if recenter else out
 
 
 # regressors ------------------------------------------------------------------

@@ -35,12 +35,12 @@ def check_poolable(fc: DataFrame, tol: float = 0.1) -> DataFrame:
     )
 
 
-def roi_average(fc: DataFrame, roi: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def roi_average(fc: DataFrame, roi: DataFrame, weights: DataFrame | None = None, by=()) -> DataFrame:
     """Means and sd in z over the pairs of each two regions; a channel may be in many."""
-    z = fisher_z(F.col("value"))
+    z, k = fisher_z(F.col("value")), list(by)
     a = roi.select(F.col("roi").alias("roi_i"), F.col("channel").alias("ch_i"))
     b = roi.select(F.col("roi").alias("roi_j"), F.col("channel").alias("ch_j"))
-    both = fc.select("ch_i", "ch_j", "value").unionByName(fc.select(F.col("ch_j").alias("ch_i"), F.col("ch_i").alias("ch_j"), "value"))
+    both = fc.select(*k, "ch_i", "ch_j", "value").unionByName(fc.select(*k, F.col("ch_j").alias("ch_i"), F.col("ch_i").alias("ch_j"), "value"))
     pairs = both.join(a, "ch_i").join(b, "ch_j").filter("roi_i < roi_j OR (roi_i = roi_j AND ch_i < ch_j)").withColumn("_z", z)
     if weights is not None:
         w = weights.select("channel", "weight")
@@ -48,13 +48,13 @@ def roi_average(fc: DataFrame, roi: DataFrame, weights: DataFrame | None = None)
         pairs = pairs.withColumn("_w", F.when(F.col("_z").isNotNull(), F.col("_wi") * F.col("_wj")))
     else:
         pairs = pairs.withColumn("_w", F.when(F.col("_z").isNotNull(), F.lit(1.0)))
-    s = pairs.groupBy("roi_i", "roi_j").agg(
+    s = pairs.groupBy(*k, "roi_i", "roi_j").agg(
         F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_z")).alias("wz"), F.sum(F.col("_w") * F.col("_z") ** 2).alias("wzz"),
         F.count("_z").alias("n_pairs"), F.countDistinct("ch_i").alias("n_channels_i"), F.countDistinct("ch_j").alias("n_channels_j"),
     )
     mean = F.try_divide("wz", "w")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("wzz", "w") - mean * mean))
-    return s.select("roi_i", "roi_j", F.tanh(mean).alias("value"), sd.alias("sd"), "n_pairs", "n_channels_i", "n_channels_j")
+    return s.select(*k, "roi_i", "roi_j", F.tanh(mean).alias("value"), sd.alias("sd"), "n_pairs", "n_channels_i", "n_channels_j")
 
 
 def handle_negatives(fc: DataFrame, mode: str = "discard") -> DataFrame:
@@ -73,9 +73,9 @@ def threshold(fc: DataFrame, kind: str = "sparsity", value: float = 0.15, binari
     return df.withColumn("value", F.when(kept, F.lit(1.0) if binarize else F.col("value")).when(F.col("value").isNotNull(), 0.0)).drop("_cut")
 
 
-def to_matrix(fc: DataFrame, channels: list) -> DataFrame:
-    both = fc.select("ch_i", "ch_j", "value").unionByName(fc.select(F.col("ch_j").alias("ch_i"), F.col("ch_i").alias("ch_j"), "value"))
-    return both.groupBy("ch_i").pivot("ch_j", channels).agg(F.first("value"))
+def to_matrix(fc: DataFrame, channels: list, by=()) -> DataFrame:
+    both = fc.select(*by, "ch_i", "ch_j", "value").unionByName(fc.select(*by, F.col("ch_j").alias("ch_i"), F.col("ch_i").alias("ch_j"), "value"))
+    return both.groupBy(*by, "ch_i").pivot("ch_j", channels).agg(F.first("value"))
 
 
 def to_dataframe(fc: DataFrame) -> DataFrame:
@@ -90,28 +90,28 @@ def reduce(fc: DataFrame, axis: str, lo: float, hi: float, how: str = "mean", by
 # graphs ----------------------------------------------------------------------
 
 
-def edges(fc: DataFrame) -> DataFrame:
-    return fc.filter("value <> 0").select("ch_i", "ch_j", "value")
+def edges(fc: DataFrame, by=()) -> DataFrame:
+    return fc.filter("value <> 0").select(*by, "ch_i", "ch_j", "value")
 
 
-def density(fc: DataFrame, n_nodes: int) -> DataFrame:
-    return edges(fc).agg(F.count(F.lit(1)).alias("n_edges")).withColumn("density", 2.0 * F.col("n_edges") / (n_nodes * (n_nodes - 1)))
+def density(fc: DataFrame, n_nodes: int, by=()) -> DataFrame:
+    return edges(fc, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_edges")).withColumn("density", 2.0 * F.col("n_edges") / (n_nodes * (n_nodes - 1)))
 
 
-def degree(fc: DataFrame) -> DataFrame:
-    e = edges(fc)
-    return e.select(F.col("ch_i").alias("node")).unionAll(e.select(F.col("ch_j").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+def degree(fc: DataFrame, by=()) -> DataFrame:
+    e = edges(fc, by)
+    return e.select(*by, F.col("ch_i").alias("node")).unionAll(e.select(*by, F.col("ch_j").alias("node"))).groupBy(*by, "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def clustering(fc: DataFrame) -> DataFrame:
+def clustering(fc: DataFrame, by=()) -> DataFrame:
     """Local clustering coefficient: triangles by an oriented three-way join, over pairs of neighbours."""
-    e = edges(fc).select("ch_i", "ch_j")
-    ab = e.select(F.col("ch_i").alias("a"), F.col("ch_j").alias("b"))
-    bc = e.select(F.col("ch_i").alias("b"), F.col("ch_j").alias("c"))
-    ac = e.select(F.col("ch_i").alias("a"), F.col("ch_j").alias("c"))
-    tri = ab.join(bc, "b").join(ac, ["a", "c"])
-    per = tri.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
-    out = degree(fc).join(per, "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    e, k = edges(fc, by), list(by)
+    ab = e.select(*k, F.col("ch_i").alias("a"), F.col("ch_j").alias("b"))
+    bc = e.select(*k, F.col("ch_i").alias("b"), F.col("ch_j").alias("c"))
+    ac = e.select(*k, F.col("ch_i").alias("a"), F.col("ch_j").alias("c"))
+    tri = ab.join(bc, [*k, "b"]).join(ac, [*k, "a", "c"])
+    per = tri.select(*k, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*k, "node").agg(F.count(F.lit(1)).alias("triangles"))
+    out = degree(fc, by).join(per, [*k, "node"], "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
     pairs = F.col("degree") * (F.col("degree") - 1)
     return out.withColumn("clustering", F.when(pairs > 0, 2.0 * F.col("triangles") / pairs).otherwise(0.0))
 

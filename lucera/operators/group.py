@@ -81,7 +81,7 @@ def normal_equations(design: DataFrame, samples: DataFrame, keys=("recording", "
 def sign_flip_t(effects: DataFrame, by: list[str], n_perm: int = 1000, seed: int = 0) -> DataFrame:
     """t of sign patterns of the subjects' beta (a row a subject); pattern 0 is the observed one.
     All 2^n of them for a group of n subjects if that is n_perm at most, in the order of subject;
-    else pattern 0 and n_perm - 1 random ones, each sign a bit of a hash of seed, pattern and subject."""
+    else pattern 0 and n_perm - 1 random ones, each sign a bit of the MD5 of seed, pattern and subject."""
     sizes = effects.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).withColumnsRenamed({c: f"_by_{c}" for c in by})
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True))
     rows = effects.join(F.broadcast(sizes), same).select(*by, "subject", "beta", "_size")
@@ -91,7 +91,7 @@ def sign_flip_t(effects: DataFrame, by: list[str], n_perm: int = 1000, seed: int
     few = few.withColumn("flip", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, CAST(_size AS INT)) - 1"))))
     few = few.withColumn("_minus", F.getbit("flip", F.col("_k")))
     many = many.withColumn("flip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))))
-    many = many.withColumn("_minus", F.when(F.col("flip") == 0, 0).otherwise(F.getbit(F.xxhash64(F.lit(seed), "flip", "subject"), F.lit(0))))
+    many = many.withColumn("_minus", F.when(F.col("flip") == 0, 0).otherwise(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "flip", "subject")), 1, 1), 16, 10).cast("int") % 2))
     x = (1 - 2 * F.col("_minus")) * F.col("beta")
     rows = few.select(*by, "flip", x.alias("_x")).unionByName(many.select(*by, "flip", x.alias("_x")))
     s = rows.groupBy(*by, "flip").agg(F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_s"), F.count("_x").alias("_n"))

@@ -56,21 +56,43 @@ def jacobian(voxels: DataFrame, channels: pd.DataFrame, mua: float, musp: float,
     return voxels.select("voxel", "x", "y", "depth").mapInPandas(run, f"channel {kind}, voxel long, value double")
 
 
+#: Cells of an inverse that goes to every task (8 bytes each); a larger one is joined.
+MAX_INVERSE = 20_000_000
+
+
 def reconstruct(sens: DataFrame, samples: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """(frame, voxel, value) by Tikhonov: J' (J J' + alpha max diag I)^-1 y. Only the channels' Gram
-    matrix, bounded by the montage, reaches the driver; a frame lacking a channel is left out."""
+    """(recording, frame, voxel, value) by Tikhonov: J' (J J' + alpha max diag I)^-1 y. The channels' Gram
+    matrix, bounded by the montage, is inverted on the driver. J' times it goes to every task if it has
+    MAX_INVERSE cells at most, and frames are solved in blocks; else frames' weights join the table of
+    J. A frame lacking a channel is left out."""
     a = sens.select("voxel", F.col("channel").alias("ch_i"), F.col("value").alias("a"))
     b = sens.select("voxel", F.col("channel").alias("ch_j"), F.col("value").alias("b"))
     gram = a.join(b, "voxel").groupBy("ch_i", "ch_j").agg(F.sum(F.col("a") * F.col("b")).alias("g")).toPandas()
     names = sorted(gram["ch_i"].unique().tolist())
     g = gram.pivot(index="ch_i", columns="ch_j", values="g").loc[names, names].to_numpy()
     inv = np.linalg.inv(g + alpha * g.diagonal().max() * np.eye(len(g)))
-    kind = dict(sens.dtypes)["channel"]
+    rec, kind, vox = dict(samples.dtypes)["recording"], dict(sens.dtypes)["channel"], dict(sens.dtypes)["voxel"]
+    keys = ["recording", "frame"]
+    frames = samples.filter("v IS NOT NULL").filter(F.col("channel").isin(names))
+    if sens.select("voxel").distinct().count() * len(names) <= MAX_INVERSE:
+        j = sens.select("voxel", "channel", "value").toPandas().pivot(index="voxel", columns="channel", values="value").reindex(columns=names).fillna(0.0)
+        voxels, solve = j.index.to_numpy(), inv @ j.to_numpy().T
+        whole = frames.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("channel", "v"))).alias("v")).filter(F.size("v") == len(names))
+        whole = whole.select(*keys, F.array(*[F.element_at("v", F.lit(c).cast(kind)) for c in names]).alias("y"))
+
+        def run(batches):
+            for pdf in batches:
+                for lo in range(0, len(pdf), 64):
+                    part = pdf.iloc[lo : lo + 64]
+                    value = np.stack(part["y"].to_list()) @ solve
+                    yield pd.DataFrame({"recording": part["recording"].repeat(len(voxels)).to_numpy(), "frame": part["frame"].repeat(len(voxels)).to_numpy(), "voxel": np.tile(voxels, len(part)), "value": value.ravel()})
+
+        return whole.mapInPandas(run, f"recording {rec}, frame long, voxel {vox}, value double")
     rows = [(names[i], names[j], float(inv[i, j])) for i in range(len(names)) for j in range(len(names))]
     table = sens.sparkSession.createDataFrame(rows, f"to {kind}, channel {kind}, w double")
-    weights = samples.filter("v IS NOT NULL").join(table, "channel").groupBy("frame", "to").agg(F.sum(F.col("w") * F.col("v")).alias("u"), F.count(F.lit(1)).alias("m"))
-    weights = weights.filter(F.col("m") == len(names)).select("frame", F.col("to").alias("channel"), "u")
-    return sens.join(weights, "channel").groupBy("frame", "voxel").agg(F.sum(F.col("value") * F.col("u")).alias("value"))
+    weights = frames.join(table, "channel").groupBy(*keys, "to").agg(F.sum(F.col("w") * F.col("v")).alias("u"), F.count(F.lit(1)).alias("m"))
+    weights = weights.filter(F.col("m") == len(names)).select(*keys, F.col("to").alias("channel"), "u")
+    return sens.join(weights, "channel").groupBy(*keys, "voxel").agg(F.sum(F.col("value") * F.col("u")).alias("value"))
 
 
 def project_to_surface(values: DataFrame, vertices: DataFrame, radius: float = 12.0, method: str = "gaussian", fwhm: float = 10.0, power: float = 2.0, min_voxels: int = 1) -> DataFrame:

@@ -159,10 +159,11 @@ def regress_nuisance(samples: DataFrame, design: pd.DataFrame, keys=("recording"
     """v less what the nuisance design explains, its constant columns kept."""
     from lucera.operators.series import per_series
 
-    x = design.to_numpy(float)
-    flat = np.ptp(x, axis=0) == 0
+    whole = design.to_numpy(float)
+    flat = np.ptp(whole, axis=0) == 0
 
     def clean(y):
+        x = whole[: len(y)]
         b = signal.robust_fit(x, y)[0] if robust else np.linalg.lstsq(x, y, rcond=None)[0]
         return y - x[:, ~flat] @ b[~flat]
 

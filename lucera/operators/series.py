@@ -36,8 +36,33 @@ def tddr(samples, fs: float, **kw) -> DataFrame:
     return per_series(samples, lambda x: signal.tddr(x, fs, **kw))
 
 
-def wavelet_correct(samples, iqr: float = 1.5) -> DataFrame:
-    return per_series(samples, lambda x: signal.wavelet_correction(x, iqr))
+def wavelet_correct(samples, **kw) -> DataFrame:
+    return per_series(samples, lambda x: signal.wavelet_correction(x, **kw))
+
+
+def band_snr(samples: DataFrame, fs: float, band: tuple[float, float], noise: tuple[float, float] | None = None, window_s: float | None = None, step_s: float | None = None, keys=tuple(KEYS)) -> DataFrame:
+    """(keys, snr): deviation in the band over that in the noise band, or over what the band leaves; with
+    window_s the median over sliding windows (half overlapping unless step_s is given). Flat series are null."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in samples.select(*keys).dtypes) + ", snr double"
+
+    def one(x):
+        if not np.isfinite(x).all() or x.std() == 0:
+            return np.nan
+        s = signal.frequency_filter(x, fs, *band)
+        other = signal.frequency_filter(x, fs, *noise) if noise else x - s
+        return s.std() / (other.std() + 1e-12)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("frame")["v"].to_numpy(float)
+        if window_s is None:
+            got = one(x)
+        else:
+            size, hop = int(window_s * fs), max(1, int((window_s / 2 if step_s is None else step_s) * fs))
+            per = [one(x[a : a + size]) for a in range(0, len(x) - size + 1, hop)]
+            got = np.nanmedian(per) if np.isfinite(per).any() else np.nan
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "snr": [got]})
+
+    return samples.groupBy(*keys).applyInPandas(run, schema)
 
 
 def resample(samples: DataFrame, fs: float, new_fs: float, keys=tuple(KEYS)) -> DataFrame:
@@ -82,20 +107,21 @@ def coherence(samples: DataFrame, fs: float, low: float, high: float, nperseg: i
 def glm(samples: DataFrame, design: pd.DataFrame, method: str = "ar-irls", pmax: int = 8, keys=tuple(KEYS)) -> DataFrame:
     """(keys, regressor, beta, se, df, ar_order) per series; design: frames by regressors, small
     and broadcast with the function."""
-    x, names = design.to_numpy(float), list(design.columns)
+    whole, names = design.to_numpy(float), list(design.columns)
     schema = ", ".join(f"`{n}` {t}" for n, t in samples.select(*keys).dtypes) + ", regressor string, beta double, se double, df long, ar_order int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("frame")["v"].to_numpy(float)
-        if not np.isfinite(y).all():
+        if not np.isfinite(y).all() or len(y) <= len(names):
             return pd.DataFrame({c: [] for c in [*keys, "regressor", "beta", "se", "df", "ar_order"]})
+        x = whole[: len(y)]
         order, df = 0, len(y) - len(names)
         if method == "ar-irls":
             b, cov, order = signal.ar_irls(y, x, pmax)
         else:
-            b, w = signal.robust_fit(x, y) if method == "robust" else (np.linalg.lstsq(x, y, rcond=None)[0], np.ones(len(y)))
-            r = (y - x @ b) * np.sqrt(w)
-            cov = np.linalg.pinv((x * w[:, None]).T @ x) * (r @ r) / df
+            b = signal.robust_fit(x, y)[0] if method == "robust" else np.linalg.lstsq(x, y, rcond=None)[0]
+            r = y - x @ b
+            cov = signal.robust_covariance(x, r) if method == "robust" else np.linalg.pinv(x.T @ x) * (r @ r) / df
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(names) for k in keys}, "regressor": names, "beta": b, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "df": df, "ar_order": order})
 
     return samples.groupBy(*keys).applyInPandas(run, schema)

@@ -16,8 +16,10 @@ EPS = 1e-10
 def intensity_to_od(samples: DataFrame, keys=tuple(SERIES), window: tuple[int, int] | None = None) -> DataFrame:
     """-ln((|v| + eps) / mean|v| + eps); the mean over all frames or frames [start, end)."""
     inside = F.abs("v") if window is None else F.when((F.col("frame") >= window[0]) & (F.col("frame") < window[1]), F.abs("v"))
-    base = F.avg(inside).over(Window.partitionBy(*keys))
-    return samples.withColumn("od", -F.log((F.abs("v") + EPS) / F.nullif(base, F.lit(0.0)) + EPS))
+    # means combine before their shuffle, and meet the samples by a join: no task holds a series
+    base = samples.groupBy(*keys).agg(F.avg(inside).alias("_base"))
+    od = -F.log((F.abs("v") + EPS) / F.nullif(F.col("_base"), F.lit(0.0)) + EPS)
+    return samples.join(base, list(keys)).withColumn("od", od).drop("_base")
 
 
 def average_seconds(samples: DataFrame, window_s: float, keys=tuple(SERIES), method: str = "mean") -> DataFrame:

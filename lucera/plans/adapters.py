@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = 1704067200
+#: Frames of one recording of the regular stream; a longer table holds more recordings.
+FRAMES = 250
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -13,24 +15,24 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def embedding_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Regular stream: frame = vec_id, channel = position (all 64), 10 frames a second."""
+    """Regular streams: a recording is FRAMES vectors, channel = position (all), 10 frames a second."""
     e = read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("channel", "v"))
-    return e.select(F.lit("r").alias("recording"), "channel", F.col("vec_id").alias("frame"), (F.col("vec_id") / 10.0).alias("t"), F.col("v").cast("double").alias("v"), "label")
+    rec, frame = F.floor(F.col("vec_id") / FRAMES).cast("long"), F.col("vec_id") % FRAMES
+    return e.select(rec.alias("recording"), "channel", frame.alias("frame"), (frame / 10.0).alias("t"), F.col("v").cast("double").alias("v"), "label")
 
 
-#: The SQL has the first eight positions only, and ROI theirs; the queries have all of them.
-EMB = """emb AS (SELECT 'r' AS recording, CAST(c - 1 AS INTEGER) AS channel, vec_id AS frame, vec_id / 10.0::DOUBLE AS t, CAST(embedding[c] AS DOUBLE) AS v, label
- FROM embeddings, (SELECT unnest(range(1, 9)) AS c))"""
+EMB = f"""emb AS (SELECT vec_id // {FRAMES} AS recording, CAST(c - 1 AS INTEGER) AS channel, vec_id % {FRAMES} AS frame, (vec_id % {FRAMES}) / 10.0::DOUBLE AS t, CAST(embedding[c] AS DOUBLE) AS v, label
+ FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS c FROM embeddings))"""
 
 
 def event_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Irregular stream: channel = event type, seconds since the first of 2024."""
+    """Irregular streams: recording = user, channel = event type, seconds since the first of 2024."""
     e = read(spark, sf, "events")
     t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) - EPOCH
-    return e.select(F.lit("r").alias("recording"), F.col("event_type").alias("channel"), F.col("event_id").alias("frame"), t.alias("t"), F.col("value").alias("v"))
+    return e.select(F.col("user_id").alias("recording"), F.col("event_type").alias("channel"), F.col("event_id").alias("frame"), t.alias("t"), F.col("value").alias("v"))
 
 
-EVS = f"""evs AS (SELECT 'r' AS recording, event_type AS channel, event_id AS frame, epoch_us(ts) / 1e6::DOUBLE - {EPOCH} AS t, value AS v FROM events)"""
+EVS = f"""evs AS (SELECT user_id AS recording, event_type AS channel, event_id AS frame, epoch_us(ts) / 1e6::DOUBLE - {EPOCH} AS t, value AS v FROM events)"""
 
 
 def event_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +74,7 @@ def regions(spark: SparkSession) -> DataFrame:
     return spark.range(64).select(F.explode(F.array(F.struct(F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("roi"), F.col("id").cast("int").alias("channel")), F.struct(F.lit("all").alias("roi"), F.col("id").cast("int").alias("channel")))).alias("r")).select("r.roi", "r.channel")
 
 
-ROI = """roi AS (SELECT 'g' || (i % 3) AS roi, CAST(i AS INTEGER) AS channel FROM (SELECT unnest(range(8)) AS i) UNION ALL SELECT 'all', CAST(i AS INTEGER) FROM (SELECT unnest(range(8)) AS i))"""
+ROI = """roi AS (SELECT 'g' || (i % 3) AS roi, CAST(i AS INTEGER) AS channel FROM (SELECT unnest(range(64)) AS i) UNION ALL SELECT 'all', CAST(i AS INTEGER) FROM (SELECT unnest(range(64)) AS i))"""
 
 
 def fd_samples(spark: SparkSession, sf: str) -> DataFrame:

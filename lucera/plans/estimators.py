@@ -24,10 +24,10 @@ def _samples(spark, sf):
 
 
 def _design(spark, sf) -> pd.DataFrame:
-    """Constant, a task every 20 s and slow drift over the stream's frames; a count is all that is read."""
-    n = ad.read(spark, sf, "embeddings").count()
-    task = spectra.task_regressor(np.arange(5.0, n / FS, 20.0), np.full(len(np.arange(5.0, n / FS, 20.0)), 5.0), n, FS)
-    drift = signal.dct_drift_basis(n, FS, 0.02)
+    """Constant, a task every 10 s and slow drift over the frames of one recording: bounded by it, not by the table."""
+    n = ad.FRAMES
+    task = spectra.task_regressor(np.arange(2.0, n / FS, 10.0), np.full(len(np.arange(2.0, n / FS, 10.0)), 4.0), n, FS)
+    drift = signal.dct_drift_basis(n, FS, 0.04)
     return pd.DataFrame({"task": task, **{f"drift_{i}": drift[:, i] for i in range(drift.shape[1])}})
 
 
@@ -52,7 +52,7 @@ for _name, _run in {
 @query
 def fc_distance(spark, sf):
     s = _samples(spark, sf)
-    half = ad.read(spark, sf, "embeddings").count() // 2
+    half = ad.FRAMES // 2
     return inference.geodesic_distance(inference.pairwise(s.filter(F.col("frame") < half), "pearson", FS), inference.pairwise(s.filter(F.col("frame") >= half), "pearson", FS))
 
 
@@ -76,7 +76,7 @@ def glm_ar_irls(spark, sf):
 @query
 def circular_shift_null(spark, sf):
     d = _design(spark, sf)
-    return inference.circular_shift_null(_samples(spark, sf), d["task"].to_numpy(), d.drop(columns="task").to_numpy(), FS, 200, 10.0)
+    return inference.circular_shift_null(_samples(spark, sf), d["task"].to_numpy(), d.drop(columns="task").to_numpy(), FS, 200, 5.0)
 
 
 @query
@@ -86,10 +86,10 @@ def regress_nuisance(spark, sf):
 
 @query
 def cluster_table(spark, sf):
-    """Every position is a contrast, its vectors a chain of nodes."""
-    t = _samples(spark, sf).select(F.col("channel").alias("contrast"), F.col("frame").alias("node"), (F.col("v") * 10).alias("t"))
-    n = ad.read(spark, sf, "embeddings").count()
-    return inference.clusters(t, pd.DataFrame({"a": range(n - 1), "b": range(1, n)}), ["contrast"], 1.0)
+    """Every position of a recording is a contrast, its frames a chain of nodes."""
+    t = _samples(spark, sf).select("recording", F.col("channel").alias("contrast"), F.col("frame").alias("node"), (F.col("v") * 10).alias("t"))
+    chain = pd.DataFrame({"a": range(ad.FRAMES - 1), "b": range(1, ad.FRAMES)})
+    return inference.clusters(t, chain, ["recording", "contrast"], 1.0)
 
 
 def _montage() -> pd.DataFrame:
@@ -116,6 +116,6 @@ def simulate_fd(spark, sf):
 @query
 def field_smoothness(spark, sf):
     """Embeddings as images over a lattice of 4 x 4 x 4 voxels."""
-    cells = ad.read(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("p", "v")).filter("p < 64")
+    cells = ad.read(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("p", "v"))
     at = {a: F.floor(F.col("p") / w).cast("int") % 4 for a, w in zip("ijk", (16, 4, 1), strict=True)}
     return smoothness.field_smoothness(cells.select("image", *[c.alias(a) for a, c in at.items()], F.col("v").cast("double").alias("v")), 9.0)

@@ -102,8 +102,8 @@ def _(spark, sf):
     return ev.merge_overlapping(ad.event_table(spark, sf), 30.0, by_label=False)
 
 
-@query("events_from_stim", f"""WITH {EMB}, a AS (SELECT *, v > 0.05 AS o, lag(v > 0.05) OVER (PARTITION BY channel ORDER BY frame) AS p FROM emb),
- b AS (SELECT *, sum(CASE WHEN o AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM a)
+@query("events_from_stim", f"""WITH {EMB}, a AS (SELECT *, v > 0.05 AS o, lag(v > 0.05) OVER (PARTITION BY recording, channel ORDER BY frame) AS p FROM emb),
+ b AS (SELECT *, sum(CASE WHEN o AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY recording, channel ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM a)
  SELECT recording, {_r('min(t)', 'onset')}, {_r('max(t) - min(t)', 'duration')}, {_r('arg_min(v, frame)', 'value')}, channel AS label FROM b WHERE o GROUP BY recording, channel, run""")
 def _(spark, sf):
     s = ad.embedding_samples(spark, sf).withColumn("v", F.when(F.col("v") > 0.05, F.col("v")).otherwise(0.0)).withColumnRenamed("channel", "condition")
@@ -113,18 +113,18 @@ def _(spark, sf):
 # streams -----------------------------------------------------------------------
 
 
-@query("intensity_to_od", f"WITH {EMB} SELECT channel, frame, {_r('-ln((abs(v) + 1e-10) / avg(abs(v)) OVER (PARTITION BY channel) + 1e-10)', 'od')} FROM emb")
+@query("intensity_to_od", f"WITH {EMB} SELECT recording, channel, frame, {_r('-ln((abs(v) + 1e-10) / avg(abs(v)) OVER (PARTITION BY recording, channel) + 1e-10)', 'od')} FROM emb")
 def _(spark, sf):
-    return streams.intensity_to_od(ad.embedding_samples(spark, sf)).select("channel", "frame", "od")
+    return streams.intensity_to_od(ad.embedding_samples(spark, sf)).select("recording", "channel", "frame", "od")
 
 
-@query("od_baseline_window", f"WITH {EMB} SELECT channel, frame, {_r('-ln((abs(v) + 1e-10) / avg(CASE WHEN frame >= 10 AND frame < 60 THEN abs(v) END) OVER (PARTITION BY channel) + 1e-10)', 'od')} FROM emb")
+@query("od_baseline_window", f"WITH {EMB} SELECT recording, channel, frame, {_r('-ln((abs(v) + 1e-10) / avg(CASE WHEN frame >= 10 AND frame < 60 THEN abs(v) END) OVER (PARTITION BY recording, channel) + 1e-10)', 'od')} FROM emb")
 def _(spark, sf):
-    return streams.intensity_to_od(ad.embedding_samples(spark, sf), window=(10, 60)).select("channel", "frame", "od")
+    return streams.intensity_to_od(ad.embedding_samples(spark, sf), window=(10, 60)).select("recording", "channel", "frame", "od")
 
 
-@query("time_average_seconds", f"""WITH {EVS}, f AS (SELECT channel, min(t) AS t0 FROM evs GROUP BY channel)
- SELECT recording, evs.channel, CAST(floor((evs.t - t0) / 3600) AS BIGINT) AS block, {_r('avg(v)', 'v')}, {_r('avg(evs.t)', 't', 4)}, count(v) AS n FROM evs JOIN f ON evs.channel = f.channel GROUP BY 1, 2, 3""")
+@query("time_average_seconds", f"""WITH {EVS}, f AS (SELECT recording, channel, min(t) AS t0 FROM evs GROUP BY 1, 2)
+ SELECT evs.recording, evs.channel, CAST(floor((evs.t - t0) / 3600) AS BIGINT) AS block, {_r('avg(v)', 'v')}, {_r('avg(evs.t)', 't', 4)}, count(v) AS n FROM evs JOIN f ON evs.recording = f.recording AND evs.channel = f.channel GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return streams.average_seconds(ad.event_samples(spark, sf), 3600.0).withColumn("t", F.round("t", 4))
 
@@ -134,34 +134,31 @@ def _(spark, sf):
     return streams.average_frames(ad.embedding_samples(spark, sf), 7, method="median", partial="drop", time_label="start")
 
 
-@query("gap_average", f"""WITH {EVS}, a AS (SELECT *, t - lag(t) OVER (PARTITION BY channel ORDER BY t, v) AS d FROM evs),
- b AS (SELECT *, sum(CASE WHEN d > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY t, v ROWS UNBOUNDED PRECEDING) AS block FROM a)
+@query("gap_average", f"""WITH {EVS}, a AS (SELECT *, t - lag(t) OVER (PARTITION BY recording, channel ORDER BY t, v) AS d FROM evs),
+ b AS (SELECT *, sum(CASE WHEN d > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY recording, channel ORDER BY t, v ROWS UNBOUNDED PRECEDING) AS block FROM a)
  SELECT recording, channel, CAST(block AS BIGINT) AS block, {_r('avg(v)', 'v')}, {_r('avg(t)', 't', 4)}, count(v) AS n FROM b GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return streams.average_gaps(ad.event_samples(spark, sf), 1800.0).withColumn("t", F.round("t", 4))
 
 
-@query("edge_average", f"WITH {EMB} SELECT recording, channel, CAST(CASE WHEN t < 10 THEN 0 WHEN t < 25 THEN 1 ELSE 2 END AS INTEGER) AS block, {_r('avg(v)', 'v')}, {_r('avg(t)', 't')} FROM emb WHERE t >= 2 AND t < 40 GROUP BY 1, 2, 3")
+@query("edge_average", f"WITH {EMB} SELECT recording, channel, CAST(CASE WHEN t < 6.25 THEN 0 WHEN t < 12.5 THEN 1 ELSE 2 END AS INTEGER) AS block, {_r('avg(v)', 'v')}, {_r('avg(t)', 't')} FROM emb GROUP BY 1, 2, 3")
 def _(spark, sf):
-    # a quarter, a quarter and a half of the stream; the SQL has fixed edges from 2 to 40 s
-    last = ad.read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
-    whole = ((-1 if last is None else last) + 1) / 10.0
+    whole = ad.FRAMES / 10.0  # a quarter, a quarter and a half of each recording
     return streams.average_edges(ad.embedding_samples(spark, sf), [0.0, whole / 4, whole / 2, whole])
 
 
-@query("detrend", f"""WITH {EMB}, f AS (SELECT channel, regr_slope(v, frame) AS b, avg(v) AS m, avg(frame) AS c FROM emb GROUP BY channel)
- SELECT emb.channel, frame, {_r('v - b * (frame - c)', 'v')} FROM emb JOIN f ON emb.channel = f.channel""")
+@query("detrend", f"""WITH {EMB}, f AS (SELECT recording, channel, regr_slope(v, frame) AS b, avg(v) AS m, avg(frame) AS c FROM emb GROUP BY 1, 2)
+ SELECT emb.recording, emb.channel, frame, {_r('v - b * (frame - c)', 'v')} FROM emb JOIN f ON emb.recording = f.recording AND emb.channel = f.channel""")
 def _(spark, sf):
-    return streams.detrend(ad.embedding_samples(spark, sf)).select("channel", "frame", "v")
+    return streams.detrend(ad.embedding_samples(spark, sf)).select("recording", "channel", "frame", "v")
 
 
-@query("concatenate", f"""WITH {EMB}, u AS (SELECT 0 AS run, channel, t, v FROM emb WHERE frame < 100 UNION ALL SELECT 1, channel, t, v FROM emb WHERE frame >= 150),
- s AS (SELECT run, min(t) AS lo, max(t) AS hi FROM u GROUP BY run), o AS (SELECT run, lo, coalesce(sum(hi - lo + 0.1) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sh FROM s)
- SELECT u.run, channel, {_r('t - lo + sh', 't')}, {_r('v', 'v')} FROM u JOIN o ON u.run = o.run""")
+@query("concatenate", f"""WITH {EMB}, u AS (SELECT recording, CASE WHEN frame < 100 THEN 0 ELSE 1 END AS run, channel, t, v FROM emb),
+ s AS (SELECT recording, run, min(t) AS lo, max(t) AS hi FROM u GROUP BY 1, 2), o AS (SELECT recording, run, lo, coalesce(sum(hi - lo + 0.1) OVER (PARTITION BY recording ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sh FROM s)
+ SELECT u.recording, u.run, channel, {_r('t - lo + sh', 't')}, {_r('v', 'v')} FROM u JOIN o ON u.recording = o.recording AND u.run = o.run""")
 def _(spark, sf):
     s = ad.embedding_samples(spark, sf)
-    # every frame; the SQL leaves out 100 to 149
-    return streams.concatenate([s.filter("frame < 100"), s.filter("frame >= 100")], 0.1).select("run", "channel", "t", "v")
+    return streams.concatenate([s.filter("frame < 100"), s.filter("frame >= 100")], 0.1).select("recording", "run", "channel", "t", "v")
 
 
 @query("segment_by_events", f"""WITH {EVT}, w AS (SELECT recording, onset - 60 AS a, onset + duration + 60 AS b FROM evt WHERE label = 'purchase' AND duration + 120 >= 300)
@@ -173,13 +170,13 @@ def _(spark, sf):
     return s.groupBy("recording", "seg_start", "seg_end").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"), F.max("seg_t").alias("last_t"))
 
 
-@query("align_asof", f"""WITH {EVS}, s AS (SELECT t, avg(v) AS x FROM evs WHERE channel = 'click' GROUP BY t), q AS (SELECT DISTINCT t FROM evs WHERE channel = 'purchase'),
- j AS (SELECT q.t, p.t AS pt, p.x AS px, n.t AS nt, n.x AS nx FROM q ASOF LEFT JOIN s p ON q.t >= p.t ASOF LEFT JOIN s n ON q.t <= n.t)
- SELECT {_r('t', 't')}, {_r('CASE WHEN pt IS NULL THEN nx WHEN nt IS NULL THEN px WHEN nt = pt THEN px ELSE px + (nx - px) * (t - pt) / (nt - pt) END', 'x')} FROM j""")
+@query("align_asof", f"""WITH {EVS}, s AS (SELECT recording, t, avg(v) AS x FROM evs WHERE channel = 'click' GROUP BY 1, 2), q AS (SELECT DISTINCT recording, t FROM evs WHERE channel = 'purchase'),
+ j AS (SELECT q.recording, q.t, p.t AS pt, p.x AS px, n.t AS nt, n.x AS nx FROM q ASOF LEFT JOIN s p ON q.recording = p.recording AND q.t >= p.t ASOF LEFT JOIN s n ON q.recording = n.recording AND q.t <= n.t)
+ SELECT recording, {_r('t', 't')}, {_r('CASE WHEN pt IS NULL THEN nx WHEN nt IS NULL THEN px WHEN nt = pt THEN px ELSE px + (nx - px) * (t - pt) / (nt - pt) END', 'x')} FROM j""")
 def _(spark, sf):
     s = ad.event_samples(spark, sf)
     source = s.filter("channel = 'click'").groupBy("recording", "t").agg(F.avg("v").alias("x"))
-    return streams.align_asof(s.filter("channel = 'purchase'").select("recording", "t").distinct(), source).select("t", "x")
+    return streams.align_asof(s.filter("channel = 'purchase'").select("recording", "t").distinct(), source).select("recording", "t", "x")
 
 
 @query("unwrap_phase", f"""WITH {FDS}, a AS (SELECT frame, channel, radians(deg) - 6.283185307179586::DOUBLE * floor((radians(deg) + 3.141592653589793::DOUBLE) / 6.283185307179586::DOUBLE) AS r FROM fds),
@@ -189,15 +186,15 @@ def _(spark, sf):
     return streams.unwrap_phase(ad.fd_samples(spark, sf), ["frame"], "channel", "deg").select("frame", "channel", "phase")
 
 
-@query("lag_matrix", f"WITH {EMB} SELECT channel, frame, {_r('lag(v, 1, 0.0) OVER w', 'lag_1')}, {_r('lag(v, 2, 0.0) OVER w', 'lag_2')} FROM emb WINDOW w AS (PARTITION BY channel ORDER BY frame)")
+@query("lag_matrix", f"WITH {EMB} SELECT recording, channel, frame, {_r('lag(v, 1, 0.0) OVER w', 'lag_1')}, {_r('lag(v, 2, 0.0) OVER w', 'lag_2')} FROM emb WINDOW w AS (PARTITION BY recording, channel ORDER BY frame)")
 def _(spark, sf):
-    return streams.lag_matrix(ad.embedding_samples(spark, sf), 2).select("channel", "frame", "lag_1", "lag_2")
+    return streams.lag_matrix(ad.embedding_samples(spark, sf), 2).select("recording", "channel", "frame", "lag_1", "lag_2")
 
 
-@query("aux_magnitude", f"WITH {EMB} SELECT {_r('t', 't')}, {_r('sqrt(sum(v * v))', 'magnitude')} FROM emb WHERE channel < 3 GROUP BY t")
+@query("aux_magnitude", f"WITH {EMB} SELECT recording, {_r('t', 't')}, {_r('sqrt(sum(v * v))', 'magnitude')} FROM emb WHERE channel < 3 GROUP BY recording, t")
 def _(spark, sf):
     s = ad.embedding_samples(spark, sf).filter("channel < 3").withColumn("signal", F.get(F.array(F.lit("acc_X"), F.lit("acc_Y"), F.lit("acc_Z")), "channel"))
-    return streams.magnitude(s).select("t", "magnitude")
+    return streams.magnitude(s).select("recording", "t", "magnitude")
 
 
 @query("stream_info", f"WITH {EVS} SELECT recording, channel, count(*) AS n, count(v) AS n_valid, {_r('min(t)', 't_min')}, {_r('max(t)', 't_max')}, {_r('min(v)', 'v_min')}, {_r('max(v)', 'v_max')} FROM evs GROUP BY 1, 2")
@@ -232,14 +229,14 @@ def _(spark, sf):
 EXT = {690.0: (0.35, 2.05), 830.0: (0.97, 0.69)}
 
 
-@query("mbll", f"""WITH {EMB}, o AS (SELECT channel // 2 AS channel, channel % 2 AS w, frame, -ln((abs(v) + 1e-10) / avg(abs(v)) OVER (PARTITION BY channel) + 1e-10) AS od FROM emb),
- p AS (SELECT channel, frame, sum(CASE WHEN w = 0 THEN od END) / 18 AS a, sum(CASE WHEN w = 1 THEN od END) / 18 AS b FROM o GROUP BY 1, 2),
- q AS (SELECT channel, frame, (0.69 * a - 2.05 * b) / (0.35::DOUBLE * 0.69 - 2.05 * 0.97) * 1e6 AS hbo, (0.35 * b - 0.97 * a) / (0.35::DOUBLE * 0.69 - 2.05 * 0.97) * 1e6 AS hbr FROM p)
- SELECT CAST(channel AS INTEGER) AS channel, frame, {_r('hbo', 'hbo', 2)}, {_r('hbr', 'hbr', 2)}, {_r('hbo + hbr', 'hbt', 2)} FROM q""", 2)
+@query("mbll", f"""WITH {EMB}, o AS (SELECT recording, channel // 2 AS channel, channel % 2 AS w, frame, -ln((abs(v) + 1e-10) / avg(abs(v)) OVER (PARTITION BY recording, channel) + 1e-10) AS od FROM emb),
+ p AS (SELECT recording, channel, frame, sum(CASE WHEN w = 0 THEN od END) / 18 AS a, sum(CASE WHEN w = 1 THEN od END) / 18 AS b FROM o GROUP BY 1, 2, 3),
+ q AS (SELECT recording, channel, frame, (0.69 * a - 2.05 * b) / (0.35::DOUBLE * 0.69 - 2.05 * 0.97) * 1e6 AS hbo, (0.35 * b - 0.97 * a) / (0.35::DOUBLE * 0.69 - 2.05 * 0.97) * 1e6 AS hbr FROM p)
+ SELECT recording, CAST(channel AS INTEGER) AS channel, frame, {_r('hbo', 'hbo', 2)}, {_r('hbr', 'hbr', 2)}, {_r('hbo + hbr', 'hbt', 2)} FROM q""", 2)
 def _(spark, sf):
     od = streams.intensity_to_od(ad.embedding_samples(spark, sf))
     od = od.withColumns({"wavelength": F.when(F.col("channel") % 2 == 0, 690.0).otherwise(830.0), "rho_cm": F.lit(3.0)}).withColumn("channel", F.floor(F.col("channel") / 2).cast("int"))
-    return tissue.od_to_concentration(od, EXT, {690.0: 6.0, 830.0: 6.0}).select("channel", "frame", "hbo", "hbr", "hbt")
+    return tissue.od_to_concentration(od, EXT, {690.0: 6.0, 830.0: 6.0}).select("recording", "channel", "frame", "hbo", "hbr", "hbt")
 
 
 @query("tissue_indices", f"SELECT c_custkey, {_r('c_acctbal + s', 'hbt')}, {_r('c_acctbal / nullif(c_acctbal + s, 0)', 'sto2')}, {_r('s / nullif(c_acctbal + s, 0)', 'oef')} FROM (SELECT c_custkey, c_acctbal, c_nationkey * 10.0::DOUBLE AS s FROM customer)")
@@ -333,33 +330,33 @@ def _(spark, sf):
     )
 
 
-@query("hrf", f"WITH {EVS} SELECT channel, frame, {_r('CASE WHEN x <= 30 THEN pow(x, 5) * exp(-x) / 120 - 0.16 * pow(x, 15) * exp(-x) / 1307674368000.0::DOUBLE ELSE 0 END', 'h')} FROM (SELECT channel, frame, t % 40 AS x FROM evs)")
+@query("hrf", f"WITH {EVS} SELECT recording, channel, frame, {_r('CASE WHEN x <= 30 THEN pow(x, 5) * exp(-x) / 120 - 0.16 * pow(x, 15) * exp(-x) / 1307674368000.0::DOUBLE ELSE 0 END', 'h')} FROM (SELECT recording, channel, frame, t % 40 AS x FROM evs)")
 def _(spark, sf):
-    return ad.event_samples(spark, sf).select("channel", "frame", optics.hrf(F.col("t") % 40).alias("h"))
+    return ad.event_samples(spark, sf).select("recording", "channel", "frame", optics.hrf(F.col("t") % 40).alias("h"))
 
 
 # quality -------------------------------------------------------------------------
 
 
-@query("snr", f"WITH {EMB} SELECT channel, {_r('avg(abs(v)) / (stddev_pop(v) + 1e-12)', 'snr')} FROM emb GROUP BY channel")
+@query("snr", f"WITH {EMB} SELECT recording, channel, {_r('avg(abs(v)) / (stddev_pop(v) + 1e-12)', 'snr')} FROM emb GROUP BY 1, 2")
 def _(spark, sf):
-    return quality.snr(ad.embedding_samples(spark, sf), ["channel"])
+    return quality.snr(ad.embedding_samples(spark, sf), ["recording", "channel"])
 
 
-@query("windowed_snr", f"""WITH {EMB}, w AS (SELECT channel, k, count(*) AS n, avg(abs(v)) / (stddev_pop(v) + 1e-12) AS s FROM emb, (SELECT unnest(range(0, 1000)) AS k) WHERE frame >= k * 10 AND frame < k * 10 + 20 GROUP BY 1, 2 HAVING count(*) = 20)
- SELECT channel, {_r('median(s)', 'snr')}, count(*) AS n_windows FROM w GROUP BY channel""")
+@query("windowed_snr", f"""WITH {EMB}, w AS (SELECT recording, channel, k, count(*) AS n, avg(abs(v)) / (stddev_pop(v) + 1e-12) AS s FROM emb, (SELECT unnest(range(0, 25)) AS k) WHERE frame >= k * 10 AND frame < k * 10 + 20 GROUP BY 1, 2, 3 HAVING count(*) = 20)
+ SELECT recording, channel, {_r('median(s)', 'snr')}, count(*) AS n_windows FROM w GROUP BY 1, 2""")
 def _(spark, sf):
-    return quality.windowed_snr(ad.embedding_samples(spark, sf), ["channel"], 20, 10)
+    return quality.windowed_snr(ad.embedding_samples(spark, sf), ["recording", "channel"], 20, 10)
 
 
-@query("windowed_correlation", f"""WITH {EMB}, p AS (SELECT a.channel // 2 AS channel, a.frame, a.v AS x, b.v AS y FROM emb a JOIN emb b ON a.frame = b.frame AND b.channel = a.channel + 1 WHERE a.channel % 2 = 0),
- w AS (SELECT channel, k, corr(x, y) AS r FROM p, (SELECT unnest(range(0, 1000)) AS k) WHERE frame >= k * 25 AND frame < k * 25 + 50 GROUP BY 1, 2 HAVING count(*) = 50)
- SELECT CAST(channel AS INTEGER) AS channel, {_r('median(r)', 'sci')} FROM w GROUP BY 1""")
+@query("windowed_correlation", f"""WITH {EMB}, p AS (SELECT a.recording, a.channel // 2 AS channel, a.frame, a.v AS x, b.v AS y FROM emb a JOIN emb b ON a.recording = b.recording AND a.frame = b.frame AND b.channel = a.channel + 1 WHERE a.channel % 2 = 0),
+ w AS (SELECT recording, channel, k, corr(x, y) AS r FROM p, (SELECT unnest(range(0, 10)) AS k) WHERE frame >= k * 25 AND frame < k * 25 + 50 GROUP BY 1, 2, 3 HAVING count(*) = 50)
+ SELECT recording, CAST(channel AS INTEGER) AS channel, {_r('median(r)', 'sci')} FROM w GROUP BY 1, 2""")
 def _(spark, sf):
     s = ad.embedding_samples(spark, sf)
     pair = F.floor(F.col("channel") / 2).cast("int")
-    p = s.groupBy(pair.alias("channel"), "frame").agg(F.max(F.when(F.col("channel") % 2 == 0, F.col("v"))).alias("x"), F.max(F.when(F.col("channel") % 2 == 1, F.col("v"))).alias("y"))
-    return quality.windowed_correlation(p, ["channel"], 50, 25)
+    p = s.groupBy("recording", pair.alias("channel"), "frame").agg(F.max(F.when(F.col("channel") % 2 == 0, F.col("v"))).alias("x"), F.max(F.when(F.col("channel") % 2 == 1, F.col("v"))).alias("y"))
+    return quality.windowed_correlation(p, ["recording", "channel"], 50, 25)
 
 
 @query("quality_summary", "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE v >= 4000) AS n_good, count(*) FILTER (WHERE v < 4000) AS n_bad, count(*) FILTER (WHERE v IS NULL) AS n_missing, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std FROM (SELECT c_mktsegment, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v FROM customer) GROUP BY 1")
@@ -374,70 +371,70 @@ def _(spark, sf):
     return quality.roi_summary(ad.channels(spark), ad.regions(spark))
 
 
-@query("screen", f"WITH {EMB}, s AS (SELECT channel, label, avg(abs(v)) / (stddev_pop(v) + 1e-12) AS value FROM emb GROUP BY 1, 2) SELECT channel, {_r('min(value)', 'value')}, bool_or(value < 0.7) AS is_bad FROM s GROUP BY channel")
+@query("screen", f"WITH {EMB}, s AS (SELECT recording, channel, label, avg(abs(v)) / (stddev_pop(v) + 1e-12) AS value FROM emb GROUP BY 1, 2, 3 HAVING stddev_pop(v) > 0) SELECT channel, {_r('min(value)', 'value')}, bool_or(value < 0.7) AS is_bad FROM s GROUP BY channel")
 def _(spark, sf):
-    return quality.screen(quality.snr(ad.embedding_samples(spark, sf), ["channel", "label"]).withColumnRenamed("snr", "value"), 0.7, True)
+    return quality.screen(quality.snr(ad.embedding_samples(spark, sf), ["recording", "channel", "label"]).withColumnRenamed("snr", "value").filter("value IS NOT NULL"), 0.7, True)
 
 
 # connectivity ----------------------------------------------------------------------
 
-_PEARSON = f"{EMB}, pr AS (SELECT a.label, a.channel AS ch_i, b.channel AS ch_j, a.v AS x, b.v AS y FROM emb a JOIN emb b ON a.frame = b.frame AND a.channel < b.channel), fc AS (SELECT ch_i, ch_j, corr(x, y) AS value FROM pr GROUP BY 1, 2)"
+_PEARSON = f"{EMB}, pr AS (SELECT a.recording, a.label, a.channel AS ch_i, b.channel AS ch_j, a.v AS x, b.v AS y FROM emb a JOIN emb b ON a.recording = b.recording AND a.frame = b.frame AND a.channel < b.channel), fc AS (SELECT recording, ch_i, ch_j, corr(x, y) AS value FROM pr GROUP BY 1, 2, 3)"
 
 
 def _fc(spark, sf):
-    return fc.pearson(ad.embedding_samples(spark, sf)).drop("recording")
+    return fc.pearson(ad.embedding_samples(spark, sf))
 
 
-@query("fc_pearson", f"WITH {_PEARSON} SELECT ch_i, ch_j, {_r('corr(x, y)', 'value')}, count(*) AS n FROM pr GROUP BY 1, 2")
+@query("fc_pearson", f"WITH {_PEARSON} SELECT recording, ch_i, ch_j, {_r('corr(x, y)', 'value')}, count(*) AS n FROM pr GROUP BY 1, 2, 3")
 def _(spark, sf):
     return _fc(spark, sf)
 
 
-@query("fc_average", f"WITH {_PEARSON}, g AS (SELECT label, ch_i, ch_j, corr(x, y) AS c FROM pr GROUP BY 1, 2, 3) SELECT ch_i, ch_j, {_r('tanh(avg(atanh(greatest(least(c, 0.999::DOUBLE), -0.999::DOUBLE))))', 'value')}, count(c) AS n FROM g GROUP BY 1, 2")
+@query("fc_average", f"WITH {_PEARSON}, g AS (SELECT recording, label, ch_i, ch_j, corr(x, y) AS c FROM pr GROUP BY 1, 2, 3, 4) SELECT ch_i, ch_j, {_r('tanh(avg(atanh(greatest(least(c, 0.999::DOUBLE), -0.999::DOUBLE))))', 'value')}, count(c) AS n FROM g GROUP BY 1, 2")
 def _(spark, sf):
-    return fc.average(fc.pearson(ad.embedding_samples(spark, sf), ["label"]))
+    return fc.average(fc.pearson(ad.embedding_samples(spark, sf), ["recording", "label"]))
 
 
-@query("fc_roi_average", f"""WITH {_PEARSON}, {ROI}, u AS (SELECT ch_i, ch_j, value FROM fc UNION ALL SELECT ch_j, ch_i, value FROM fc),
- p AS (SELECT a.roi AS roi_i, b.roi AS roi_j, ch_i, ch_j, atanh(greatest(least(value, 0.999::DOUBLE), -0.999::DOUBLE)) AS z FROM u JOIN roi a ON a.channel = ch_i JOIN roi b ON b.channel = ch_j WHERE a.roi < b.roi OR (a.roi = b.roi AND ch_i < ch_j))
- SELECT roi_i, roi_j, {_r('tanh(avg(z))', 'value')}, {_r('sqrt(greatest(0, avg(z * z) - avg(z) * avg(z)))', 'sd')}, count(z) AS n_pairs, count(DISTINCT ch_i) AS n_channels_i, count(DISTINCT ch_j) AS n_channels_j FROM p GROUP BY 1, 2""")
+@query("fc_roi_average", f"""WITH {_PEARSON}, {ROI}, u AS (SELECT recording, ch_i, ch_j, value FROM fc UNION ALL SELECT recording, ch_j, ch_i, value FROM fc),
+ p AS (SELECT recording, a.roi AS roi_i, b.roi AS roi_j, ch_i, ch_j, atanh(greatest(least(value, 0.999::DOUBLE), -0.999::DOUBLE)) AS z FROM u JOIN roi a ON a.channel = ch_i JOIN roi b ON b.channel = ch_j WHERE a.roi < b.roi OR (a.roi = b.roi AND ch_i < ch_j))
+ SELECT recording, roi_i, roi_j, {_r('tanh(avg(z))', 'value')}, {_r('sqrt(greatest(0, avg(z * z) - avg(z) * avg(z)))', 'sd')}, count(z) AS n_pairs, count(DISTINCT ch_i) AS n_channels_i, count(DISTINCT ch_j) AS n_channels_j FROM p GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return fc.roi_average(_fc(spark, sf).drop("n"), ad.regions(spark))
+    return fc.roi_average(_fc(spark, sf).drop("n"), ad.regions(spark), by=["recording"])
 
 
-@query("fc_threshold", f"WITH {_PEARSON}, c AS (SELECT quantile_cont(value, 0.7) AS cut FROM fc) SELECT ch_i, ch_j, CASE WHEN value >= cut THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM fc, c")
+@query("fc_threshold", f"WITH {_PEARSON}, c AS (SELECT recording, quantile_cont(value, 0.7) AS cut FROM fc GROUP BY 1) SELECT fc.recording, ch_i, ch_j, CASE WHEN value >= cut THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM fc JOIN c ON fc.recording = c.recording")
 def _(spark, sf):
-    return fc.threshold(_fc(spark, sf).drop("n"), "sparsity", 0.3)
+    return fc.threshold(_fc(spark, sf).drop("n"), "sparsity", 0.3, by=["recording"])
 
 
-@query("fc_handle_negatives", f"WITH {_PEARSON} SELECT ch_i, ch_j, {_r('greatest(value, 0.0)', 'value')} FROM fc")
+@query("fc_handle_negatives", f"WITH {_PEARSON} SELECT recording, ch_i, ch_j, {_r('greatest(value, 0.0)', 'value')} FROM fc")
 def _(spark, sf):
     return fc.handle_negatives(_fc(spark, sf).drop("n"))
 
 
-@query("fc_to_matrix", f"WITH {_PEARSON}, u AS (SELECT ch_i, ch_j, value FROM fc UNION ALL SELECT ch_j, ch_i, value FROM fc) SELECT ch_i, " + ", ".join(_r(f"max(CASE WHEN ch_j = {j} THEN value END)", f'"{j}"') for j in range(8)) + " FROM u GROUP BY ch_i")
+@query("fc_to_matrix", f"WITH {_PEARSON}, u AS (SELECT recording, ch_i, ch_j, value FROM fc UNION ALL SELECT recording, ch_j, ch_i, value FROM fc) SELECT recording, ch_i, " + ", ".join(_r(f"max(CASE WHEN ch_j = {j} THEN value END)", f'"{j}"') for j in range(64)) + " FROM u GROUP BY 1, 2")
 def _(spark, sf):
-    return fc.to_matrix(_fc(spark, sf), list(range(64)))
+    return fc.to_matrix(_fc(spark, sf), list(range(64)), by=["recording"])
 
 
-_GRAPH = f"{_PEARSON}, e AS (SELECT ch_i, ch_j FROM fc WHERE value >= (SELECT quantile_cont(value, 0.5) FROM fc)), d AS (SELECT node, count(*) AS degree FROM (SELECT ch_i AS node FROM e UNION ALL SELECT ch_j FROM e) GROUP BY node)"
+_GRAPH = f"{_PEARSON}, ct AS (SELECT recording, quantile_cont(value, 0.5) AS cut FROM fc GROUP BY 1), e AS (SELECT fc.recording, ch_i, ch_j FROM fc JOIN ct ON fc.recording = ct.recording WHERE value >= cut), d AS (SELECT recording, node, count(*) AS degree FROM (SELECT recording, ch_i AS node FROM e UNION ALL SELECT recording, ch_j FROM e) GROUP BY 1, 2)"
 
 
-@query("graph_density", f"WITH {_GRAPH} SELECT count(*) AS n_edges, {_r('2.0 * count(*) / 56', 'density')} FROM e")
+@query("graph_density", f"WITH {_GRAPH} SELECT recording, count(*) AS n_edges, {_r('2.0 * count(*) / (64 * 63)', 'density')} FROM e GROUP BY 1")
 def _(spark, sf):
-    return fc.density(fc.threshold(_fc(spark, sf), "sparsity", 0.5), 64)
+    return fc.density(fc.threshold(_fc(spark, sf), "sparsity", 0.5, by=["recording"]), 64, by=["recording"])
 
 
-@query("graph_clustering", f"""WITH {_GRAPH}, t AS (SELECT a.ch_i AS a, a.ch_j AS b, b.ch_j AS c FROM e a JOIN e b ON a.ch_j = b.ch_i JOIN e x ON x.ch_i = a.ch_i AND x.ch_j = b.ch_j),
- n AS (SELECT node, count(*) AS tr FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY node)
- SELECT d.node, degree, coalesce(tr, 0) AS triangles, {_r('CASE WHEN degree > 1 THEN 2.0 * coalesce(tr, 0) / (degree * (degree - 1)) ELSE 0 END', 'clustering')} FROM d LEFT JOIN n ON d.node = n.node""")
+@query("graph_clustering", f"""WITH {_GRAPH}, t AS (SELECT a.recording, a.ch_i AS a, a.ch_j AS b, b.ch_j AS c FROM e a JOIN e b ON a.recording = b.recording AND a.ch_j = b.ch_i JOIN e x ON x.recording = a.recording AND x.ch_i = a.ch_i AND x.ch_j = b.ch_j),
+ n AS (SELECT recording, node, count(*) AS tr FROM (SELECT recording, a AS node FROM t UNION ALL SELECT recording, b FROM t UNION ALL SELECT recording, c FROM t) GROUP BY 1, 2)
+ SELECT d.recording, d.node, degree, coalesce(tr, 0) AS triangles, {_r('CASE WHEN degree > 1 THEN 2.0 * coalesce(tr, 0) / (degree * (degree - 1)) ELSE 0 END', 'clustering')} FROM d LEFT JOIN n ON d.recording = n.recording AND d.node = n.node""")
 def _(spark, sf):
-    return fc.clustering(fc.threshold(_fc(spark, sf), "sparsity", 0.5))
+    return fc.clustering(fc.threshold(_fc(spark, sf), "sparsity", 0.5, by=["recording"]), by=["recording"])
 
 
-@query("autocorrelation", f"WITH {EMB}, c AS (SELECT channel, frame, v - avg(v) OVER (PARTITION BY channel) AS c FROM emb), l AS (SELECT channel, c, lag(c) OVER w AS l1, lag(c, 2) OVER w AS l2 FROM c WINDOW w AS (PARTITION BY channel ORDER BY frame)) SELECT channel, {_r('sum(c * l1) / sum(c * c)', 'rho_1')}, {_r('sum(c * l2) / sum(c * c)', 'rho_2')} FROM l GROUP BY channel")
+@query("autocorrelation", f"WITH {EMB}, c AS (SELECT recording, channel, frame, v - avg(v) OVER (PARTITION BY recording, channel) AS c FROM emb), l AS (SELECT recording, channel, c, lag(c) OVER w AS l1, lag(c, 2) OVER w AS l2 FROM c WINDOW w AS (PARTITION BY recording, channel ORDER BY frame)) SELECT recording, channel, {_r('sum(c * l1) / sum(c * c)', 'rho_1')}, {_r('sum(c * l2) / sum(c * c)', 'rho_2')} FROM l GROUP BY 1, 2")
 def _(spark, sf):
-    return fc.lagged_products(ad.embedding_samples(spark, sf), 2).drop("recording")
+    return fc.lagged_products(ad.embedding_samples(spark, sf), 2)
 
 
 # group ------------------------------------------------------------------------------
@@ -479,7 +476,7 @@ def _(spark, sf):
     return group.combine_hb(c).select("c_custkey", "beta", "chi2", "t_stat", "p_val", "is_significant")
 
 
-_DESIGN = f"{EMB}, fr AS (SELECT DISTINCT frame FROM emb), des AS (SELECT frame, 'one' AS regressor, 1.0::DOUBLE AS x FROM fr UNION ALL SELECT frame, 'trend', frame / 100.0::DOUBLE FROM fr UNION ALL SELECT frame, 'wave', cos(frame / 20.0::DOUBLE) FROM fr)"
+_DESIGN = f"{EMB}, fr AS (SELECT DISTINCT recording, frame FROM emb), des AS (SELECT recording, frame, 'one' AS regressor, 1.0::DOUBLE AS x FROM fr UNION ALL SELECT recording, frame, 'trend', frame / 100.0::DOUBLE FROM fr UNION ALL SELECT recording, frame, 'wave', cos(frame / 20.0::DOUBLE) FROM fr)"
 
 
 def _design(spark, sf):
@@ -488,37 +485,37 @@ def _design(spark, sf):
     return fr.withColumn("r", F.explode(rows)).select("recording", "frame", "r.regressor", "r.x")
 
 
-@query("glm_normal_xx", f"WITH {_DESIGN} SELECT a.regressor AS r_i, b.regressor AS r_j, {_r('sum(a.x * b.x)', 'xx', 4)} FROM des a JOIN des b ON a.frame = b.frame GROUP BY 1, 2", 4)
+@query("glm_normal_xx", f"WITH {_DESIGN} SELECT a.recording, a.regressor AS r_i, b.regressor AS r_j, {_r('sum(a.x * b.x)', 'xx', 4)} FROM des a JOIN des b ON a.recording = b.recording AND a.frame = b.frame GROUP BY 1, 2, 3", 4)
 def _(spark, sf):
-    return group.normal_equations(_design(spark, sf), ad.embedding_samples(spark, sf))[0].drop("recording")
+    return group.normal_equations(_design(spark, sf), ad.embedding_samples(spark, sf))[0]
 
 
-@query("glm_normal_xy", f"WITH {_DESIGN} SELECT channel, regressor, {_r('sum(x * v)', 'xy', 4)} FROM emb JOIN des ON emb.frame = des.frame GROUP BY 1, 2", 4)
+@query("glm_normal_xy", f"WITH {_DESIGN} SELECT emb.recording, channel, regressor, {_r('sum(x * v)', 'xy', 4)} FROM emb JOIN des ON emb.recording = des.recording AND emb.frame = des.frame GROUP BY 1, 2, 3", 4)
 def _(spark, sf):
-    return group.normal_equations(_design(spark, sf), ad.embedding_samples(spark, sf))[1].drop("recording")
+    return group.normal_equations(_design(spark, sf), ad.embedding_samples(spark, sf))[1]
 
 
-@query("contrasts", f"""WITH {_DESIGN}, b AS (SELECT channel, regressor, sum(x * v) AS beta FROM emb JOIN des ON emb.frame = des.frame GROUP BY 1, 2), v AS (SELECT channel, a.regressor AS ri, c.regressor AS rj, avg(a.x * c.x * v * v) AS cov FROM emb JOIN des a ON emb.frame = a.frame JOIN des c ON emb.frame = c.frame GROUP BY 1, 2, 3),
+@query("contrasts", f"""WITH {_DESIGN}, b AS (SELECT emb.recording, channel, regressor, sum(x * v) AS beta FROM emb JOIN des ON emb.recording = des.recording AND emb.frame = des.frame GROUP BY 1, 2, 3), v AS (SELECT emb.recording, channel, a.regressor AS ri, c.regressor AS rj, avg(a.x * c.x * v * v) AS cov FROM emb JOIN des a ON emb.recording = a.recording AND emb.frame = a.frame JOIN des c ON emb.recording = c.recording AND emb.frame = c.frame GROUP BY 1, 2, 3, 4),
  w AS (SELECT * FROM (VALUES ('up', 'trend', 1.0::DOUBLE), ('diff', 'trend', 1.0), ('diff', 'wave', -1.0)) AS t(contrast, regressor, w)),
- cb AS (SELECT contrast, channel, sum(w * beta) AS beta FROM b JOIN w ON b.regressor = w.regressor GROUP BY 1, 2),
- cv AS (SELECT x.contrast, channel, sum(x.w * y.w * cov) AS q FROM v JOIN w x ON ri = x.regressor JOIN w y ON rj = y.regressor AND x.contrast = y.contrast GROUP BY 1, 2)
- SELECT cb.contrast, cb.channel, {_r('beta', 'beta')}, {_r('sqrt(greatest(q, 1e-15))', 'se')}, {_r('beta / sqrt(greatest(q, 1e-15))', 't_stat', 5)} FROM cb JOIN cv ON cb.contrast = cv.contrast AND cb.channel = cv.channel""")
+ cb AS (SELECT contrast, recording, channel, sum(w * beta) AS beta FROM b JOIN w ON b.regressor = w.regressor GROUP BY 1, 2, 3),
+ cv AS (SELECT x.contrast, recording, channel, sum(x.w * y.w * cov) AS q FROM v JOIN w x ON ri = x.regressor JOIN w y ON rj = y.regressor AND x.contrast = y.contrast GROUP BY 1, 2, 3)
+ SELECT cb.contrast, cb.recording, cb.channel, {_r('beta', 'beta')}, {_r('sqrt(greatest(q, 1e-15))', 'se')}, {_r('beta / sqrt(greatest(q, 1e-15))', 't_stat', 5)} FROM cb JOIN cv ON cb.contrast = cv.contrast AND cb.recording = cv.recording AND cb.channel = cv.channel""")
 def _(spark, sf):
     d, s = _design(spark, sf), ad.embedding_samples(spark, sf)
-    beta = s.join(d, ["recording", "frame"]).groupBy("channel", "regressor").agg(F.sum(F.col("x") * F.col("v")).alias("beta"))
-    di, dj = d.select("frame", F.col("regressor").alias("r_i"), F.col("x").alias("a")), d.select("frame", F.col("regressor").alias("r_j"), F.col("x").alias("b"))
-    cov = s.join(di, "frame").join(dj, "frame").groupBy("channel", "r_i", "r_j").agg(F.avg(F.col("a") * F.col("b") * F.col("v") ** 2).alias("cov"))
+    beta = s.join(d, ["recording", "frame"]).groupBy("recording", "channel", "regressor").agg(F.sum(F.col("x") * F.col("v")).alias("beta"))
+    di, dj = d.select("recording", "frame", F.col("regressor").alias("r_i"), F.col("x").alias("a")), d.select("recording", "frame", F.col("regressor").alias("r_j"), F.col("x").alias("b"))
+    cov = s.join(di, ["recording", "frame"]).join(dj, ["recording", "frame"]).groupBy("recording", "channel", "r_i", "r_j").agg(F.avg(F.col("a") * F.col("b") * F.col("v") ** 2).alias("cov"))
     w = spark.createDataFrame([("up", "trend", 1.0), ("diff", "trend", 1.0), ("diff", "wave", -1.0)], "contrast string, regressor string, weight double")
-    return group.contrasts(beta, cov, w, ["channel"]).withColumn("t_stat", F.round("t_stat", 5))
+    return group.contrasts(beta, cov, w, ["recording", "channel"]).withColumn("t_stat", F.round("t_stat", 5))
 
 
-@query("sign_flip_null", f"""WITH {SUB}, s AS (SELECT grp, beta - 140 AS beta, row_number() OVER (PARTITION BY grp ORDER BY subject) - 1 AS k FROM sub), f AS (SELECT unnest(range(0, 64)) AS flip),
- t AS (SELECT grp, flip, avg((1 - 2 * ((flip >> k) & 1)) * beta) AS m, stddev_samp((1 - 2 * ((flip >> k) & 1)) * beta) AS sd, count(*) AS n FROM (SELECT * FROM s WHERE k < 6), f GROUP BY 1, 2)
+@query("sign_flip_null", f"""WITH {SUB}, s AS (SELECT grp, subject, beta - 140 AS beta FROM sub), f AS (SELECT unnest(range(0, 200)) AS flip),
+ t AS (SELECT grp, flip, avg(x) AS m, stddev_samp(x) AS sd, count(*) AS n FROM (SELECT grp, flip, CASE WHEN flip > 0 AND hash_bit THEN -beta ELSE beta END AS x FROM
+  (SELECT grp, flip, beta, (CAST(('0x' || substr(md5('0:' || flip || ':' || subject), 1, 1)) AS INTEGER) & 1) = 1 AS hash_bit FROM s, f)) GROUP BY 1, 2)
  SELECT grp, flip, {_r('m / (sd / sqrt(n))', 't_stat')} FROM t""")
 def _(spark, sf):
-    # all subjects, random patterns; the SQL has only the first six of each segment, so it differs
     e = ad.subject_effects(spark, sf).select("grp", "subject", (F.col("beta") - 140).alias("beta"))
-    return group.sign_flip_t(e, ["grp"])
+    return group.sign_flip_t(e, ["grp"], 200)
 
 
 @query("add_metadata", f"WITH {SUB} SELECT subject, grp, {_r('beta', 'beta')}, n_name FROM sub JOIN customer ON subject = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -563,11 +560,11 @@ def _(spark, sf):
     return probe.lattice_adjacency(v)
 
 
-_SENS = f"{EMB}, sens AS (SELECT channel % 2 AS wavelength, channel // 2 AS channel, frame AS voxel, v AS value FROM emb)"
+_SENS = f"{EMB}, sens AS (SELECT channel % 2 AS wavelength, channel // 2 AS channel, recording * {ad.FRAMES} + frame AS voxel, v AS value FROM emb)"
 
 
 def _sens(spark, sf):
-    return ad.embedding_samples(spark, sf).select((F.col("channel") % 2).alias("wavelength"), F.floor(F.col("channel") / 2).cast("int").alias("channel"), F.col("frame").alias("voxel"), F.col("v").alias("value"))
+    return ad.embedding_samples(spark, sf).select((F.col("channel") % 2).alias("wavelength"), F.floor(F.col("channel") / 2).cast("int").alias("channel"), (F.col("recording") * ad.FRAMES + F.col("frame")).alias("voxel"), F.col("v").alias("value"))
 
 
 @query("sensitivity_coverage", f"WITH {_SENS} SELECT voxel, {_r('min(c)', 'coverage')} FROM (SELECT wavelength, voxel, sum(value * value) AS c FROM sens GROUP BY 1, 2) GROUP BY voxel")
@@ -591,8 +588,8 @@ def _(spark, sf):
     return probe.label_summary(ad.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("label")))
 
 
-@query("block_average_od", f"""WITH {EVS}, f AS (SELECT channel, min(t) AS t0 FROM evs GROUP BY channel), b AS (SELECT evs.channel, CAST(floor((evs.t - t0) / 3600) AS BIGINT) AS block, avg(abs(v)) AS v FROM evs JOIN f ON evs.channel = f.channel GROUP BY 1, 2)
- SELECT channel, block, {_r('-ln((v + 1e-10) / avg(v) OVER (PARTITION BY channel) + 1e-10)', 'od')} FROM b""")
+@query("block_average_od", f"""WITH {EVS}, f AS (SELECT recording, channel, min(t) AS t0 FROM evs GROUP BY 1, 2), b AS (SELECT evs.recording, evs.channel, CAST(floor((evs.t - t0) / 3600) AS BIGINT) AS block, avg(abs(v)) AS v FROM evs JOIN f ON evs.recording = f.recording AND evs.channel = f.channel GROUP BY 1, 2, 3)
+ SELECT recording, channel, block, {_r('-ln((v + 1e-10) / avg(v) OVER (PARTITION BY recording, channel) + 1e-10)', 'od')} FROM b""")
 def block_average_od(spark, sf):
     blocks = streams.average_seconds(ad.event_samples(spark, sf).withColumn("v", F.abs("v")), 3600.0)
-    return streams.intensity_to_od(blocks).select("channel", "block", "od")
+    return streams.intensity_to_od(blocks).select("recording", "channel", "block", "od")

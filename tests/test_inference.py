@@ -53,12 +53,35 @@ def test_smoothing_solves_its_normal_equations():
         assert np.allclose(spectra.smooth(y, 7.0), np.linalg.solve(np.eye(n) + 7.0 * d.T @ d, y))
 
 
+def test_spline_trend_and_levels():
+    t = np.arange(40.0)
+    y = 0.01 * t**3 - t + NOISE[0][:40]
+    cubic = np.polyval(np.polyfit(t, y, 3), t)
+    assert np.allclose(spectra.trend(y), cubic)  # by default a cubic leaves less than the variance
+    close = spectra.trend(y, 5.0)
+    assert abs(((y - close) ** 2).sum() - 5.0) < 1e-3
+    # a run of three samples or fewer stays, a longer one goes to the level before it
+    x = np.zeros(200)
+    x[100:130] = np.linspace(0, 8, 30)
+    x[130:] = 8.0
+    mask = spectra.motion_mask(x, 5, 0.9)
+    got = spectra.spline_correction(x, 2.0, k=5, recenter=False)
+    assert mask.sum() > 3 and np.allclose(got[:95], 0) and abs(got[-1]) < 0.5 < x[-1]
+
+
+def test_peak_power_of_one_tone():
+    # two unit tones on a bin correlate as a cosine of amplitude 1, whose one-sided power is a half
+    x = np.sin(2 * np.pi * 1.2 * np.arange(400) / 10)
+    assert np.allclose(spectra.peak_power(x, x, 10.0)[2:-2], 0.5, atol=0.01)
+    assert len(spectra.scalp_coupling(x, x, 10.0)) == (400 - 50) // 25 + 1
+
+
 def test_spline_correction_removes_a_step():
     # under a tenth of a step of one sample stays, which no smooth curve follows
     for move in (np.where(T > 30, 4.0, 0.0), 4 / (1 + np.exp(-(T - 30) / 0.2))):
         x = 0.05 * NOISE[0] + move
         y = spectra.spline_correction(x, FS)
-        assert abs(y[:250].mean() - y[350:].mean()) < 0.4 and abs(y.mean() - x.mean()) < 1e-9
+        assert abs(y[:250].mean() - y[350:].mean()) < 0.4 and abs(y.mean()) < 1e-9
 
 
 def test_regressors():

@@ -41,9 +41,10 @@ def test_tddr_removes_a_step():
 
 
 def test_wavelets_invert():
-    for n in (64, 65, 77):
+    assert all(np.allclose(d, 0) for d in signal.dwt(np.full(33, 2.0), 3)[1])
+    for n in (64, 65, 77, 3, 5):
         x = np.random.default_rng(0).normal(size=n)
-        a, d, s = signal.dwt(x, 3)
+        a, d, s = signal.dwt(x, min(3, signal.dwt_depth(n) or 1))
         back = signal.idwt(a, d, s)
         assert np.allclose(back, x, atol=1e-9)
 
@@ -69,9 +70,63 @@ def test_ar_irls_finds_the_slope():
         e[i] = 0.6 * e[i - 1] + 0.1 * r.normal()
     x = np.stack([np.ones(800), np.sin(np.arange(800) / 30)], 1)
     y = x @ [1.0, 2.0] + e
-    y[100] += 20
     b, cov, order = signal.ar_irls(y, x, 6)
     assert np.allclose(b, [1, 2], atol=0.1) and order >= 1 and (np.diag(cov) > 0).all()
+    y[100] += 20
+    assert np.allclose(signal.ar_irls(y, x, 6)[0], [1, 2], atol=0.1)
+
+
+def test_ar_order_from_zero_up():
+    r = np.random.default_rng(2)
+    assert len(signal.ar_coefficients(r.normal(size=500), 8)) == 0
+    e = np.zeros(4000)
+    for i in range(2, 4000):
+        e[i] = 0.5 * e[i - 1] - 0.3 * e[i - 2] + r.normal()
+    c = signal.ar_coefficients(e + 7, 8)
+    assert len(c) >= 2 and np.allclose(c[:2], [0.5, -0.3], atol=0.05)
+    # by definition on a short series: lags of both directions, zero before the start, and a constant
+    y = np.array([1.0, 2.0, 4.0, 3.0, 5.0, 7.0])
+    x = np.array([[1, 0], [1, 1], [1, 2], [1, 4], [1, 3], [1, 5], [1, 0], [1, 7], [1, 5], [1, 3], [1, 4], [1, 2]], float)
+    want = np.linalg.lstsq(x, np.concatenate([y, y[::-1]]), rcond=None)[0]
+    flat = np.concatenate([y, y[::-1]])
+    gain = 12 * np.log(flat.var()) - 12 * np.log(((flat - x @ want) ** 2).mean()) - np.log(12)
+    assert signal.ar_coefficients(y, 1).tolist() == ([] if gain <= 0 else [want[1]])
+    assert np.allclose(signal.whitened(np.array([3.0, 5.0, 4.0]), np.array([1.0, -0.5])), [1.5, 3.5, 1.5])
+
+
+def test_robust_covariance_of_clean_data():
+    r = np.random.default_rng(3)
+    x = np.stack([np.ones(5000), r.normal(size=5000)], 1)
+    y = x @ [1, 2] + r.normal(size=5000)
+    b, _ = signal.robust_fit(x, y)
+    cov = signal.robust_covariance(x, y - x @ b)
+    # the bisquare at 4.685 has 95 % of the efficiency of least squares
+    assert np.allclose(np.diag(cov), 1 / 0.95 / 5000, rtol=0.06)
+
+
+def test_band_pass_gain():
+    for order, low, high in ((3, 0.5, 2.5), (2, 1.0, 1.2), (3, 0.01, 4.9)):
+        sos = signal.bandpass_sos(order, low, high, 10.0)
+        assert len(sos) == order
+        mid = np.arctan(np.sqrt(np.tan(np.pi * low / 10) * np.tan(np.pi * high / 10))) * 10 / np.pi
+        z = np.exp(-2j * np.pi * np.array([0.0, low, mid, high, 5.0]) / 10)
+        h = np.abs(np.prod([(s[0] + s[1] * z + s[2] * z * z) / (1 + s[4] * z + s[5] * z * z) for s in sos], axis=0))
+        assert np.allclose(h, [0, 1 / np.sqrt(2), 1, 1 / np.sqrt(2), 0], atol=1e-6)
+
+
+def test_wavelet_thresholds():
+    r = np.random.default_rng(4)
+    x = r.normal(size=200) + 5
+    x[90] += 40
+    y = signal.wavelet_correction(x)
+    assert abs(y.mean()) < 1e-9 and abs(y[90]) < 10
+    a, details, sizes = signal.dwt(x, signal.dwt_depth(200))
+    assert signal.dwt_depth(200) == 6 and [len(d) for d in details] == [101, 52, 27, 15, 9, 6]
+    z = [np.abs(d - np.median(d)) / (1.4826 * np.median(np.abs(d - np.median(d)))) for d in details]
+    kept = [np.where(s <= 1.6448536269514722, d, 0) for s, d in zip(z, details, strict=True)]
+    whole = signal.idwt(a, kept, sizes)
+    assert np.allclose(y, whole - whole.mean())
+    assert np.allclose(signal.wavelet_correction(x, alpha=0.0, recenter=False), x)
 
 
 def samples(spark):
