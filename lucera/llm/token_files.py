@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lucera.llm.common import _IS_SPACE, new_path, slices, small_batches, span_hashes, table, text_buffers
 
 END_ID = 0
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 #: Unicode white space, as the tokenizer's pattern has it.
 _WS = r"\t-\r \x85\xa0  -     　"
 #: A piece: a run without white space with the space before it, or white space the tokenizer leaves apart.
@@ -156,7 +156,7 @@ class Encoder:
         parts, counts, lo, n = [], [], 0, len(offs) - 1
         while lo < n:  # some texts at a time
             hi = lo + 1
-            while hi < n and offs[hi + 1] - offs[lo] <= 1 << 20:
+            while hi < n and offs[hi + 1] - offs[lo] <= 1 << 18:
                 hi += 1
             for ids, count in self._texts(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
                 parts.append(ids)
