@@ -35,7 +35,7 @@ def test_reconstruction(spark):
     m = j.toPandas().pivot(index="channel", columns="voxel", values="value").to_numpy()
     assert m.shape == (12, 48) and (m > 0).all()
     y = m[:, 20] * 0.1
-    s = spark.createDataFrame([(int(c), f, float(y[c])) for c in range(12) for f in (0, 1) if (c, f) != (3, 1)], "channel int, frame long, v double")
+    s = spark.createDataFrame([("r", int(c), f, float(y[c])) for c in range(12) for f in (0, 1) if (c, f) != (3, 1)], "recording string, channel int, frame long, v double")
     got = imaging.reconstruct(j, s, 0.01).toPandas()
     assert set(got["frame"]) == {0}
     assert np.allclose(got.sort_values("voxel")["value"], diffusion.tikhonov(m, 0.01) @ y)
