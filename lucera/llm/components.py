@@ -14,6 +14,9 @@ def connected(spark: SparkSession, edges: DataFrame, work: Work, tag: str = "cc"
     Alternates large-star and small-star steps, each a group-by on nodes, until the edges no
     longer change; every turn is written, so a lost executor costs a re-read. A hub's edges are
     only summed to a minimum and joined back, never gathered.
+
+    Defined results: edges with a null end, and of a node to itself, count for nothing; repeated edges
+    count once, in either direction; a table without edges gives an empty table.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = work.save(pairs, f"{tag}0")
