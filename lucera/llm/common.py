@@ -86,6 +86,8 @@ class Work:
         path = new_path(self.spark, f"{self.name}-{key}")
         df.write.option("compression", "zstd").parquet(path)
         self.paths[key] = path
+        # plans that are done let go of their shuffle files when the driver's heap is next collected: now
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keys: str) -> None:

@@ -342,6 +342,9 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Work) -> tuple[DataFrame
     pieces = work.save(source.mapInArrow(_contents, "doc_id long, k long, h long, a int, n int, c long, words array<long>"), "pieces")
     contents = pieces.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
     contents = work.save(contents, "contents")
+    # the words are in contents now: of the segments only their places stay
+    places = work.save(pieces.select("doc_id", "k", "h", "a", "c"), "places")
+    work.drop("shared", "pieces")
     sizes = work.save(contents.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_CONTENTS), "sizes")
     placed = contents.withColumn("copies", F.col("last") > F.col("owner"))
     hot = work.save(even_join(placed.withColumnRenamed("n", "docs"), sizes, ["h"]), "hot")
@@ -363,13 +366,13 @@ def repeats(spark: SparkSession, docs: DataFrame, work: Work) -> tuple[DataFrame
     by_window = even_join(cut, seen, ["w"]).filter("lo < owner").select("h", "c", "f", (F.col("f") + 1).alias("t"), yes.alias("own"))
     found = runs.filter("kind = 0").select("h", "c", "f", "t", "own").unionByName(by_window).groupBy("h", "c").agg(F.collect_list(F.struct("f", "t", "own")).alias("found"))
     found = work.save(contents.select("h", "c", "owner", "n").join(found, ["h", "c"]), "found")
-    placed = even_join(pieces.select("doc_id", "k", "h", "a", "c"), found, ["h", "c"])
+    placed = even_join(places, found, ["h", "c"])
     gone = placed.select("k", "a", "owner", "doc_id", F.explode("found").alias("r")).filter("r.own OR owner < doc_id")
     gone = gone.select("k", (F.col("a") + F.col("r.f")).alias("f"), (F.col("a") + F.col("r.t") + WINDOW - 1).alias("t"))
     gone = gone.groupBy("k").agg(F.collect_set(F.struct("f", "t")).alias("runs"))
     cutted = source.select("k", "text").join(gone, "k").mapInArrow(_apply, "k long, n_removed long, kept_sha256 string, kept_text string")
     cutted = work.save(cutted, "removed")
-    work.drop("shared", "source", "pieces", "contents", "sizes", "hot", "cut", "twice", "runs", "found")
+    work.drop("source", "places", "contents", "sizes", "hot", "cut", "twice", "runs", "found")
     return scanned.select("doc_id", "k", "n_words", "full_sha256"), cutted
 
 
