@@ -95,6 +95,27 @@ def reconstruct(sens: DataFrame, samples: DataFrame, alpha: float = 0.01) -> Dat
     return sens.join(weights, "channel").groupBy(*keys, "voxel").agg(F.sum(F.col("value") * F.col("u")).alias("value"))
 
 
+def sensitivity_matrix(sens: DataFrame, channels: list) -> DataFrame:
+    """A row a voxel, a column a channel."""
+    return sens.groupBy("voxel").pivot("channel", channels).agg(F.first("value"))
+
+
+def resolution(sens: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """(voxel, resolution): how much of a change in each voxel a reconstruction with this alpha puts there.
+    The channels' Gram matrix, bounded by the montage, is inverted on the driver."""
+    a = sens.select("voxel", F.col("channel").alias("ch_i"), F.col("value").alias("a"))
+    b = sens.select("voxel", F.col("channel").alias("ch_j"), F.col("value").alias("b"))
+    gram = a.join(b, "voxel").groupBy("ch_i", "ch_j").agg(F.sum(F.col("a") * F.col("b")).alias("g")).toPandas()
+    names = sorted(gram["ch_i"].unique().tolist())
+    g = gram.pivot(index="ch_i", columns="ch_j", values="g").loc[names, names].to_numpy()
+    inv = np.linalg.inv(g + alpha * g.diagonal().max() * np.eye(len(g)))
+    kind = dict(sens.dtypes)["channel"]
+    rows = [(names[i], names[j], float(inv[i, j])) for i in range(len(names)) for j in range(len(names))]
+    table = sens.sparkSession.createDataFrame(rows, f"ch_i {kind}, ch_j {kind}, w double")
+    pairs = a.join(b, "voxel").join(table, ["ch_i", "ch_j"])
+    return pairs.groupBy("voxel").agg(F.sum(F.col("a") * F.col("w") * F.col("b")).alias("resolution"))
+
+
 def project_to_surface(values: DataFrame, vertices: DataFrame, radius: float = 12.0, method: str = "gaussian", fwhm: float = 10.0, power: float = 2.0, min_voxels: int = 1) -> DataFrame:
     """(vertex, value) of the voxels (x, y, z, value) within radius: they meet on cells of that size."""
     cell = [F.floor(F.col(c) / radius).cast("long").alias(f"c{c}") for c in "xyz"]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucera.functions import lattice, networks, signal, spectra
+from lucera.functions.registries import BIAS_CORRECTIONS, CROSS_MEASURES, DISTANCES, bias_correction
 
 #: Measures of two series, fs and options to one number; register_measure adds to it.
 MEASURES: dict = {}
@@ -62,11 +63,12 @@ def _series(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"]).alias("x"))
 
 
-def pairwise(samples: DataFrame, method: str, fs: float, other: DataFrame | None = None, surrogates: int = 0, seed: int = 0, **kw) -> DataFrame:
+def pairwise(samples: DataFrame, method: str, fs: float, other: DataFrame | None = None, surrogates: int = 0, seed: int = 0, correction: str = "phase_randomization", **kw) -> DataFrame:
     """(recording, ch_i, ch_j, value) of a registered measure over the pairs ch_i < ch_j of a
     recording, or over all of one stream with all of another; with surrogates, bias-corrected.
     A series with a null or fewer than two samples, or of another length, has a null value."""
-    f = MEASURES[method]
+    f = CROSS_MEASURES.get(method) if other is not None and method in CROSS_MEASURES.items else MEASURES[method]
+    correct = bias_correction(correction, method, **kw) if surrogates and (correction, method) in BIAS_CORRECTIONS.items else spectra.bias_corrected
     kind, rec = (dict(samples.dtypes)[c] for c in ("channel", "recording"))
     a = _series(samples, ["recording", "channel"]).withColumnRenamed("channel", "ch_i")
     b = _series(samples if other is None else other, ["recording", "channel"]).withColumnsRenamed({"channel": "ch_j", "x": "y"})
@@ -80,7 +82,7 @@ def pairwise(samples: DataFrame, method: str, fs: float, other: DataFrame | None
                 if len(x) != len(y) or len(x) < 2 or not (np.isfinite(x).all() and np.isfinite(y).all()):
                     out.append(None)
                 elif surrogates:
-                    out.append(float(spectra.bias_corrected(x, y, lambda u, v: f(u, v, fs, **kw), surrogates, seed)))
+                    out.append(float(correct(x, y, lambda u, v: f(u, v, fs, **kw), surrogates, seed)))
                 else:
                     out.append(f(x, y, fs, **kw))
             value = pd.Series(out, dtype=float)
@@ -99,7 +101,13 @@ def _matrix(pdf: pd.DataFrame, nodes: list) -> np.ndarray:
 
 
 def geodesic_distance(a: DataFrame, b: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """(recording, distance) of the connectivity of each recording in a and b; null where a cell is."""
+    return distance(a, b, "geodesic", alpha=alpha)
+
+
+def distance(a: DataFrame, b: DataFrame, method="geodesic", **kw) -> DataFrame:
+    """(recording, distance) of the connectivity of each recording in a and b, by a registered method or a
+    function of two matrices; null where a cell is."""
+    between = DISTANCES.resolve(method)
     rec = dict(a.dtypes)["recording"]
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +116,7 @@ def geodesic_distance(a: DataFrame, b: DataFrame, alpha: float = 0.5) -> DataFra
         nodes = sorted({*x["ch_i"], *x["ch_j"], *y["ch_i"], *y["ch_j"]})
         m, n = _matrix(x, nodes), _matrix(y, nodes)
         ok = np.isfinite(m).all() and np.isfinite(n).all()
-        return pd.DataFrame({"recording": x["recording"].iloc[:1], "distance": [spectra.geodesic_distance(m, n, alpha) if ok else None]})
+        return pd.DataFrame({"recording": x["recording"].iloc[:1], "distance": [float(between(m, n, **kw)) if ok else None]})
 
     b = b.select(*[F.col(c).alias(c) for c in b.columns])  # a and b may be one DataFrame
     return a.groupBy("recording").cogroup(b.groupBy("recording")).applyInPandas(run, f"recording {rec}, distance double")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucera.functions import diffusion, layers, time_domain
+from lucera.functions.registries import RESIDUALS
 from lucera.operators.fits import _schema
 
 
@@ -88,6 +89,30 @@ def composition_variance(cov: DataFrame, keys: list[str], extinction: dict[float
     return both.groupBy(*keys, F.col("e.wavelength").alias("wavelength")).agg(F.sqrt(F.sum(pick("param") * pick("param_2") * F.col("cov"))).alias("mua_sigma"))
 
 
+def custom_fit(df: DataFrame, keys: list[str], model, target: str, bounds: dict[str, tuple[float, float]], residual="difference", response=None, log: tuple[str, ...] = (), order: str | None = None, covariance: bool = False, starts: int = 4) -> DataFrame:
+    """Fits a given model: model(columns of a group as arrays, **params) -> prediction of `target`. residual and
+    response are callables or registered names; a response is f(number of points) or an array that the
+    prediction goes through."""
+    transform = RESIDUALS.resolve(residual)
+
+    def fit(pdf):
+        pdf = pdf.sort_values(order) if order else pdf
+        arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+        y = arrays[target].astype(float)
+        if len(y) < len(bounds) or not np.isfinite(y).all():
+            return None
+        shape = None if response is None else np.asarray(response(len(y)) if callable(response) else response, float)
+
+        def off(**p):
+            m = np.asarray(model(arrays, **p), float)
+            return transform(y, m if shape is None else layers.through_response(m, shape))
+
+        p, _, cov = diffusion.fit_bounded(off, bounds, log=log, starts=starts)
+        return p, cov
+
+    return _fitted(df, keys, list(bounds), fit, covariance)
+
+
 def uncertainty_of(fit: DataFrame, param: str, keys: list[str]) -> DataFrame:
     return fit.filter(F.col("param") == param).select(*keys, "sigma")
 

@@ -326,6 +326,54 @@ def _(spark, sf):
     return estimators.cluster_table(spark, sf).select("recording", "contrast", "sign", "size", "statistic", "peak_t")
 
 
+@query("fc_cross_pearson", f"WITH {EMB} SELECT a.recording, a.channel AS ch_i, b.channel AS ch_j, {_r('corr(a.v, b.v)', 'value')} FROM emb a JOIN emb b ON a.recording = b.recording AND a.frame = b.frame WHERE a.channel < 4 AND b.channel >= 4 GROUP BY 1, 2, 3")
+def _(spark, sf):
+    from lucera.operators import inference
+
+    s = ad.embedding_samples(spark, sf).drop("label")
+    return inference.pairwise(s.filter("channel < 4"), "pearson", 10.0, other=s.filter("channel >= 4"))
+
+
+@query("fc_frobenius", f"""WITH {EMB}, h AS (SELECT recording, channel, frame, v, frame < {ad.FRAMES // 2} AS early FROM emb), c AS (SELECT a.recording, a.early, a.channel AS i, b.channel AS j, corr(a.v, b.v) AS r FROM h a JOIN h b ON a.recording = b.recording AND a.frame = b.frame AND a.channel < b.channel GROUP BY 1, 2, 3, 4)
+ SELECT x.recording, {_r('sqrt(2 * sum(pow(x.r - y.r, 2)))', 'distance')} FROM c x JOIN c y ON x.recording = y.recording AND x.i = y.i AND x.j = y.j AND x.early AND NOT y.early GROUP BY 1""")
+def _(spark, sf):
+    from lucera.operators import inference
+
+    s = ad.embedding_samples(spark, sf)
+    half = lambda c: fc.pearson(s.filter(c)).drop("n")
+    return inference.distance(half(F.col("frame") < ad.FRAMES // 2), half(F.col("frame") >= ad.FRAMES // 2), "frobenius")
+
+
+@query("glm_ols", f"WITH {EMB} SELECT recording, channel, {_r('regr_slope(v, frame / 100.0::DOUBLE)', 'beta')}, {_r('sqrt((regr_syy(v, frame / 100.0::DOUBLE) - pow(regr_sxy(v, frame / 100.0::DOUBLE), 2) / regr_sxx(v, frame / 100.0::DOUBLE)) / (count(v) - 2) / regr_sxx(v, frame / 100.0::DOUBLE))', 'se')}, count(v) - 2 AS df FROM emb GROUP BY 1, 2")
+def _(spark, sf):
+    import numpy as np
+
+    from lucera.operators import series
+
+    design = pd.DataFrame({"one": np.ones(ad.FRAMES), "trend": np.arange(ad.FRAMES) / 100.0})
+    return series.glm(ad.embedding_samples(spark, sf).drop("label"), design, "ols").filter("regressor = 'trend'").select("recording", "channel", "beta", "se", "df")
+
+
+@query("sign_flip_p", base.SQL["sign_flip_null"].rsplit("SELECT grp, flip,", 1)[0] + ", n AS (SELECT grp, flip, m / (sd / sqrt(n)) AS t FROM t), o AS (SELECT grp, abs(t) AS o FROM n WHERE flip = 0) SELECT n.grp, round(avg(CASE WHEN abs(t) >= o - 1e-9 THEN 1 ELSE 0 END), 6) AS p_val FROM n JOIN o ON n.grp = o.grp GROUP BY 1")
+def _(spark, sf):
+    from lucera.operators import group
+
+    e = ad.subject_effects(spark, sf).select("grp", "subject", (F.col("beta") - 140).alias("beta"))
+    return group.p_of_null(group.sign_flip_t(e, ["grp"], 200), ["grp"])
+
+
+@query("stim_matrix", f"WITH {EMB}, f AS (SELECT DISTINCT recording, frame FROM emb), c AS (VALUES (0), (1)) SELECT recording, 'marker_' || k AS condition, frame, CASE WHEN frame % 40 = 0 AND frame % 80 // 40 = k THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM f, c AS c(k)")
+def _(spark, sf):
+    frames = ad.embedding_samples(spark, sf).filter("channel = 0").select("recording", "frame", "t")
+    marks = frames.filter("frame % 40 = 0").select("recording", "frame", F.floor(F.col("frame") % 80 / 40).cast("int").alias("marker"))
+    return readers.stim_samples(marks, frames).select("recording", "condition", "frame", "v")
+
+
+@query("short_detectors", f"WITH {MON} SELECT channel, detector >= 5 AS is_short, CASE WHEN detector >= 5 THEN 4 + source ELSE detector END AS detector FROM mon")
+def _(spark, sf):
+    return readers.remap_short_detectors(montage(spark, sf), 5).select("channel", "is_short", "detector")
+
+
 # montages and regions ----------------------------------------------------------------------
 
 

@@ -62,6 +62,63 @@ def nirx_header(spark: SparkSession, path: str) -> DataFrame:
     return df.select("recording", one("Sources", "int").alias("sources"), one("Detectors", "int").alias("detectors"), one("SamplingRate", "double").alias("sampling_rate"), lams.alias("wavelengths"), rows.alias("events"))
 
 
+def nirx_mask(spark: SparkSession, path: str) -> DataFrame:
+    """(recording, source, detector) of the pairs that a .hdr's S-D-Mask turns on."""
+    df = spark.read.text(path, wholetext=True).withColumn("recording", F.input_file_name())
+    rows = F.filter(F.split(F.regexp_extract("value", r'(?s)S-D-Mask\s*=\s*"#(.*?)#"', 1), r"\r?\n"), lambda r: F.trim(r) != "")
+    lines = df.select("recording", F.posexplode(rows).alias("source", "line"))
+    cells = lines.select("recording", (F.col("source") + 1).alias("source"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("detector", "on"))
+    return cells.filter("on = '1'").select("recording", "source", (F.col("detector") + 1).alias("detector"))
+
+
+def remap_short_detectors(channels: DataFrame, first: int) -> DataFrame:
+    """Detectors numbered from `first` on are one bundle of short ones; each is named after its source."""
+    short = F.col("detector") >= first
+    return channels.withColumns({"is_short": short, "detector": F.when(short, F.lit(first - 1) + F.col("source")).otherwise(F.col("detector"))})
+
+
+def stim_samples(events: DataFrame, frames: DataFrame) -> DataFrame:
+    """(recording, condition, frame, t, v): a column of zeros and ones a condition, from events (recording,
+    frame, marker) and the frames (recording, frame, t)."""
+    conditions = events.select("recording", F.concat(F.lit("marker_"), F.col("marker").cast("string")).alias("condition")).distinct()
+    on = events.select("recording", F.concat(F.lit("marker_"), F.col("marker").cast("string")).alias("condition"), "frame", F.lit(1.0).alias("v")).distinct()
+    return frames.join(conditions, "recording").join(on, ["recording", "condition", "frame"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))).select("recording", "condition", "frame", "t", "v")
+
+
+def extinction_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(lambda, hbo, hbr, water_mua) of a table whose second line holds units; blank cells are null."""
+    df = spark.read.csv(path, header=True)
+    number = {c: F.col(c).try_cast("double") for c in df.columns}
+    return df.select(*[number[c].alias(c) for c in df.columns]).filter("lambda IS NOT NULL")
+
+
+def nifti(spark: SparkSession, path: str) -> DataFrame:
+    """(recording, i, j, k, label) of the voxels that are not 0 of NIfTI-1 volumes, plain or gzipped; a file a task."""
+    import gzip
+    import struct
+
+    import numpy as np
+    import pandas as pd
+
+    #: Types of the format's codes.
+    types = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
+
+    def run(batches):
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
+                dims = struct.unpack(f"{order}8h", raw[40:56])
+                kind, at = struct.unpack(f"{order}h", raw[70:72])[0], int(struct.unpack(f"{order}f", raw[108:112])[0])
+                shape = tuple(max(1, d) for d in dims[1:4])
+                v = np.frombuffer(raw, order + types[kind], int(np.prod(shape)), at).reshape(shape, order="F")
+                i, j, k = np.nonzero(v)
+                yield pd.DataFrame({"recording": name, "i": i, "j": j, "k": k, "label": v[i, j, k].astype("int64")})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "recording string, i int, j int, k int, label long")
+
+
 def entities(name: Column) -> list[Column]:
     """subject, session, task, recording and run of a BIDS file name."""
     keys = {"subject": "sub", "session": "ses", "task": "task", "rec": "recording", "run": "run"}

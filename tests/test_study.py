@@ -122,6 +122,65 @@ def test_datasets(spark, tmp_path):
         bids.write_dataset(spark, str(tmp_path / "e"), meta.withColumn("run", F.lit("1")), s, places, ev, 10.0)
 
 
+def test_custom_models(spark):
+    rows = [(g, float(x), (1 + g) * np.exp(-x / 2.0)) for g in range(3) for x in np.linspace(0, 6, 30)]
+    df = spark.createDataFrame([(g, x, float(y)) for g, x, y in rows], "grp int, x double, y double")
+    model = lambda d, a, tau: a * np.exp(-d["x"] / tau)
+    got = td_fits.custom_fit(df, ["grp"], model, "y", {"a": (0.1, 10.0), "tau": (0.2, 10.0)}, order="x").collect()
+    assert all(r["value"] == pytest.approx({"a": 1 + r["grp"], "tau": 2.0}[r["param"]], rel=1e-4) for r in got) and len(got) == 6
+    half = np.array([0.5, 0.5])
+    seen = spark.createDataFrame([(0, float(x), float(y)) for x, y in zip(np.arange(30.0), np.convolve(3 * np.exp(-np.arange(30) / 4), half)[:30], strict=True)], "grp int, x double, y double")
+    got = {r["param"]: r["value"] for r in td_fits.custom_fit(seen, ["grp"], model, "y", {"a": (0.1, 10.0), "tau": (0.2, 10.0)}, residual=lambda d, m: d - m, response=half, order="x").collect()}
+    assert got["a"] == pytest.approx(3, rel=1e-4) and got["tau"] == pytest.approx(4, rel=1e-4)
+
+
+def test_resolution(spark):
+    from lucera.operators import imaging
+
+    r = np.random.default_rng(5)
+    j = r.normal(size=(4, 9))
+    sens = spark.createDataFrame([(c, v, float(j[c, v])) for c in range(4) for v in range(9)], "channel int, voxel long, value double")
+    got = imaging.resolution(sens, 0.1).toPandas().sort_values("voxel")["resolution"]
+    g = j @ j.T
+    assert np.allclose(got, np.diag(j.T @ np.linalg.inv(g + 0.1 * g.diagonal().max() * np.eye(4)) @ j))
+    assert imaging.sensitivity_matrix(sens, [0, 1, 2, 3]).count() == 9
+
+
+def test_more_readers(spark, tmp_path):
+    import gzip
+    import struct
+
+    from lucera.sources import readers
+
+    (tmp_path / "a.hdr").write_text('Sources=2\nS-D-Mask="#\n1\t0\t1\n0\t1\t0\n#"\n')
+    assert sorted((r["source"], r["detector"]) for r in readers.nirx_mask(spark, str(tmp_path / "a.hdr")).collect()) == [(1, 1), (1, 3), (2, 2)]
+    ch = spark.createDataFrame([(1, 1), (1, 8), (2, 8)], "source int, detector int")
+    assert sorted((r["source"], r["detector"], r["is_short"]) for r in readers.remap_short_detectors(ch, 8).collect()) == [(1, 1, False), (1, 8, True), (2, 9, True)]
+    frames = spark.createDataFrame([("r", f, f / 10) for f in range(5)], "recording string, frame long, t double")
+    stim = readers.stim_samples(spark.createDataFrame([("r", 2, 7), ("r", 3, 7)], "recording string, frame long, marker int"), frames)
+    assert [r["v"] for r in stim.orderBy("frame").collect()] == [0, 0, 1, 1, 0] and stim.first()["condition"] == "marker_7"
+    (tmp_path / "e.csv").write_text("lambda,hbo,hbr,water_mua\nnm,cm-1/M,cm-1/M,cm-1\n650,368,3750.12,\n700,290,1794.28,0.006\n")
+    assert [tuple(r) for r in readers.extinction_csv(spark, str(tmp_path / "e.csv")).orderBy("lambda").collect()] == [(650, 368, 3750.12, None), (700, 290, 1794.28, 0.006)]
+    vol = np.zeros((3, 4, 2), "<i2")
+    vol[1, 2, 0], vol[2, 3, 1] = 5, -7
+    head = bytearray(352)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, 3, 3, 4, 2, 1, 1, 1, 1)
+    struct.pack_into("<h", head, 70, 4)
+    struct.pack_into("<f", head, 108, 352.0)
+    (tmp_path / "v.nii.gz").write_bytes(gzip.compress(bytes(head) + vol.tobytes(order="F")))
+    assert sorted((r["i"], r["j"], r["k"], r["label"]) for r in readers.nifti(spark, str(tmp_path / "v.nii.gz")).collect()) == [(1, 2, 0, 5), (2, 3, 1, -7)]
+
+
+def test_distances_by_name(spark):
+    from lucera.operators import inference
+
+    fc = spark.createDataFrame([("r", 0, 1, 0.5)], "recording string, ch_i int, ch_j int, value double")
+    other = fc.withColumn("value", F.lit(0.2))
+    assert inference.distance(fc, other, "frobenius").first()["distance"] == pytest.approx(0.3 * np.sqrt(2))
+    assert inference.distance(fc, other, lambda a, b: 1.5).first()["distance"] == 1.5
+
+
 def test_summaries(spark, tmp_path):
     results.save_summary(spark.createDataFrame([(1, 0.5)], "channel int, value double"), str(tmp_path / "q"), {"threshold": "0.7"})
     assert spark.read.csv(str(tmp_path / "q" / "summary"), header=True).first()["value"] == "0.5"
