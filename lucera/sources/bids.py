@@ -103,7 +103,7 @@ def write_dataset(spark: SparkSession, folder: str, meta: DataFrame, samples: Da
     cols = ["source", "detector", "wavelength", "frame", "t", "v"]
     rows = samples.select("recording", F.lit("samples").alias("part"), F.to_json(F.struct(*cols)).alias("row"))
     rows = rows.unionByName(events.select("recording", F.lit("events").alias("part"), F.to_json(F.struct("onset", "duration", "value", "label")).alias("row")))
-    rows = rows.join(named.select("recording", "name", "folder", *[]), "recording").join(meta.select("recording", "task"), "recording")
+    rows = rows.join(named.select("recording", "name", "folder"), "recording").join(meta.select("recording", "task"), "recording")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {k: pd.DataFrame([json.loads(x) for x in g["row"]]) for k, g in pdf.groupby("part")}
@@ -134,7 +134,6 @@ def write_dataset(spark: SparkSession, folder: str, meta: DataFrame, samples: Da
 def load_dataset(spark: SparkSession, folder: str, filters: dict | None = None):
     """A study of a dataset's recordings: entities of the names, participants' metadata, samples, events.
     Filters on subject, session, task and run choose files before they are read."""
-    from lucera.operators.streams import session_matches
     from lucera.operators.study import Study
 
     samples = snirf.read_snirf(spark, folder)
