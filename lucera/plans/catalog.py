@@ -366,7 +366,7 @@ def _(spark, sf):
 def _(spark, sf):
     frames = ad.embedding_samples(spark, sf).filter("channel = 0").select("recording", "frame", "t")
     marks = frames.filter("frame % 40 = 0").select("recording", "frame", F.floor(F.col("frame") % 80 / 40).cast("int").alias("marker"))
-    return readers.stim_samples(marks, frames).select("recording", "condition", "frame", "v")
+    return readers.stim_samples(marks, frames, [0, 1]).select("recording", "condition", "frame", "v")
 
 
 @query("short_detectors", f"WITH {MON} SELECT channel, detector >= 5 AS is_short, CASE WHEN detector >= 5 THEN 4 + source ELSE detector END AS detector FROM mon")

@@ -77,12 +77,17 @@ def remap_short_detectors(channels: DataFrame, first: int) -> DataFrame:
     return channels.withColumns({"is_short": short, "detector": F.when(short, F.lit(first - 1) + F.col("source")).otherwise(F.col("detector"))})
 
 
-def stim_samples(events: DataFrame, frames: DataFrame) -> DataFrame:
+def stim_samples(events: DataFrame, frames: DataFrame, markers: list | None = None) -> DataFrame:
     """(recording, condition, frame, t, v): a column of zeros and ones a condition, from events (recording,
-    frame, marker) and the frames (recording, frame, t)."""
-    conditions = events.select("recording", F.concat(F.lit("marker_"), F.col("marker").cast("string")).alias("condition")).distinct()
-    on = events.select("recording", F.concat(F.lit("marker_"), F.col("marker").cast("string")).alias("condition"), "frame", F.lit(1.0).alias("v")).distinct()
-    return frames.join(conditions, "recording").join(on, ["recording", "condition", "frame"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))).select("recording", "condition", "frame", "t", "v")
+    frame, marker) and the frames (recording, frame, t). Every recording has the given markers' columns,
+    also where it holds none of their events; without markers, a recording has those of its own events."""
+    named = F.concat(F.lit("marker_"), F.col("marker").cast("string")).alias("condition")
+    on = events.select("recording", named, "frame", F.lit(1.0).alias("v")).distinct()
+    if markers is None:
+        every = frames.join(events.select("recording", named).distinct(), "recording")
+    else:
+        every = frames.withColumn("condition", F.explode(F.array(*[F.lit(f"marker_{m}") for m in markers])))
+    return every.join(on, ["recording", "condition", "frame"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))).select("recording", "condition", "frame", "t", "v")
 
 
 def extinction_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -185,3 +185,12 @@ def test_summaries(spark, tmp_path):
     results.save_summary(spark.createDataFrame([(1, 0.5)], "channel int, value double"), str(tmp_path / "q"), {"threshold": "0.7"})
     assert spark.read.csv(str(tmp_path / "q" / "summary"), header=True).first()["value"] == "0.5"
     assert spark.read.text(str(tmp_path / "q" / "notes")).first()[0] == "# threshold: 0.7"
+
+
+def test_stim_of_a_recording_without_a_marker(spark):
+    from lucera.sources import readers
+
+    frames = spark.createDataFrame([(r, f, f / 10) for r in ("a", "b") for f in range(2)], "recording string, frame long, t double")
+    marks = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("b", 0, 0)], "recording string, frame long, marker int")
+    got = {(r["recording"], r["condition"], r["frame"]): r["v"] for r in readers.stim_samples(marks, frames, [0, 1]).collect()}
+    assert len(got) == 8 and [got["b", c, f] for c in ("marker_0", "marker_1") for f in (0, 1)] == [1, 0, 0, 0]
