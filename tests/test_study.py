@@ -194,3 +194,15 @@ def test_stim_of_a_recording_without_a_marker(spark):
     marks = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("b", 0, 0)], "recording string, frame long, marker int")
     got = {(r["recording"], r["condition"], r["frame"]): r["v"] for r in readers.stim_samples(marks, frames, [0, 1]).collect()}
     assert len(got) == 8 and [got["b", c, f] for c in ("marker_0", "marker_1") for f in (0, 1)] == [1, 0, 0, 0]
+
+
+def lattice_of_one_number(spark):
+    """Two voxels whose numbers are equal, as those of cells past 9999 are."""
+    return spark.createDataFrame([(0, 0, 10000, 10000, 0.0, 0.0, 40000.0, 1), (0, 1, 0, 10000, 0.0, 4.0, 0.0, 2)], "i int, j int, k int, voxel int, x double, y double, z double, label int")
+
+
+def test_surface_voxels_by_place(spark):
+    from lucera.operators import geometry
+
+    vertices = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 3.0, 1.0)], "x double, y double, z double")
+    assert [r["j"] for r in geometry.restrict_to_surface(lattice_of_one_number(spark), vertices, 6.0).collect()] == [1]
