@@ -75,9 +75,12 @@ def full_axes(voxels: DataFrame) -> DataFrame:
     return voxels.select(F.explode(rows).alias("r")).groupBy(F.col("r.axis").alias("axis")).agg(F.countDistinct("r.cell").alias("cells"), F.min("r.at").alias("low"), F.max("r.at").alias("high"))
 
 
-def restrict(voxels: DataFrame, keep: DataFrame) -> DataFrame:
-    """Voxels of a table of voxels."""
-    return voxels.join(keep.select("voxel").distinct(), "voxel", "left_semi")
+def restrict(voxels: DataFrame, keep: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Voxels of a table of voxels: the same cells (i, j, k) where both tables have them, else the same voxel
+    numbers, which need not be unique in a table with cells; or the same values of the columns given."""
+    cells = ["i", "j", "k"]
+    on = on or (cells if {*cells} <= {*voxels.columns} & {*keep.columns} else ["voxel"])
+    return voxels.join(keep.select(*on).distinct(), on, "left_semi").select(*voxels.columns)
 
 
 def restrict_to_surface(voxels: DataFrame, vertices: DataFrame, radius: float) -> DataFrame:

@@ -493,7 +493,7 @@ def _(spark, sf):
 @query("voxels_restricted", f"WITH {_LAT} SELECT voxel, label FROM lat WHERE label = 2")
 def _(spark, sf):
     v = _lattice(spark, sf)
-    return geometry.restrict(v, v.filter("label = 2")).select("voxel", "label")
+    return geometry.restrict(v, v.filter("label = 2"), ["i", "j", "k", "label"]).select("voxel", "label")
 
 
 @query("tissue_mask", f"WITH {VOL}, {TIS} SELECT i, j, k, vol.label FROM vol JOIN tis ON vol.label = tis.label WHERE lower(name) IN ('asia', 'europe')")

@@ -206,3 +206,11 @@ def test_surface_voxels_by_place(spark):
 
     vertices = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 3.0, 1.0)], "x double, y double, z double")
     assert [r["j"] for r in geometry.restrict_to_surface(lattice_of_one_number(spark), vertices, 6.0).collect()] == [1]
+
+
+def test_restricted_voxels_by_cell(spark):
+    from lucera.operators import geometry
+
+    v = lattice_of_one_number(spark)
+    assert [r["label"] for r in geometry.restrict(v, v.filter("label = 2")).collect()] == [2]
+    assert geometry.restrict(v.drop("i", "j", "k"), v.filter("label = 2")).count() == 2
