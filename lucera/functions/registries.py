@@ -54,6 +54,16 @@ register_cross_measure, register_distance = CROSS_MEASURES.register, DISTANCES.r
 register_step, register_observation, register_response, register_residual = STEPS.register, OBSERVATIONS.register, RESPONSES.register, RESIDUALS.register
 
 
+def batched(many):
+    """Marks a measure of two series with its form for many (functions.pairs), which gives the same values."""
+
+    def mark(f):
+        f.many = many
+        return f
+
+    return mark
+
+
 def register_bias_correction(name: str, measure: str, needs_band: bool = False, required: tuple[str, ...] = ()):
     """A correction of one measure; required names of options are checked before it runs."""
     return BIAS_CORRECTIONS.register((name, measure), needs_band=needs_band, required=required)
@@ -78,10 +88,10 @@ def resolve_geometry(given, modality: str) -> Callable:
 def _defaults() -> None:
     import numpy as np
 
-    from lucera.functions import diffusion, fitting, layers, signal, spectra
+    from lucera.functions import diffusion, fitting, layers, pairs, signal, spectra
 
-    register_cross_measure("pearson")(lambda x, y, fs: float(np.corrcoef(x, y)[0, 1]))
-    register_cross_measure("coherence")(lambda x, y, fs, low=0.0, high=np.inf, nperseg=64: _band(signal.coherence(x, y, fs, nperseg), low, high))
+    register_cross_measure("pearson")(batched(pairs.pearson)(lambda x, y, fs: float(np.corrcoef(x, y)[0, 1])))
+    register_cross_measure("coherence")(batched(pairs.coherence)(lambda x, y, fs, low=0.0, high=np.inf, nperseg=64: _band(signal.coherence(x, y, fs, nperseg), low, high)))
     register_cross_measure("wavelet_coherence")(lambda x, y, fs, low=0.0, high=np.inf, **kw: _band(spectra.wavelet_coherence(x, y, fs, **kw), low, high))
     for measure in ("pearson", "coherence", "wavelet_coherence"):
         register_bias_correction("phase_randomization", measure, needs_band=measure != "pearson")(spectra.bias_corrected)

@@ -47,12 +47,12 @@ def bandpass_sos(order: int, low: float, high: float, fs: float) -> np.ndarray:
 
 def _section(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     b0, b1, b2, _, a1, a2 = s
-    out, (z1, z2) = np.empty_like(x), z
-    for i, v in enumerate(x.tolist()):
+    out, (z1, z2) = np.empty_like(x.T), z
+    for i, v in enumerate(x.tolist() if x.ndim == 1 else x.T):
         y = b0 * v + z1
         z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
         out[i] = y
-    return out
+    return out.T
 
 
 def _steady(s: np.ndarray) -> np.ndarray:
@@ -63,20 +63,21 @@ def _steady(s: np.ndarray) -> np.ndarray:
 
 
 def sosfilt(sos: np.ndarray, x: np.ndarray, rest: bool = False) -> np.ndarray:
+    """Along the last axis."""
     for s in sos:
-        x = _section(s, x, _steady(s) * x[0] if rest else np.zeros(2))
+        x = _section(s, x, np.multiply.outer(_steady(s), x[..., 0]) if rest else np.zeros((2, *x.shape[:-1])))
     return x
 
 
 def filtfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Zero phase: forward and backward over an odd extension of the series by three times the filter's length."""
-    pad = min(len(x) - 1, 3 * (2 * len(sos) + 1 - int((sos[:, 2] == 0).sum())))
+    """Zero phase along the last axis: forward and backward over an odd extension by three times the filter's length."""
+    pad = min(x.shape[-1] - 1, 3 * (2 * len(sos) + 1 - int((sos[:, 2] == 0).sum())))
     if pad < 1:
         return x.copy()
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    ext = np.concatenate([2 * x[..., :1] - x[..., pad:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]], axis=-1)
     for _ in range(2):
-        ext = sosfilt(sos, ext, rest=True)[::-1]
-    return ext[pad : len(ext) - pad]
+        ext = sosfilt(sos, ext, rest=True)[..., ::-1]
+    return ext[..., pad : ext.shape[-1] - pad]
 
 
 def frequency_filter(x: np.ndarray, fs: float, low: float | None = None, high: float | None = None, order: int = 3) -> np.ndarray:
@@ -226,13 +227,13 @@ def heart_rate(x: np.ndarray, fs: float, low: float = 0.7, high: float = 2.2, ze
 
 
 def phase_randomized(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Surrogate of the same spectrum."""
+    """Surrogate of the same spectrum; series of an array turn by the same phases."""
     f = np.fft.rfft(x)
-    turn = np.exp(2j * np.pi * rng.random(len(f)))
+    turn = np.exp(2j * np.pi * rng.random(f.shape[-1]))
     turn[0] = 1
-    if len(x) % 2 == 0:
+    if x.shape[-1] % 2 == 0:
         turn[-1] = 1
-    return np.fft.irfft(f * turn, len(x))
+    return np.fft.irfft(f * turn, x.shape[-1])
 
 
 def dct_drift_basis(n: int, fs: float, cutoff: float) -> np.ndarray:

@@ -9,6 +9,9 @@ from lucera.functions import signal
 
 # wavelet coherence -----------------------------------------------------------
 
+#: Width of the average over scales.
+OCTAVES = 0.6
+
 
 def scale_grid(n: int, fs: float, dj: float = 0.25, s0: float | None = None, j1: int | None = None) -> np.ndarray:
     """Scales (s) from coarse to fine; the frequency of a scale is its inverse."""
@@ -26,7 +29,7 @@ def morlet(x: np.ndarray, fs: float, scales: np.ndarray, bandwidth: float = 1.5)
     return np.fft.ifft(spectrum * psi, axis=1)[:, : len(x)]
 
 
-def smoothed(w: np.ndarray, fs: float, scales: np.ndarray, dj: float, octaves: float = 0.6) -> np.ndarray:
+def smoothed(w: np.ndarray, fs: float, scales: np.ndarray, dj: float, octaves: float = OCTAVES) -> np.ndarray:
     """Gaussian in time of sigma one scale, then a moving average over scales."""
     n = w.shape[1]
     m = 1 << int(2 * n - 1).bit_length()
@@ -89,7 +92,8 @@ def bias_corrected(x: np.ndarray, y: np.ndarray, measure, surrogates: int = 200,
 # coupling quality ------------------------------------------------------------
 
 
-def _windows(n: int, fs: float, length: float, step: float | None):
+def windows(n: int, fs: float, length: float, step: float | None):
+    """Starts and ends, half overlapping unless step is given."""
     size = int(length * fs)
     hop = max(1, int((length / 2 if step is None else step) * fs))
     return [(i, i + size) for i in range(0, n - size + 1, hop)]
@@ -98,14 +102,14 @@ def _windows(n: int, fs: float, length: float, step: float | None):
 def scalp_coupling(x: np.ndarray, y: np.ndarray, fs: float, band=(0.5, 2.5), length: float = 5.0, step: float | None = None) -> np.ndarray:
     """Correlation of two wavelengths in the cardiac band (one band pass of order 3), a value a window."""
     x, y = (signal.band_pass(v, fs, *band) for v in (x, y))
-    return np.array([np.corrcoef(x[a:b], y[a:b])[0, 1] if x[a:b].std() > 0 < y[a:b].std() else np.nan for a, b in _windows(len(x), fs, length, step)])
+    return np.array([np.corrcoef(x[a:b], y[a:b])[0, 1] if x[a:b].std() > 0 < y[a:b].std() else np.nan for a, b in windows(len(x), fs, length, step)])
 
 
 def peak_power(x: np.ndarray, y: np.ndarray, fs: float, band=(0.5, 2.5), length: float = 10.0, step: float | None = None) -> np.ndarray:
     """Peak of the spectrum of two wavelengths' circular cross-correlation in the band, a value a window."""
     fx, fy = (signal.band_pass(v, fs, *band) for v in (x, y))
     out = []
-    for a, b in _windows(len(x), fs, length, step):
+    for a, b in windows(len(x), fs, length, step):
         u, v = fx[a:b], fy[a:b]
         if not (u.std() > 0 and v.std() > 0):
             out.append(np.nan)

@@ -1,7 +1,7 @@
-"""Per-pair, per-graph and per-map estimators as grouped functions, and a registry of pair measures.
+"""Per-montage, per-graph and per-map estimators as grouped functions, and a registry of pair measures.
 
-A group is a pair of channels, a montage's graph or one statistic map: bounded by the instrument
-or the lattice, never by the number of recordings.
+A group is the channels of a recording, a montage's graph or one statistic map: bounded by the
+instrument or the lattice, never by the number of recordings.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucera.functions import lattice, networks, signal, spectra
-from lucera.functions.registries import BIAS_CORRECTIONS, CROSS_MEASURES, DISTANCES, bias_correction
+from lucera.functions import lattice, networks, pairs, signal, spectra
+from lucera.functions.registries import BIAS_CORRECTIONS, CROSS_MEASURES, DISTANCES, batched, bias_correction
 
 #: Measures of two series, fs and options to one number; register_measure adds to it.
 MEASURES: dict = {}
@@ -27,16 +27,19 @@ def register_measure(name: str):
 
 
 @register_measure("pearson")
+@batched(pairs.pearson)
 def _pearson(x, y, fs):
     return float(np.corrcoef(x, y)[0, 1]) if x.std() > 0 < y.std() else float("nan")
 
 
 @register_measure("n_eff")
+@batched(pairs.n_eff)
 def _n_eff(x, y, fs, **kw):
     return spectra.effective_samples(x, y, **kw)
 
 
 @register_measure("coherence")
+@batched(pairs.coherence)
 def _coherence(x, y, fs, low=0.0, high=np.inf, nperseg=64):
     f, c = signal.coherence(x, y, fs, nperseg)
     return float(np.nanmean(c[(f >= low) & (f <= high)]))
@@ -59,37 +62,55 @@ def _psp(x, y, fs, **kw):
     return float(np.nanmedian(spectra.peak_power(x, y, fs, **kw)))
 
 
-def _series(samples: DataFrame, keys: list[str]) -> DataFrame:
-    return samples.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"]).alias("x"))
+def _spread(df: DataFrame) -> DataFrame:
+    """Recordings over all shuffle partitions: their bytes are few and their work is not, so they must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "recording")
 
 
 def pairwise(samples: DataFrame, method: str, fs: float, other: DataFrame | None = None, surrogates: int = 0, seed: int = 0, correction: str = "phase_randomization", **kw) -> DataFrame:
     """(recording, ch_i, ch_j, value) of a registered measure over the pairs ch_i < ch_j of a
     recording, or over all of one stream with all of another; with surrogates, bias-corrected.
-    A series with a null or fewer than two samples, or of another length, has a null value."""
+    A series with a null or fewer than two samples, or of another length, has a null value.
+
+    A recording is one group: its samples move once, and a measure with a form for many series
+    works out what a series needs once, not once a pair."""
     f = CROSS_MEASURES.get(method) if other is not None and method in CROSS_MEASURES.items else MEASURES[method]
     correct = bias_correction(correction, method, **kw) if surrogates and (correction, method) in BIAS_CORRECTIONS.items else spectra.bias_corrected
+    many = getattr(f, "many", None) if not surrogates or correct is spectra.bias_corrected else None
     kind, rec = (dict(samples.dtypes)[c] for c in ("channel", "recording"))
-    a = _series(samples, ["recording", "channel"]).withColumnRenamed("channel", "ch_i")
-    b = _series(samples if other is None else other, ["recording", "channel"]).withColumnsRenamed({"channel": "ch_j", "x": "y"})
-    pairs = a.join(b, "recording").filter("ch_i < ch_j" if other is None else "true")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.asarray(x, float), np.asarray(y, float)
-                if len(x) != len(y) or len(x) < 2 or not (np.isfinite(x).all() and np.isfinite(y).all()):
-                    out.append(None)
-                elif surrogates:
-                    out.append(float(correct(x, y, lambda u, v: f(u, v, fs, **kw), surrogates, seed)))
-                else:
-                    out.append(f(x, y, fs, **kw))
-            value = pd.Series(out, dtype=float)
-            value.index = pdf.index
-            yield pdf[["recording", "ch_i", "ch_j"]].assign(value=value)
-
-    return pairs.mapInPandas(run, f"recording {rec}, ch_i {kind}, ch_j {kind}, value double")
+
+    def series(pdf):
+        groups = pdf.sort_values(["channel", "frame", "v"], na_position="first").groupby("channel", sort=False, dropna=False)["v"]
+        channels, x = zip(*[(c, v.to_numpy(float)) for c, v in groups], strict=True)
+        return pd.Series(channels), x, [len(v) if len(v) > 1 and np.isfinite(v).all() else 0 for v in x]
+
+    def one(x, y):
+        return correct(x, y, lambda u, v: f(u, v, fs, **kw), surrogates, seed) if surrogates else f(x, y, fs, **kw)
+
+    def table(recording, a, b=None):
+        (ch_i, x, size), (ch_j, y, width) = a, b or a
+        value = np.full((len(x), len(y)), np.nan)
+        i, j = np.triu_indices(len(x), 1) if b is None else np.nonzero(np.ones(value.shape, bool))
+        for n in {*size} & {*width} - {0}:
+            p, q = np.flatnonzero(np.equal(size, n)), np.flatnonzero(np.equal(width, n))
+            if many:
+                measure = many(fs, n, **kw)
+                measure = pairs.bias_corrected(measure, n, surrogates, seed) if surrogates else measure
+                value[np.ix_(p, q)] = pairs.values(np.stack([x[k] for k in p]), None if b is None else np.stack([y[k] for k in q]), measure)
+            else:
+                for u, v in zip(i, j, strict=True):
+                    if size[u] == width[v] == n:
+                        value[u, v] = one(x[u], y[v])
+        return pd.DataFrame({"recording": recording, "ch_i": ch_i.iloc[i].to_numpy(), "ch_j": ch_j.iloc[j].to_numpy(), "value": value[i, j]})
+
+    cols = [*[F.col(c).alias(c) for c in ("recording", "channel", "frame")], F.col("v").cast("double").alias("v")]  # both streams may be one DataFrame
+    schema = f"recording {rec}, ch_i {kind}, ch_j {kind}, value double"
+    a = _spread(samples.filter("recording IS NOT NULL").select(*cols))
+    if other is None:
+        return a.filter("channel IS NOT NULL").groupBy("recording").applyInPandas(lambda p: table(p["recording"].iloc[0], series(p)), schema)
+    b = _spread(other.filter("recording IS NOT NULL").select(*cols))
+    none = pd.DataFrame({c: [] for c in ("recording", "ch_i", "ch_j", "value")})
+    return a.groupBy("recording").cogroup(b.groupBy("recording")).applyInPandas(lambda p, q: table(p["recording"].iloc[0], series(p), series(q)) if len(p) and len(q) else none, schema)
 
 
 def _matrix(pdf: pd.DataFrame, nodes: list) -> np.ndarray:
