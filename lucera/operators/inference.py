@@ -53,6 +53,7 @@ def _wavelet(x, y, fs, low=0.0, high=np.inf, **kw):
 
 
 @register_measure("sci")
+@batched(pairs.scalp_coupling)
 def _sci(x, y, fs, **kw):
     return float(np.nanmedian(spectra.scalp_coupling(x, y, fs, **kw)))
 
