@@ -59,6 +59,7 @@ def _sci(x, y, fs, **kw):
 
 
 @register_measure("psp")
+@batched(pairs.peak_power)
 def _psp(x, y, fs, **kw):
     return float(np.nanmedian(spectra.peak_power(x, y, fs, **kw)))
 
