@@ -65,19 +65,35 @@ def betweenness(adj: np.ndarray) -> np.ndarray:
     return out / max(1.0, (n - 1) * (n - 2) / 2)
 
 
+def _draws(rng: np.random.Generator, n: int, steps: int):
+    """So many times rng.integers(n, size=2) and rng.random() < 0.5, from the generator's words at once: two
+    halves of one make the integers, the top bit of the next the choice. Where a word would be rejected, drawn one by one."""
+    bits = rng.bit_generator
+    state = bits.state
+    if isinstance(bits, np.random.PCG64) and 1 < n < 2**32 and not state["has_uint32"]:
+        words = bits.random_raw(2 * steps)
+        half = np.uint64(0xFFFFFFFF)
+        scaled = np.stack([words[::2] & half, words[::2] >> np.uint64(32)]) * np.uint64(n)
+        if not ((scaled & half) < 2**32 % n).any():
+            i, j = (scaled >> np.uint64(32)).tolist()
+            return zip(i, j, (words[1::2] >> np.uint64(63) == 0).tolist(), strict=True)
+        bits.state = state
+    return ((*rng.integers(n, size=2).tolist(), rng.random() < 0.5) for _ in range(steps))
+
+
 def rewired(adj: np.ndarray, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     """Degree-preserving null: pairs of edges swap ends."""
-    a = adj.copy()
-    e = np.argwhere(np.triu(a))
-    for _ in range(rounds * len(e)):
-        i, j = rng.integers(len(e), size=2)
-        (p, q), (r, s) = e[i], e[j] if rng.random() < 0.5 else e[j][::-1]
-        if len({p, q, r, s}) < 4 or a[p, s] or a[r, q]:
+    e = np.argwhere(np.triu(adj)).tolist()  # python's numbers: a step looks at single cells
+    a, n = adj.tolist(), len(e)
+    for i, j, straight in _draws(rng, n, rounds * n):
+        p, q = e[i]
+        r, s = e[j] if straight else e[j][::-1]
+        if p == q or p == r or p == s or q == r or q == s or r == s or a[p][s] or a[r][q]:
             continue
-        a[p, q] = a[q, p] = a[r, s] = a[s, r] = False
-        a[p, s] = a[s, p] = a[r, q] = a[q, r] = True
-        e[i], e[j] = (p, s), (r, q)
-    return a
+        a[p][q] = a[q][p] = a[r][s] = a[s][r] = False
+        a[p][s] = a[s][p] = a[r][q] = a[q][r] = True
+        e[i], e[j] = [p, s], [r, q]
+    return np.array(a)
 
 
 def model(kind: str, n: int, edges: int, rng: np.random.Generator, p: float = 0.1, m: int = 2) -> np.ndarray:

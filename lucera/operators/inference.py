@@ -165,7 +165,7 @@ def network_metrics(edges: DataFrame, nodes: list, small_world_nulls: int = 0, s
         m = {"degree": a.sum(1), "efficiency": networks.nodal_efficiency(a), "betweenness": networks.betweenness(a), "clustering": networks.clustering(a)}
         return pd.concat([pd.DataFrame({"recording": pdf["recording"].iloc[0], "node": nodes, "metric": k, "value": v.astype(float)}) for k, v in m.items()])
 
-    g = edges.groupBy("recording")
+    g = _spread(edges).groupBy("recording")
     return g.applyInPandas(whole, f"recording {rec}, metric string, value double"), g.applyInPandas(nodal, f"recording {rec}, node {kind}, metric string, value double")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lucera.functions import pairs, spectra
+from lucera.functions import networks, pairs, spectra
 from lucera.operators import inference
 
 FS = 10.0
@@ -52,3 +52,31 @@ def test_own_measures_and_odd_series(spark):
         assert len(got) == 6 and [k for k, v in got.items() if v is not None] == [(0, 1)]
     assert inference.pairwise(s.filter("channel = 0"), "pearson", FS).count() == 0
     assert inference.pairwise(s, "sum_of_test", FS, other=s).filter("value IS NOT NULL").count() == 5
+
+
+def test_small_recordings_are_spread(spark):
+    e = spark.createDataFrame([(r, 0, 1) for r in range(40)], "recording long, ch_i int, ch_j int")
+    g = inference.network_metrics(e, [0, 1, 2])[0]
+    assert g.rdd.getNumPartitions() == 4 and g.count() == 160
+
+
+def plain_rewired(adj, rng, rounds=10):
+    a = adj.copy()
+    e = np.argwhere(np.triu(a))
+    for _ in range(rounds * len(e)):
+        i, j = rng.integers(len(e), size=2)
+        (p, q), (r, s) = e[i], e[j] if rng.random() < 0.5 else e[j][::-1]
+        if len({p, q, r, s}) < 4 or a[p, s] or a[r, q]:
+            continue
+        a[p, q] = a[q, p] = a[r, s] = a[s, r] = False
+        a[p, s] = a[s, p] = a[r, q] = a[q, r] = True
+        e[i], e[j] = (p, s), (r, q)
+    return a
+
+
+def test_rewired_draws_as_one_by_one():
+    g = networks.model("random", 30, 120, np.random.default_rng(1))
+    one, other = np.random.default_rng(2), np.random.default_rng(2)
+    for _ in range(2):  # the generator is left where single draws leave it
+        assert np.array_equal(networks.rewired(g, one), plain_rewired(g, other))
+    assert one.random() == other.random() and isinstance(networks._draws(one, 120, 5), zip)
