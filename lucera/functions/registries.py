@@ -92,7 +92,7 @@ def _defaults() -> None:
 
     register_cross_measure("pearson")(batched(pairs.pearson)(lambda x, y, fs: float(np.corrcoef(x, y)[0, 1])))
     register_cross_measure("coherence")(batched(pairs.coherence)(lambda x, y, fs, low=0.0, high=np.inf, nperseg=64: _band(signal.coherence(x, y, fs, nperseg), low, high)))
-    register_cross_measure("wavelet_coherence")(lambda x, y, fs, low=0.0, high=np.inf, **kw: _band(spectra.wavelet_coherence(x, y, fs, **kw), low, high))
+    register_cross_measure("wavelet_coherence")(batched(pairs.wavelet_coherence)(lambda x, y, fs, low=0.0, high=np.inf, **kw: _band(spectra.wavelet_coherence(x, y, fs, **kw), low, high)))
     for measure in ("pearson", "coherence", "wavelet_coherence"):
         register_bias_correction("phase_randomization", measure, needs_band=measure != "pearson")(spectra.bias_corrected)
     register_distance("geodesic")(spectra.geodesic_distance)

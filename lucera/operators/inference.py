@@ -46,6 +46,7 @@ def _coherence(x, y, fs, low=0.0, high=np.inf, nperseg=64):
 
 
 @register_measure("wavelet_coherence")
+@batched(pairs.wavelet_coherence)
 def _wavelet(x, y, fs, low=0.0, high=np.inf, **kw):
     f, c = spectra.wavelet_coherence(x, y, fs, **kw)
     c = c[(f >= low) & (f <= high)]

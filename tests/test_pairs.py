@@ -8,7 +8,7 @@ from lucera.operators import inference
 
 FS = 10.0
 BAND = {"low": 0.5, "high": 2.0}
-MANY = {"pearson": {}, "n_eff": {}, "coherence": BAND, "sci": {}, "psp": {}}
+MANY = {"pearson": {}, "n_eff": {}, "coherence": BAND, "sci": {}, "psp": {}, "wavelet_coherence": BAND}
 
 
 def series(n):
