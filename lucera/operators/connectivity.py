@@ -11,13 +11,15 @@ from lucera.functions.optics import fisher_z
 def pearson(samples: DataFrame, by=("recording",)) -> DataFrame:
     """(by, ch_i, ch_j, value): correlation of each pair of channels over common frames.
 
-    An equi-join on the frame pairs channels; the correlation sums combine map-side, so what
-    moves after the join is one row per pair and task.
+    Samples move once, to the task of their recording (by); there the channels of a frame pair, and
+    the sums of a pair are complete, so that no pair of a frame or of a task moves.
     """
     k = list(by)
-    a = samples.select(*k, "frame", F.col("channel").alias("ch_i"), F.col("v").alias("x"))
-    b = samples.select(*k, "frame", F.col("channel").alias("ch_j"), F.col("v").alias("y"))
-    pairs = a.join(b, [*k, "frame"]).filter("ch_i < ch_j")
+    known = samples.select(*k, "frame", "channel", "v").filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*k, "frame", "channel")))
+    frames = known.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *k).groupBy(*k, "frame").agg(F.sort_array(F.collect_list(F.struct("channel", "v"))).alias("_s"))
+    first = frames.select(*k, "_s", F.posexplode("_s").alias("_at", "_a"))
+    pairs = first.select(*k, F.col("_a.channel").alias("ch_i"), F.col("_a.v").alias("x"), F.explode(F.slice("_s", F.col("_at") + 2, F.size("_s"))).alias("_b"))
+    pairs = pairs.select(*k, "ch_i", F.col("_b.channel").alias("ch_j"), "x", F.col("_b.v").alias("y")).filter("ch_i < ch_j")
     agg = pairs.groupBy(*k, "ch_i", "ch_j").agg(F.corr("x", "y").alias("value"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"))
     return agg.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lucera.functions import networks, pairs, spectra
-from lucera.operators import inference
+from lucera.operators import connectivity, inference
 
 FS = 10.0
 BAND = {"low": 0.5, "high": 2.0}
@@ -80,3 +81,15 @@ def test_rewired_draws_as_one_by_one():
     for _ in range(2):  # the generator is left where single draws leave it
         assert np.array_equal(networks.rewired(g, one), plain_rewired(g, other))
     assert one.random() == other.random() and isinstance(networks._draws(one, 120, 5), zip)
+
+
+def test_pearson_moves_samples_once(spark):
+    rows = [(r, c, f, (r + c) % 3, None if c == f else float(((c + 2) * f * f + r) % 11 + f / 7)) for r in range(3) for c in range(5) for f in range(8) if (c + f) % 7] + [(0, 1, 2, 1, 9.0), (None, 0, 0, 0, 1.0)]
+    s = spark.createDataFrame(rows, "recording long, channel int, frame long, label int, v double")
+    for by in (["recording"], ["recording", "label"]):
+        got = connectivity.pearson(s, by)
+        a, b = s.select(*by, "frame", F.col("channel").alias("ch_i"), F.col("v").alias("x")), s.select(*by, "frame", F.col("channel").alias("ch_j"), F.col("v").alias("y"))
+        want = a.join(b, [*by, "frame"]).filter("ch_i < ch_j").groupBy(*by, "ch_i", "ch_j").agg(F.corr("x", "y").alias("value"), F.sum(F.expr("int(x IS NOT NULL AND y IS NOT NULL)")).alias("n"))
+        key = lambda df: sorted((*(r[c] for c in (*by, "ch_i", "ch_j", "n")), None if r["value"] is None or np.isnan(r["value"]) else round(r["value"], 9)) for r in df.collect())
+        assert str(key(got)) == str(key(want))
+        assert connectivity.pearson(s, by)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
