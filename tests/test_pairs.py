@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lucera.functions import networks, pairs, spectra
 from lucera.operators import connectivity, inference
+from lucera.plans import catalog
 
 FS = 10.0
 BAND = {"low": 0.5, "high": 2.0}
@@ -93,3 +94,8 @@ def test_pearson_moves_samples_once(spark):
         key = lambda df: sorted((*(r[c] for c in (*by, "ch_i", "ch_j", "n")), None if r["value"] is None or np.isnan(r["value"]) else round(r["value"], 9)) for r in df.collect())
         assert str(key(got)) == str(key(want))
         assert connectivity.pearson(s, by)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_reduced_axis_moves_samples_and_results_only(spark):
+    plan = catalog.QUERIES["fc_reduce"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2
