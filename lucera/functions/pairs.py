@@ -13,6 +13,8 @@ from lucera.functions import signal, spectra
 
 #: Series of a block: temporary arrays hold a block's pairs, however many series there are.
 BLOCK = 64
+#: Cells (frames x pairs) of a block where series lack values.
+CELLS = 1_000_000
 
 
 def values(x: np.ndarray, y: np.ndarray | None, measure) -> np.ndarray:
@@ -55,6 +57,53 @@ def pearson(fs: float, n: int):
     return lambda x: (_standard(x),), combine
 
 
+def common_frames(frame: np.ndarray, channel: np.ndarray, v: np.ndarray, known: np.ndarray):
+    """Matrices of channel x channel from samples: whether two share a frame, in how many both are known, and
+    their correlation over those (NaN where there is none).
+
+    Frames and channels are codes from 0, none left out. A channel given twice in a frame pairs each of its
+    values with each of its partner's. Values count from a pair's first, so that a flat series is flat exactly.
+    """
+    width = int(channel.max()) + 1
+    cell = frame.astype(np.int64) * width + channel
+    order = np.argsort(cell, kind="stable")
+    frame, channel, v, known, cell = (a[order] for a in (frame, channel, v, known, cell))
+    nth = np.arange(len(cell)) - np.searchsorted(cell, cell)
+    times = np.ones(int(frame.max()) + 1, np.int64)
+    np.maximum.at(times, frame, nth + 1)
+    start = np.cumsum(times) - times
+    at = start[frame] + nth
+    x = np.zeros((times.sum(), width))
+    has, ok = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    x[at, channel], has[at, channel], ok[at, channel] = v, True, known
+    with np.errstate(all="ignore"):
+        if ok.all() and len(x) == len(times):
+            c = x - x[0]
+            c -= c.mean(0)
+            s = np.sqrt((c * c).sum(0))
+            return has[:1] & has[:1].T, np.full((width, width), len(x)), c.T @ c / s / s[:, None]
+        many = times**2
+        f = np.repeat(np.arange(len(times)), many)
+        k = np.arange(len(f)) - np.repeat(np.cumsum(many) - many, many)
+        a, b = start[f] + k // times[f], start[f] + k % times[f]
+        y, has_y, ok_y = (m[b][:, None] for m in (x, has, ok))
+        met, n, value = np.zeros((width, width), bool), np.zeros((width, width), np.int64), np.full((width, width), np.nan)
+        step = max(1, CELLS // (len(a) * width))
+        for lo in range(0, width, step):
+            c = slice(lo, lo + step)
+            both = ok[a, c][:, :, None] & ok_y
+            met[c], n[c], first = (has[a, c][:, :, None] & has_y).any(0), both.sum(0), both.argmax(0)[None]
+
+            def centred(u):
+                u = np.broadcast_to(u, both.shape)
+                u = np.where(both, u - np.take_along_axis(u, first, 0), 0)
+                return np.where(both, u - u.sum(0) / n[c], 0)
+
+            p, q = centred(x[a, c][:, :, None]), centred(y)
+            value[c] = (p * q).sum(0) / np.sqrt((p * p).sum(0)) / np.sqrt((q * q).sum(0))
+        return met, n, value
+
+
 def n_eff(fs: float, n: int, max_lag: int | None = None, taper: bool = True):
     max_lag = n // 5 if max_lag is None else max_lag
     w = 1 - np.arange(1, max_lag + 1) / (max_lag + 1) if taper else np.ones(max_lag)

@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucera.functions.optics import fisher_z
+from lucera.functions.pairs import common_frames
 
 
-def pearson(samples: DataFrame, by=("recording",)) -> DataFrame:
-    """(by, ch_i, ch_j, value): correlation of each pair of channels over common frames.
+def pearson(samples: DataFrame, by=("recording",), within=None) -> DataFrame:
+    """(by, ch_i, ch_j, value, n): correlation of each pair of channels over common frames.
 
-    Samples move once, to the task of their recording (by); there the channels of a frame pair, and
-    the sums of a pair are complete, so that no pair of a frame or of a task moves.
+    Samples move once, as lists, to the task of their recording (by, or the columns of it in within);
+    there a group is worked out at a time, so that a task holds the pairs of one group, however many it gets.
     """
     k = list(by)
-    known = samples.select(*k, "frame", "channel", "v").filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*k, "frame", "channel")))
-    frames = known.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *k).groupBy(*k, "frame").agg(F.sort_array(F.collect_list(F.struct("channel", "v"))).alias("_s"))
-    first = frames.select(*k, "_s", F.posexplode("_s").alias("_at", "_a"))
-    pairs = first.select(*k, F.col("_a.channel").alias("ch_i"), F.col("_a.v").alias("x"), F.explode(F.slice("_s", F.col("_at") + 2, F.size("_s"))).alias("_b"))
-    pairs = pairs.select(*k, "ch_i", F.col("_b.channel").alias("ch_j"), "x", F.col("_b.v").alias("y")).filter("ch_i < ch_j")
-    agg = pairs.groupBy(*k, "ch_i", "ch_j").agg(F.corr("x", "y").alias("value"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"))
-    return agg.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    lists = ("frame", "channel", "v")
+    known = samples.select(*k, "frame", "channel", F.col("v").cast("double").alias("v")).filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*k, "frame", "channel")))
+    kind = {f.name: f.dataType.simpleString() for f in known.schema}
+    keys = "".join(f"`{c}` {kind[c]}, " for c in k)
+
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b]).group_by(k, use_threads=False).aggregate([(c, "list") for c in lists])
+                yield from t.select([*k, *(f"{c}_list" for c in lists)]).rename_columns([*k, *lists]).to_batches()
+
+    def table(t):
+        frame, channel, v = (pa.concat_arrays([c.flatten() for c in t.column(name).chunks]) for name in lists)
+        names = channel.unique()
+        names = names.take(pc.sort_indices(names))
+        met, n, value = common_frames(
+            frame.dictionary_encode().indices.to_numpy(), pc.index_in(channel, names).to_numpy(),
+            v.to_numpy(zero_copy_only=False), v.is_valid().to_numpy(zero_copy_only=False),
+        )
+        i, j = np.nonzero(np.triu(met, 1))
+        key = {c: pa.repeat(t.column(c)[0], len(i)) for c in k}
+        return pa.table(key | {"ch_i": names.take(pa.array(i)), "ch_j": names.take(pa.array(j)), "value": pa.array(value[i, j], mask=np.isnan(value[i, j])), "n": pa.array(n[i, j])})
+
+    moved = known.mapInArrow(packed, keys + ", ".join(f"{c} array<{kind[c]}>" for c in lists))
+    moved = moved.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(k if within is None else within))
+    return moved.groupBy(*k).applyInArrow(table, f"{keys}ch_i {kind['channel']}, ch_j {kind['channel']}, value double, n bigint")
 
 
 def average(fc: DataFrame, by=("ch_i", "ch_j"), how: str = "mean") -> DataFrame:

@@ -294,7 +294,8 @@ _FC_LABEL = f"{_PEARSON}, fl AS (SELECT recording, label, ch_i, ch_j, corr(x, y)
 
 @query("fc_reduce", f"WITH {_FC_LABEL} SELECT recording, ch_i, ch_j, {_r('max(CASE WHEN isnan(c) THEN NULL ELSE c END)', 'value')} FROM fl WHERE label BETWEEN 2 AND 6 GROUP BY 1, 2, 3")
 def _(spark, sf):
-    return postprocess_fc(fc.pearson(ad.embedding_samples(spark, sf), ["recording", "label"]), {"axis": "label", "lo": 2, "hi": 6, "how": "max"})
+    s = ad.embedding_samples(spark, sf).filter(F.col("label").between(2, 6))  # as in reduce: other labels need no pairs
+    return postprocess_fc(fc.pearson(s, ["recording", "label"], within=["recording"]), {"axis": "label", "lo": 2, "hi": 6, "how": "max"})
 
 
 @query("fc_group", f"WITH {_PEARSON} SELECT ch_i, ch_j, {_r('tanh(avg(atanh(greatest(least(value, 0.999::DOUBLE), -0.999::DOUBLE))))', 'value')}, count(value) AS n FROM fc GROUP BY 1, 2")

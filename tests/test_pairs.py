@@ -1,5 +1,7 @@
 """Measures of many series at once against those of one pair, and how recordings are spread."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,44 @@ def test_pearson_moves_samples_once(spark):
 def test_reduced_axis_moves_samples_and_results_only(spark):
     plan = catalog.QUERIES["fc_reduce"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2
+
+
+def test_reduced_axis_is_worked_out_a_group_at_a_time(spark):
+    plan = catalog.QUERIES["fc_reduce"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "corr(" not in plan  # no table of a task's pairs
+    assert re.search(r"hashpartitioning\(recording#\d+L, 4\), REPARTITION_BY_NUM", plan)  # all labels of a recording meet
+    s = spark.range(2400).selectExpr("id % 6 AS recording", "int(id DIV 6 % 4) AS channel", "id DIV 24 AS frame", "int(id DIV 24 % 10) AS label", "double(id * id % 17) AS v")
+    fc = connectivity.pearson(s, ["recording", "label"], within=["recording"]).withColumn("task", F.spark_partition_id())
+    assert fc.count() == 6 * 10 * 6 and fc.select("recording", "task").distinct().count() == 6
+
+
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize("cells", [1, 10**6])
+def test_common_frames_as_one_pair(monkeypatch, cells):
+    monkeypatch.setattr(pairs, "CELLS", cells)
+    rng = np.random.default_rng(9)
+    whole = [(f, c, 0.1 if c == 4 else rng.standard_normal() + 1e6) for f in range(30) for c in range(6)]
+    odd = [(f, c, None if (f + c) % 5 == 0 else 0.1 if c == 0 and f > 9 else v) for f, c, v in whole if (c != 1 or f > 9) and (c != 2 or f < 10) and (c != 3 or f == 20)]
+    odd += [(12, 1, 7.0), (12, 1, None), (12, 5, 8.0), (13, 5, 9.0), (13, 5, 9.5)]
+    nan = [(f, c, np.nan if (f, c) == (3, 2) else np.inf if (f, c) == (0, 5) else v) for f, c, v in whole]
+    for rows in (whole, odd, nan, odd + nan, whole[:6], whole[:1]):
+        order = rng.permutation(len(rows))
+        f, c, v = (np.array([rows[k][i] for k in order], float) for i in range(3))
+        known = np.array([rows[k][2] is not None for k in order])
+        met, n, value = pairs.common_frames(f.astype(int), c.astype(int), v, known)
+        for i in range(len(met)):
+            for j in range(i + 1, len(met)):
+                both = [(a[2], b[2]) for a in rows if a[1] == i for b in rows if b[1] == j and a[0] == b[0]]
+                x = np.array([p for p in both if None not in p], float).reshape(-1, 2)
+                some = len(x) and np.isfinite(x).all() and (x != x[0]).any(0).all()
+                assert met[i, j] == bool(both) and (n[i, j] == len(x) or not both)
+                assert np.isclose(value[i, j], np.corrcoef(x.T)[0, 1], atol=1e-9) if some else np.isnan(value[i, j])
+
+
+def test_pearson_of_text_channels(spark):
+    rows = [("r", c, f, None if f == 5 else float(k * f % 7)) for k, c in enumerate(["b", "a", "é", "z"], 1) for f in range(9)]
+    got = connectivity.pearson(spark.createDataFrame(rows, "recording string, channel string, frame long, v double"))
+    assert dict(got.dtypes) == {"recording": "string", "ch_i": "string", "ch_j": "string", "value": "double", "n": "bigint"}
+    x = {c: [v for _, d, _, v in rows if d == c and v is not None] for c in "baéz"}
+    seen = {(r["ch_i"], r["ch_j"]): r["value"] for r in got.collect()}
+    assert seen == pytest.approx({(i, j): np.corrcoef(x[i], x[j])[0, 1] for i in x for j in x if i < j})
